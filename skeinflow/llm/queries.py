@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, simhash, urls
+from . import chat, media, packing, simhash, tokencount, toxicity, urls
 from ._common import table
 
 #: Host, path and verdict of the URL rules that the query applies.
@@ -70,5 +72,27 @@ best AS (
 SELECT l.page_id, l.host, l.path, b.rule, coalesce(b.rv, 'allow') AS verdict FROM lowered l LEFT JOIN best b USING (page_id)
 """
 
-QUERIES = {"op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
+#: A vocabulary file of a public tokenizer, outside the repository.
+VOCABULARY = os.environ.get("SKEINFLOW_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labelled rows that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    done = toxicity.score(docs, model)
+    return done.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed in bins of five lengths."""
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
 ORACLES = {"op7_chat": OP7_SQL, "op10_urls": OP10_SQL}
