@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, packing, simhash, tokencount, toxicity, urls
+from . import chat, media, packing, quality, simhash, tokencount, toxicity, urls
 from ._common import table
 
 #: Host, path and verdict of the URL rules that the query applies.
@@ -89,10 +89,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the model of trusted text, and whether it is kept."""
+    judged, _ = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_symbols", "bits_per_symbol", F.pow(F.lit(2.0), "bits_per_symbol").alias("perplexity"), "threshold", "keep")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed in bins of five lengths."""
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
 ORACLES = {"op7_chat": OP7_SQL, "op10_urls": OP10_SQL}
