@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, packing, quality, simhash, tokencount, toxicity, urls
+from . import chat, decontaminate, media, packing, quality, simhash, tokencount, toxicity, urls
 from ._common import table
 
 #: Host, path and verdict of the URL rules that the query applies.
@@ -89,6 +89,34 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it contains."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH words AS (
+  SELECT side, id, unnest(w) AS w, unnest(range(len(w))) AS i, least(len(w), 5) AS most FROM (
+    SELECT 'd' AS side, doc_id AS id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+    UNION ALL
+    SELECT 'i', item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') FROM benchmark)),
+runs AS (
+  SELECT side, id, most, w AS s1, w || ' ' || lead(w, 1) OVER p AS s2, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p AS s3,
+    w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p AS s4,
+    w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS s5
+  FROM words WINDOW p AS (PARTITION BY side, id ORDER BY i)),
+wide AS (
+  SELECT side, id, most, 1 AS width, s1 AS shingle FROM runs UNION ALL SELECT side, id, most, 2, s2 FROM runs UNION ALL SELECT side, id, most, 3, s3 FROM runs
+  UNION ALL SELECT side, id, most, 4, s4 FROM runs UNION ALL SELECT side, id, most, 5, s5 FROM runs),
+items AS (SELECT DISTINCT id AS item_id, width, shingle FROM wide WHERE side = 'i' AND width = most AND shingle IS NOT NULL),
+docs AS (SELECT DISTINCT id AS doc_id, width, shingle FROM wide WHERE side = 'd' AND shingle IS NOT NULL),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
+SELECT doc_id, item_id, any_value(n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_found, count(*) / any_value(n) AS containment
+FROM docs JOIN items USING (width, shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the model of trusted text, and whether it is kept."""
     judged, _ = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -100,5 +128,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
-ORACLES = {"op7_chat": OP7_SQL, "op10_urls": OP10_SQL}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op7_chat": OP7_SQL, "op10_urls": OP10_SQL}
