@@ -51,7 +51,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """Rows (item_id, width, hashes, shingles, need, size_class), one per item with a word."""
-    w = items.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    w = items.select(F.col(item_col).alias("item_id"), F.explode_outer(F.array(words(F.col(text_col)))).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
     hashed = F.when(F.col("width") == WIDTH, windows(F.col("w"), WIDTH, F.xxhash64))
     texts = F.when(F.col("width") == WIDTH, text_windows(F.col("w"), WIDTH))
@@ -70,19 +70,20 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     least = F.slice(F.array_sort("hashes"), F.lit(1), F.size("hashes") - F.col("need") + 1)
     probes = known.select("item_id", "width", "size_class", F.explode(least).alias("hash"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    worded = texts.select("id", words(F.col("text")).alias("w"))
+    # as a generator's output the words are cut once; a projection would be copied into each use and each filter
+    worded = texts.select("id", F.explode_outer(F.array(words(F.col("text")))).alias("w"))
     found = None
     for width in widths:
-        runs = worded.select("id", windows(F.col("w"), width, F.xxhash64).alias("h"))
+        runs = worded.select("id", F.explode_outer(F.array(windows(F.col("w"), width, F.xxhash64))).alias("h"))
         # a partition of sizes from 2^c holds items that need 0.8 * 2^c shingles at least
-        runs = runs.select("id", F.floor(F.log2(F.size("h") / THRESHOLD) + 1e-9).alias("fits"), F.explode("h").alias("hash"))
+        runs = runs.select("id", F.floor(F.log2(F.size("h") / THRESHOLD) + 1e-9).alias("fits"), F.explode_outer("h").alias("hash"))
         own = probes.where(F.col("width") == width).select("item_id", "size_class", "hash")
         hits = runs.join(small(own), "hash").where(F.col("size_class") <= F.col("fits")).select("id", "item_id")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = texts.limit(0).select("id", F.lit(None).cast(dict(known.dtypes)["item_id"]).alias("item_id"))
     pairs = cut(found.distinct())
-    again = texts.join(small(pairs), "id").select("id", "item_id", words(F.col("text")).alias("w"))
+    again = texts.join(small(pairs), "id").select("id", "item_id", F.explode_outer(F.array(words(F.col("text")))).alias("w"))
     both = again.join(small(known.select("item_id", "width", "shingles", "need")), "item_id")
     own = F.when(F.col("width") == WIDTH, text_windows(F.col("w"), WIDTH))
     for k in widths:
