@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, packing, quality, simhash, tokencount, toxicity, urls
+from . import chat, decontaminate, media, packing, quality, simhash, suffixdedup, tokencount, toxicity, urls
 from ._common import table
 
 #: Host, path and verdict of the URL rules that the query applies.
@@ -76,6 +76,11 @@ SELECT l.page_id, l.host, l.path, b.rule, coalesce(b.rv, 'allow') AS verdict FRO
 VOCABULARY = os.environ.get("SKEINFLOW_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of a document with a smaller id."""
+    return suffixdedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from labelled rows that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -128,5 +133,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
 ORACLES = {"op4_decontaminate": OP4_SQL, "op7_chat": OP7_SQL, "op10_urls": OP10_SQL}
