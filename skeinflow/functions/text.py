@@ -53,7 +53,7 @@ def first_filled(*xs: Column) -> Column:
 
 def cleanse(x: Column) -> Column:
     """Macros, tags and white space become single spaces; one pass, null stays null."""
-    x = reduce(lambda c, p: F.regexp_replace(c, p, " "), (*MACROS, r"<[^>]+?>", " "), x)
+    x = reduce(lambda c, p: F.regexp_replace(c, p, " "), (*MACROS, r"<[^>]+?>", "\u00a0"), x)
     return strip(F.regexp_replace(x, r"\s+", " "))
 
 

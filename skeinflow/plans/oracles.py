@@ -2,4 +2,94 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_VECTOR = "list_transform(range(64), lambda i: ((i * 7) % 13 - 6) / 6.0)"
+_DISTANCE = f"list_cosine_distance(embedding::DOUBLE[], ({_VECTOR})::DOUBLE[])"
+_OLD = "(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"
+_CLEAN = r"trim(regexp_replace(replace(regexp_replace({x}, '<[^>]+?>', ' ', 'g'), chr(160), ' '), '[ \t\n\v\f\r]+', ' ', 'g'))"
+
+
+def _chunks(text: str, source: str) -> str:
+    """Chunks (doc_id, position, chunk_text) of `source` (doc_id, text)."""
+    return rf"""
+WITH cut AS (
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(trim({text}, chr(32) || chr(10) || chr(9) || chr(13)), '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM ({source})),
+whole AS (
+  SELECT doc_id, CASE WHEN length(text) <= 500 THEN [text] ELSE list_transform(range(0, greatest(len(s), 1), 5), lambda i: array_to_string(s[i + 1:i + 6], ' ')) END AS c FROM cut WHERE trim(text, chr(32) || chr(10) || chr(9) || chr(13)) <> ''),
+single AS (SELECT doc_id, unnest(c) AS chunk_text, unnest(range(len(c))) AS i FROM whole),
+once AS (SELECT doc_id, chunk_text, min(i) AS i FROM single GROUP BY doc_id, chunk_text),
+chunked AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS position, chunk_text FROM once)
+"""
+
+
+SQL: dict[str, str] = {
+    "cleanse_html": f"SELECT page_id, sha256({_CLEAN.format(x='html')}) AS cleansed_hash FROM pages",
+    "content_hash_dups": "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "delta_changed": f"SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d LEFT JOIN {_OLD} o USING (doc_id, source) WHERE o.text IS NULL OR sha256(o.text) <> sha256(d.text)",
+    "delta_two_key_fallback": """
+WITH known AS (SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id % 3 = 0),
+loose AS (SELECT source, lang, min(n_chars) AS n FROM known GROUP BY 1, 2)
+SELECT d.doc_id, d.source, d.lang, coalesce(k.n_chars, l.n) AS found FROM documents d LEFT JOIN known k ON k.doc_id = d.doc_id AND k.source = d.source LEFT JOIN loose l ON l.source = d.source AND l.lang = d.lang""",
+    "dedup_keep_first": "SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1",
+    "last_wins": "SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1",
+    "latest_version": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1",
+    "previous_version": "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_turn FROM conversations",
+    "mark_latest": "SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS latest FROM conversations",
+    "assign_version": """
+WITH stored AS (SELECT DISTINCT source, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 0),
+top AS (SELECT source, count(*) AS n FROM stored GROUP BY 1),
+new AS (SELECT DISTINCT source, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 1 EXCEPT SELECT * FROM stored)
+SELECT source, content_hash, (coalesce(n, 0) + row_number() OVER (PARTITION BY source ORDER BY content_hash))::INT AS version FROM new LEFT JOIN top USING (source)""",
+    "chunk_sentences": _chunks("text", "SELECT doc_id, text FROM documents") + "SELECT doc_id, count(*) AS n_chunks, sum(length(chunk_text))::BIGINT AS n_chars FROM chunked GROUP BY doc_id",
+    "missing_embeddings": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "fifo_claim": "SELECT o_orderkey, o_orderdate FROM orders WHERE trim(o_orderstatus) <> '' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderdate NULLS LAST, o_orderkey LIMIT 100",
+    "status_counts": "SELECT upper(event_type) AS status, count(*) AS n FROM events GROUP BY 1",
+    "final_status": """
+WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS n_success, count(*) FILTER (event_type = 'view') AS n_skipped, count(*) FILTER (event_type = 'error') AS n_error FROM events GROUP BY 1)
+SELECT *, CASE WHEN n_success + n_skipped = 0 THEN 'ENRICHMENT_FAILED' WHEN n_error > 0 OR user_id % 2 <> 0 THEN 'PARTIALLY_ENRICHED' ELSE 'ENRICHED_COMPLETE' END AS final_status FROM c""",
+    "distinct_pairs": "SELECT DISTINCT source, lang FROM documents WHERE source <> '' AND lang <> ''",
+    "grouped_locales": """
+SELECT CASE locale WHEN 'en_IN' THEN 'IN' WHEN 'en_AU' THEN 'ANZ' WHEN 'es_MX' THEN 'ALAC-CA' WHEN 'fr_FR' THEN 'Europe' WHEN 'de_DE' THEN 'Europe' ELSE 'WW' END AS geo, string_agg(DISTINCT locale, ',' ORDER BY locale) AS locales
+FROM (SELECT lang || '_' || CASE WHEN lang = 'en' THEN ['IN', 'AU', 'US'][(doc_id % 3 + 1)::INT] WHEN lang = 'es' THEN 'MX' ELSE upper(lang) END AS locale FROM documents) GROUP BY 1""",
+    "geo_groups": """
+SELECT n_nationkey, upper(substr(n_name, 1, 2)) AS country, CASE WHEN c = 'IN' THEN 'IN' WHEN c = 'JP' THEN 'JP' WHEN c = 'KR' THEN 'KR' WHEN list_contains(string_split('AU NZ', ' '), c) THEN 'ANZ'
+  WHEN list_contains(string_split('SG MY TH VN ID PH BN KH LA MM', ' '), c) THEN 'SEA' WHEN list_contains(string_split('CA MX AR BO BR CL CO CR DO EC SV GT HN NI PA PY PE UY VE', ' '), c) THEN 'ALAC-CA'
+  WHEN list_contains(string_split('AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MT NL NO PL PT RO SE SI SK', ' '), c) THEN 'Europe'
+  WHEN list_contains(string_split('AE SA QA KW OM BH JO IL EG MA TN DZ ZA NG KE UG CM CI BW MZ MU SN CF GW GN GQ ML NE AM AZ BY GE KZ KG MD ME MK RU TJ TM UA UZ TR', ' '), c) THEN 'CEMEA' ELSE 'WW' END AS geo
+FROM (SELECT *, upper(substr(n_name, 1, 2)) AS c FROM nation)""",
+    "optional_filter_page": "SELECT o_orderkey, o_orderdate FROM orders WHERE lower(o_orderstatus) = 'o' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 100",
+    "site_filter": "SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '://([^/?#]*)', 1)) = 'en' OR contains(lower(url), '/en/')",
+    "json_path_filter": "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') IN ('1', '5', '69')",
+    "array_contains_all": "SELECT doc_id FROM documents WHERE list_has_all(string_split(text, ' '), ['of', 'the', 'and'])",
+    "vector_topk": f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 200",
+    "vector_filtered": f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings WHERE label = 1 AND {_DISTANCE} < 1.05 ORDER BY {_DISTANCE}, vec_id LIMIT 50",
+    "chip_scores": f"""
+WITH r AS (SELECT vec_id, label, {_DISTANCE} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 200),
+c AS (SELECT 'tag' AS type, 't' || label AS value, vec_id, distance FROM r UNION ALL SELECT 'parity', (vec_id % 2)::VARCHAR, vec_id, distance FROM r)
+SELECT type, value, round(sum(1 / (1 + distance)), 6) AS score, count(DISTINCT vec_id // 2) AS count FROM c GROUP BY 1, 2""",
+    "merge_ranked_lists": f"""
+WITH v AS (SELECT vec_id % 40 AS key, row_number() OVER (ORDER BY {_DISTANCE}, vec_id) AS pos, 0 AS arm FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 30),
+t AS (SELECT doc_id % 55 AS key, doc_id + 1 AS pos, 1 AS arm FROM documents ORDER BY doc_id LIMIT 60),
+f AS (SELECT * FROM (SELECT * FROM v UNION ALL SELECT * FROM t) QUALIFY row_number() OVER (PARTITION BY key ORDER BY arm, pos) = 1)
+SELECT 'cf' || row_number() OVER (ORDER BY arm, pos, key) AS cf_id, key FROM f ORDER BY arm, pos, key LIMIT 40""",
+    "usage_fanout": "WITH u AS (SELECT DISTINCT l_orderkey, 'u' || l_suppkey AS usage FROM lineitem WHERE l_linenumber <= 2) SELECT o_orderkey, coalesce(usage, 'own') AS usage FROM orders LEFT JOIN u ON o_orderkey = l_orderkey",
+    "revision_append": """
+WITH top AS (SELECT conv_id, max(turn + 1) AS n FROM conversations WHERE turn < 2 GROUP BY 1)
+SELECT conv_id, turn, (coalesce(n, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS revision FROM conversations LEFT JOIN top USING (conv_id) WHERE turn >= 2""",
+    "save_annotated": """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'new ' || source ELSE lang END AS summary, doc_id % 4 = 0 AS user_override_active, doc_id % 4 = 0 AND doc_id % 3 = 0 AS new_ai_available
+FROM documents WHERE doc_id % 4 < 3 OR doc_id % 3 = 0""",
+    "consolidate": "SELECT DISTINCT source, lang FROM documents",
+    "observe_locales": """
+WITH s AS (SELECT source, lang, max(doc_id) AS a, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2), o AS (SELECT source, lang, max(doc_id) AS b FROM documents WHERE doc_id % 3 = 0 GROUP BY 1, 2)
+SELECT source, lang, greatest(a, b) AS last_seen_at, coalesce(n, 0) + CASE WHEN b IS NULL THEN 0 ELSE 1 END AS seen_count FROM s FULL JOIN o USING (source, lang)""",
+    "key_replace": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "locale_from_url": r"""
+SELECT page_id, CASE WHEN regexp_matches(url, '/(en|fr|de|es)/') THEN regexp_extract(url, '/(en|fr|de|es)/', 1) || '_US' END AS locale,
+  regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages""",
+    "scalar_functions": """
+SELECT doc_id, CASE WHEN contains(lower(text), 'valentine') THEN 'Valentine day' WHEN contains(lower(text), 'father''s day') THEN 'Fathers day' WHEN contains(lower(text), 'tax') THEN 'Tax day' WHEN contains(lower(text), 'christmas') THEN 'Christmas' WHEN contains(lower(text), 'mothers') THEN 'Mothers day' END AS event,
+  false AS excluded, sha256(source || '||' || lang) AS slot_hash, 'FILE_UPLOAD_RECEIVED' AS status, lang || ',' || source AS parts, round(1 / (1 + n_chars / 100.0), 6) AS score FROM documents""",
+    "page_assets": "SELECT 'page:' || page_id AS source_uri, 'heroImage' AS asset_key, url AS preview_uri, 'a picture' AS alt_text FROM pages",
+    "embed_stub": "SELECT doc_id, 64 AS dimension FROM documents",
+    "flagship": _chunks("text", f"SELECT d.doc_id, {_CLEAN.format(x='d.text')} AS text FROM documents d LEFT JOIN {_OLD} o USING (doc_id, source) WHERE o.text IS NULL OR {_CLEAN.format(x='o.text')} <> {_CLEAN.format(x='d.text')}") + "SELECT doc_id, position, chunk_text FROM chunked",
+}

@@ -1,5 +1,247 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, each an operator at its whole table."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import lifecycle as L
+from ..operators import search as S
+from ..operators import versions as V
+from ..session import ship
+from ..sources import json_items
+
+#: The query vector of the nearest-neighbour queries: 64 numbers by a rule that SQL can state too.
+QUERY_VECTOR = [((i * 7) % 13 - 6) / 6 for i in range(64)]
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def previous_docs(spark: SparkSession, d: str) -> DataFrame:
+    """An earlier version made by rule: every fifth document is missing, every seventh has another text."""
+    rows = docs(spark, d).where("doc_id % 5 <> 0")
+    return rows.select("doc_id", "source", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
+
+
+def cleanse_html(spark, d):
+    return table(spark, d, "pages").select("page_id", X.content_hash(X.cleanse(F.col("html"))).alias("cleansed_hash"))
+
+
+def content_hash_dups(spark, d):
+    return docs(spark, d).groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def delta_changed(spark, d):
+    now = docs(spark, d).select("doc_id", "source", X.content_hash(F.col("text")).alias("content_hash"))
+    old = previous_docs(spark, d).select("doc_id", "source", X.content_hash(F.col("text")).alias("content_hash"))
+    return V.delta(now, old, ["doc_id", "source"], "content_hash").select("doc_id", "content_hash")
+
+
+def delta_two_key_fallback(spark, d):
+    known = docs(spark, d).where("doc_id % 3 = 0").select("doc_id", "source", "lang", "n_chars")
+    return V.lookup_with_fallback(docs(spark, d).select("doc_id", "source", "lang"), known, ["doc_id", "source"], ["source", "lang"], "n_chars", "n_chars")
+
+
+def dedup_keep_first(spark, d):
+    return V.first_per(table(spark, d, "conversations"), ["conv_id", "role"], F.col("turn").asc()).select("conv_id", "role", "turn", "text")
+
+
+def last_wins(spark, d):
+    return V.last_wins(table(spark, d, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn", "text")
+
+
+def latest_version(spark, d):
+    return V.latest(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+def previous_version(spark, d):
+    return V.previous_version(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn").select("conv_id", "turn", F.col("previous_version").alias("previous_turn"))
+
+
+def mark_latest(spark, d):
+    return V.mark_latest(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+def assign_version(spark, d):
+    stored = docs(spark, d).where("doc_id % 2 = 0").select("source", X.content_hash(F.col("text")).alias("content_hash")).distinct()
+    stored = stored.withColumn("version", F.row_number().over(Window.partitionBy("source").orderBy("content_hash")))
+    incoming = docs(spark, d).where("doc_id % 2 = 1").select("source", X.content_hash(F.col("text")).alias("content_hash")).distinct()
+    return V.assign_version(incoming, stored, "source", "content_hash").select("source", "content_hash", "version")
+
+
+def chunk_sentences(spark, d):
+    return L.chunk_rows(docs(spark, d), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("chunk_text")).alias("n_chars"))
+
+
+def missing_embeddings(spark, d):
+    return L.without_chunks(docs(spark, d).select("doc_id", "source"), table(spark, d, "labels"), "doc_id")
+
+
+def fifo_claim(spark, d):
+    items = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return S.claim(table(spark, d, "orders"), items, "o_orderkey", "o_orderstatus", "o_orderdate", 100).select("o_orderkey", "o_orderdate")
+
+
+def status_counts(spark, d):
+    return L.status_counts(table(spark, d, "events"), "event_type")
+
+
+def _status() -> Column:
+    return F.when(F.col("event_type") == "error", "ERROR_X").when(F.col("event_type") == "view", "ENRICHMENT_SKIPPED").when(F.col("event_type") == "purchase", "ENRICHED").otherwise("OTHER")
+
+
+def final_status(spark, d):
+    rows = table(spark, d, "events").select("user_id", _status().alias("status"), (F.col("user_id") % 2 == 0).alias("ready"))
+    return L.final_status(rows, "status", F.col("ready"), "user_id")
+
+
+def distinct_pairs(spark, d):
+    return docs(spark, d).where("source <> '' and lang <> ''").select("source", "lang").distinct()
+
+
+def grouped_locales(spark, d):
+    rows = docs(spark, d).select(F.concat("lang", F.lit("_"), F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 3 == 0, "IN").when(F.col("doc_id") % 3 == 1, "AU").otherwise("US")).when(F.col("lang") == "es", "MX").otherwise(F.upper("lang"))).alias("locale"))
+    return L.grouped_locales(rows, "locale").select("geo", F.array_join("locales", ",").alias("locales"))
+
+
+def geo_groups(spark, d):
+    country = F.upper(F.substring("n_name", 1, 2))
+    return table(spark, d, "nation").select("n_nationkey", country.alias("country"), X.geo_group(country).alias("geo"))
+
+
+def optional_filter_page(spark, d):
+    rows = table(spark, d, "orders")
+    wanted = S.every([*S.optional_equal(F.col("o_orderstatus"), "o"), *S.optional_equal(F.col("o_orderpriority"), None)])
+    return S.page_of(rows.where(wanted), [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey")], 2, 50).rows.select("o_orderkey", "o_orderdate")
+
+
+def site_filter(spark, d):
+    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
+    return table(spark, d, "pages").where(S.every(S.site_matches(host, [F.col("url")], "en"))).select("page_id", "url")
+
+
+def json_path_filter(spark, d):
+    return table(spark, d, "events").where(S.every(S.json_filters(F.col("props"), {"k": ["1", "5", "69"]}))).select("event_id", "props")
+
+
+def array_contains_all(spark, d):
+    return docs(spark, d).where(S.has_all(F.split("text", " "), ["of", "the", "and"])).select("doc_id")
+
+
+def vector_topk(spark, d):
+    return S.nearest(table(spark, d, "embeddings"), "embedding", QUERY_VECTOR, 200, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+def vector_filtered(spark, d):
+    return S.nearest(table(spark, d, "embeddings"), "embedding", QUERY_VECTOR, 50, "vec_id", [F.col("label") == 1], 1.05).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+def chip_scores(spark, d):
+    rows = S.nearest(table(spark, d, "embeddings"), "embedding", QUERY_VECTOR, 200, "vec_id").withColumn("section", F.floor(F.col("vec_id") / 2))
+    made = F.array(F.struct(F.lit("tag").alias("type"), F.concat(F.lit("t"), F.col("label")).alias("value")), F.struct(F.lit("parity").alias("type"), (F.col("vec_id") % 2).cast("string").alias("value")))
+    return S.chips(rows, made, "section", "distance").select("type", "value", F.round("score", 6).alias("score"), "count")
+
+
+def merge_ranked_lists(spark, d):
+    vectors = S.nearest(table(spark, d, "embeddings"), "embedding", QUERY_VECTOR, 30, "vec_id").select((F.col("vec_id") % 40).alias("key"), F.row_number().over(Window.orderBy("distance", "vec_id")).alias("pos"))
+    texts = docs(spark, d).orderBy("doc_id").limit(60).select((F.col("doc_id") % 55).alias("key"), (F.col("doc_id") + 1).cast("int").alias("pos"))
+    return V.merge_ranked([vectors, texts], ["key"], "pos", 40).select("cf_id", "key")
+
+
+def usage_fanout(spark, d):
+    elements = table(spark, d, "orders").select("o_orderkey", F.lit("own").alias("default_usage"))
+    usages = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("u"), F.col("l_suppkey")).alias("usage"))
+    return L.usage_fanout(elements, usages, ["o_orderkey"], "usage", "default_usage").select("o_orderkey", "usage")
+
+
+def revision_append(spark, d):
+    rows = table(spark, d, "conversations")
+    stored = rows.where("turn < 2").select("conv_id", (F.col("turn") + 1).cast("int").alias("revision"))
+    return L.append_revisions(stored, rows.where("turn >= 2").select("conv_id", "turn"), "conv_id", F.col("turn")).select("conv_id", "turn", "revision")
+
+
+def save_annotated(spark, d):
+    stored = docs(spark, d).where("doc_id % 4 < 3").select("doc_id", F.col("lang").alias("summary"), (F.col("doc_id") % 4 == 0).alias("user_override_active"), F.lit(False).alias("new_ai_available"))
+    incoming = docs(spark, d).where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("new "), F.col("source")).alias("summary"))
+    return L.save_annotated(stored, incoming, ["doc_id"], ["summary"])
+
+
+def consolidate(spark, d):
+    keys = ["source", "lang"]
+    stored = docs(spark, d).where("doc_id % 11 = 0").select(*keys).distinct()
+    return L.consolidate(docs(spark, d).select(*keys), stored, keys)
+
+
+def observe_locales(spark, d):
+    stored = docs(spark, d).where("doc_id % 2 = 0").groupBy("source", "lang").agg(F.max("doc_id").alias("last_seen_at"), F.count("*").alias("seen_count"))
+    seen = docs(spark, d).where("doc_id % 3 = 0").select("source", "lang", F.col("doc_id").alias("seen_at"))
+    return L.observe(stored, seen, ["source", "lang"])
+
+
+def key_replace(spark, d):
+    stored = docs(spark, d).where("doc_id % 2 = 0").select("doc_id", F.lit("old").alias("state"))
+    return V.replace_keys(stored, docs(spark, d).where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("state")), ["doc_id"])
+
+
+def locale_from_url(spark, d):
+    path = F.concat(F.regexp_replace("url", r"/(en|fr|de|es)/", "/$1_US/"), F.lit("/"))
+    return table(spark, d, "pages").select("page_id", X.path_locale(path).alias("locale"), X.slugify(F.col("url")).alias("slug"))
+
+
+def scalar_functions(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", X.event_tag(t).alias("event"), X.is_excluded(F.col("source")).alias("excluded"), X.joined_hash(F.col("source"), F.lit(None), F.col("lang")).alias("slot_hash"), X.upload_status(F.concat(F.lit("file-upload:"), F.col("source"))).alias("status"), F.array_join(X.to_list(F.concat_ws("|", "lang", "source", "lang")), ",").alias("parts"), F.round(X.distance_score(F.col("n_chars") / 100.0), 6).alias("score"))
+
+
+def full_text_meta(spark, d):
+    return S.full_text(docs(spark, d), ["text"], '"of the" -idiot or zzz').select("doc_id")
+
+
+def _page_json(spark, d) -> DataFrame:
+    node = F.struct(F.col("url").alias("_path"), F.lit("hero-section").alias("_model"), F.struct(F.substring("html", 1, 300).alias("copy")).alias("headline"), F.array(F.lit("first"), F.lit("second")).alias("text"), F.struct(F.struct(F.col("url").alias("uri")).alias("viewportSmall"), F.lit("a picture").alias("alt")).alias("heroImage"))
+    return table(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id")).alias("source_uri"), F.to_json(node).alias("json"))
+
+
+def page_tree_extract(spark, d):
+    return json_items.extract_items(_page_json(spark, d)).select("source_uri", "ordinal", "source_path", "item_type", "usage_path", "cleansed")
+
+
+def page_assets(spark, d):
+    return json_items.extract_assets(_page_json(spark, d)).select("source_uri", "asset_key", "preview_uri", "alt_text")
+
+
+def annotate_stub(spark, d):
+    done = L.annotate(docs(spark, d).select("doc_id", "text"), "text")
+    return done.select("doc_id", "annotation.summary", L.is_valid(F.col("annotation")).alias("valid"))
+
+
+def embed_stub(spark, d):
+    return L.embed(docs(spark, d).select("doc_id", "text"), "text").select("doc_id", F.size("vector").alias("dimension"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Cleanse, hash, compare with the previous version, chunk what changed."""
+    now = docs(spark, d).select("doc_id", "source", X.cleanse(F.col("text")).alias("cleansed"))
+    old = previous_docs(spark, d).select("doc_id", "source", X.content_hash(X.cleanse(F.col("text"))).alias("content_hash"))
+    changed = V.delta(now.withColumn("content_hash", X.content_hash(F.col("cleansed"))), old, ["doc_id", "source"], "content_hash")
+    return L.chunk_rows(changed, "doc_id", "cleansed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        cleanse_html, content_hash_dups, delta_changed, delta_two_key_fallback, dedup_keep_first, last_wins, latest_version, previous_version, mark_latest, assign_version, chunk_sentences, missing_embeddings, fifo_claim,
+        status_counts, final_status, distinct_pairs, grouped_locales, geo_groups, optional_filter_page, site_filter, json_path_filter, array_contains_all, vector_topk, vector_filtered, chip_scores, merge_ranked_lists, usage_fanout,
+        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, full_text_meta, page_tree_extract, page_assets, annotate_stub, embed_stub, flagship,
+    )
+}
