@@ -23,7 +23,7 @@ def db():
 def rows(df: pd.DataFrame) -> list:
     columns = sorted(df.columns)
     number = (int, float, np.number)
-    return sorted(tuple("~" if v is None or v is pd.NaT or v != v else f"{v:.5f}" if isinstance(v, number) and not isinstance(v, bool) else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+    return sorted(tuple("~" if pd.isna(v) else f"{v:.5f}" if isinstance(v, number) and not isinstance(v, bool) else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
