@@ -17,7 +17,7 @@ places). Texts are dealt once to blocks of about `BLOCK_BYTES`, and three passes
    found, and each run gets one mask for each suffix: which windows start in a smaller document;
 3. each block applies the masks and removes the covered bytes.
 
-Copies cost a suffix once a block, however many there are, and shards are dealt by hash, not by
+Whole copies of a text lose all bytes and are told by their SHA-256 beforehand. Others cost a suffix once a block, however many there are, and shards are dealt by hash, not by
 range, as groups are needed and no global order. Nothing is sampled or capped; hashes only choose
 candidates, and all windows are compared as bytes.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import shuffle_partitions, slices, utf8_buffers
+from ._common import cut, shuffle_partitions, slices, utf8_buffers
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
@@ -45,7 +45,9 @@ BLOCK_BYTES = 8 << 20
 #: A suffix: 50 bytes from the anchor, 30 before it, and the true lengths of both.
 SUFFIX = WIDTH + SPAN - 1 + 2
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-NO_ID = np.iinfo(np.int64).max
+NO_ID = int(np.iinfo(np.int64).max)
+#: Ids and digests of whole copies (48 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_COPIES = 1_000_000
 
 
 def _sliding(a: np.ndarray, op) -> np.ndarray:
@@ -214,16 +216,31 @@ def merge(runs: list[tuple[list[bytes], bytes]]) -> Iterator[tuple[bytes, int, i
             node //= 2
 
 
-def window_masks(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> Iterator[tuple[int, int, int]]:
-    """(run, index, mask) of the suffixes of one anchor; bit o: the window from o bytes before it is in a smaller id."""
-    if len(group) == 1:
-        low = min(d for _, _, d in group[0][1])
-        suffix = group[0][0]
-        right, left = suffix[-2], suffix[-1]
-        full = sum(1 << o for o in range(max(0, WIDTH - right), left + 1))
-        for run, index, d in group[0][1]:
-            yield run, index, full if d > low else 0
-        return
+#: Two suffixes of one anchor that share a window share this many bytes from it or that many before it.
+HALF = SPAN // 2
+
+
+def window_masks(every: list[tuple[bytes, list[tuple[int, int, int]], int]]) -> Iterator[tuple[int, int, int]]:
+    """(run, index, mask) of the suffixes of one anchor; bit o: the window from o bytes before it is in a smaller id.
+
+    `every` has the suffixes in order, with the places of each and its prefix with the one before.
+    """
+    before: dict[bytes, int] = {}
+    for suffix, _, _ in every:
+        key = suffix[WIDTH : WIDTH + HALF + 1]
+        before[key] = before.get(key, 0) + 1
+    prefixes = [h for _, _, h in every[1:]] + [0]
+    last, group = 0, []
+    for (suffix, where, _), h in zip(every, prefixes, strict=True):
+        if last >= WIDTH - HALF or h >= WIDTH - HALF or before[suffix[WIDTH : WIDTH + HALF + 1]] > 1:
+            group.append((suffix, where))
+        elif len(where) > 1:
+            low = min(d for _, _, d in where)
+            full = ((1 << (suffix[-1] + 1)) - 1) & ~((1 << max(0, WIDTH - suffix[-2])) - 1)
+            for run, index, d in where:
+                if d > low:
+                    yield run, index, full
+        last = h
     least: dict[tuple[int, bytes, bytes], int] = {}
     windows = []
     for suffix, where in group:
@@ -247,7 +264,7 @@ def merge_shard(table: pa.Table) -> list[tuple[int, bytes]]:
     least = [np.frombuffer(x, "<i8").tolist() for x in table.column("least").to_pylist()]
     runs = [(decode(a, b), a) for a, b in zip(lcps, rests, strict=True)]
     masks = [np.zeros(len(x), "<u4") for x in lcps]
-    group: list[tuple[bytes, list[tuple[int, int, int]]]] = []
+    group: list[tuple[bytes, list[tuple[int, int, int]], int]] = []
 
     def close() -> None:
         if len(group) > 1 or (group and len(group[0][1]) > 1):
@@ -261,7 +278,7 @@ def merge_shard(table: pa.Table) -> list[tuple[int, bytes]]:
         if h == SUFFIX and group:
             group[-1][1].append((run, index, least[run][index]))
         else:
-            group.append((suffix, [(run, index, least[run][index])]))
+            group.append((suffix, [(run, index, least[run][index])], h))
     close()
     return [(b, zlib.compress(m.tobytes(), 1)) for b, m in zip(blocks, masks, strict=True)]
 
@@ -294,6 +311,13 @@ def remove(block: Block, shards: int, bits: dict[int, bytes], masks: dict[int, b
     return np.diff(block.offsets), count(gone), count(new), gone
 
 
+def whole_copies(plain: DataFrame) -> DataFrame:
+    """Rows whose text of 50 bytes or more is also that of a smaller id: all of their bytes go, nothing need be sorted."""
+    rows = plain.select("id", "order", "digest", "rest", F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= WIDTH)
+    lowest = rows.groupBy("digest").agg(F.min("order").alias("lowest"), F.max("order").alias("highest")).where("lowest < highest")
+    return rows.join(lowest.select("digest", "lowest"), "digest").where(F.col("order") > F.col("lowest")).select("id", "order", "digest", "rest", "n_bytes")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, rest struct of the other columns, n_bytes, n_removed, n_spans, kept_sha256, kept binary)."""
     spark = docs.sparkSession
@@ -303,8 +327,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     parts = shuffle_partitions(spark)
     shards = min(65_535, max(parts, blocks // 4))
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
-    dealt = docs.select(F.pmod(F.xxhash64(id_col, F.octet_length(F.col(text_col).cast("string"))), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    dealt = dealt.repartition(parts, "block")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    plain = plain.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("order", F.coalesce("id", F.lit(NO_ID)))
+    copies = cut(whole_copies(plain))
+    few = copies.count() <= BROADCAST_COPIES
+    gone_ids = copies.select("order", "digest").distinct()
+    plain = plain.join(F.broadcast(gone_ids) if few else gone_ids, ["order", "digest"], "left_anti")
+    dealt = plain.select(F.pmod(F.xxhash64("order", "digest"), F.lit(blocks)).alias("block"), "id", "text", "rest").repartition(parts, "block")
 
     def per_shard(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
         edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, int)
@@ -363,7 +392,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     fields = [T.StructField("id", T.LongType()), T.StructField("rest", dealt.schema["rest"].dataType)]
     fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
     done = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, T.StructType(fields))
-    return done.withColumnRenamed("id", id_col)
+    nothing = hashlib.sha256(b"").hexdigest()
+    one = copies.select("id", "rest", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    return done.unionByName(one).withColumnRenamed("id", id_col)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
