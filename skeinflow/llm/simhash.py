@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, min_label_components, slices, utf8_buffers
+from ._common import cut, min_label_components, release, slices, utf8_buffers
 
 SEED = 42
 #: Bit positions (from the lowest) and widths of the three segments.
@@ -91,6 +91,7 @@ def fingerprint_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             found = [fingerprints(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], width) for lo, hi in slices(offsets)]
             fps = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+        release()
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, fp long").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut, shuffle_partitions, slices, utf8_buffers
+from ._common import cut, shuffle_partitions, slices, tidy, utf8_buffers
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
@@ -294,7 +294,7 @@ def remove(block: Block, shards: int, bits: dict[int, bytes], masks: dict[int, b
     right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
     full = ((np.int64(1) << (left + 1)) - 1) & ~((np.int64(1) << np.maximum(WIDTH - right, 0)) - 1)
     mask = np.where(block.ids[block.row[some]] > least[inverse], full[inverse], got[inverse].astype(np.int64))
-    step = np.zeros(len(block.data) + WIDTH + 1, np.int32)
+    step = np.zeros(len(block.data) + WIDTH + 1, np.int8)  # starts are distinct, so at most 50 windows cover a byte
     start = np.zeros(len(block.data) + 1, bool)
     for o in range(SPAN):
         hit = block.at[some[(mask >> o) & 1 == 1]] - o
@@ -302,12 +302,16 @@ def remove(block: Block, shards: int, bits: dict[int, bytes], masks: dict[int, b
     begin = np.flatnonzero(start)
     step[begin] += 1
     step[begin + WIDTH] -= 1
-    gone = np.cumsum(step)[: len(block.data)] > 0
+    gone = np.cumsum(step, dtype=np.int8)[: len(block.data)] > 0
+    del step, start, mask, got, full
     new = gone.copy()
     new[1:] &= ~gone[:-1]
     first = block.offsets[:-1][block.offsets[:-1] < len(gone)]
     new[first] = gone[first]
-    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.offsets])
+
+    def count(x: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(np.flatnonzero(x), block.offsets))
+
     return np.diff(block.offsets), count(gone), count(new), gone
 
 
@@ -340,6 +344,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             yield int(shard[a]), slice(a, b)
 
+    @tidy
     def send_keys(table: pa.Table) -> pa.Table:
         names, _, shard = Block(table).keys(shards)
         number = table.column("block")[0].as_py()
@@ -347,6 +352,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows = [(s, number, six[part].tobytes()) for s, part in per_shard(shard)]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary())})
 
+    @tidy
     def share(table: pa.Table) -> pa.Table:
         each = []
         for raw in table.column("keys").to_pylist():
@@ -364,6 +370,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def replies_of(table: pa.Table, masks: bool) -> dict[int, bytes]:
         return {s: r for s, m, r in zip(table.column("shard").to_pylist(), table.column("masks").to_pylist(), table.column("reply").to_pylist(), strict=True) if m == masks}
 
+    @tidy
     def send_runs(texts: pa.Table, replies: pa.Table) -> pa.Table:
         rows, shard, least, _, _ = Block(texts).suffixes(shards, replies_of(replies, False))
         number = texts.column("block")[0].as_py()
@@ -371,10 +378,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         kinds = (("shard", pa.int64()), ("block", pa.int64()), ("lcps", pa.binary()), ("rest", pa.binary()), ("least", pa.binary()))
         return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
 
+    @tidy
     def mask_runs(table: pa.Table) -> pa.Table:
         done = merge_shard(table)
         return pa.table({"block": pa.array([b for b, _ in done], pa.int64()), "shard": table.column("shard"), "masks": pa.array([True] * len(done)), "reply": pa.array([m for _, m in done], pa.binary())})
 
+    @tidy
     def finish(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({"id": pa.array([], pa.int64()), "rest": texts.column("rest"), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary())})
