@@ -171,3 +171,37 @@ def test_pipeline_runs(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.01").toPandas()
     assert len(out) and (out.groupby("bin_id").length.sum() <= out.groupby("bin_id").capacity.max()).all()
+
+
+def test_similar_texts_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, None), (2, ""), (3, "one"), (4, "One")]
+    for base in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        for k in range((90, 6, 2)[base]):  # the first group's buckets go pivot by pivot
+            copy = list(words)
+            for at in rng.choice(120, k % 4, replace=False):
+                copy[at] = f"x{rng.integers(0, 10_000)}"
+            rows.append((100 * base + 10 + k, " ".join(copy)))
+    rows += [(900 + k, " ".join(f"w{x}" for x in rng.integers(0, 400, 60))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(docs, width=5, similarity=0.8).collect()}
+    assert got == {i: find(i) for i in sets}
