@@ -33,6 +33,15 @@ GEO_GROUPS = {
     "CEMEA": "AE SA QA KW OM BH JO IL EG MA TN DZ ZA NG KE UG CM CI BW MZ MU SN CF GW GN GQ ML NE AM AZ BY GE KZ KG MD ME MK RU TJ TM UA UZ TR",
 }
 GEO_ORDER = ("Europe", "IN", "JP", "KR", "SEA", "WW", "CEMEA", "ANZ", "ALAC-CA")
+# Other names of the annotation states.
+STATUS_ALIASES = {
+    "ENRICHMENT_TRIGGERED": "CLEANSED_PENDING_ENRICHMENT QUEUED_FOR_ENRICHMENT ENRICHMENT_QUEUED",
+    "WAITING_FOR_RESULTS": "WAITING_FOR_AI_OUTPUT AWAITING_AI_OUTPUT WAITING_FOR_RESULTS",
+    "ENRICHMENT_RUNNING": "ENRICHMENT_IN_PROGRESS ENRICHMENT_PROCESSING AI_ENRICHMENT_IN_PROGRESS ENRICHMENT_STARTED",
+    "ENRICHMENT_COMPLETE": "ENRICHMENT_DONE ENRICHED COMPLETED",
+}
+# The annotation states in order of progress.
+STATUS_ORDER = ("ENRICHMENT_TRIGGERED", "WAITING_FOR_RESULTS", "ENRICHMENT_RUNNING", "PARTIALLY_ENRICHED", "ENRICHMENT_COMPLETE")
 REF = " ::ref:: "
 CHUNK_CHARS, CHUNK_SENTENCES, CHUNK_OVERLAP = 500, 6, 1
 
@@ -219,3 +228,39 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def match_terms(*xs: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*map(blank_to_null, xs))))
+
+
+def locale_of_geo(geo: Column) -> Column:
+    """en_ and a country of two letters; WW is en_US, all else null."""
+    g = F.upper(blank_to_null(geo))
+    return F.when(F.char_length(g) != 2, None).when(g == "WW", "en_US").otherwise(F.concat(F.lit("en_"), g))
+
+
+def storefront_path(locale: Column) -> Column:
+    """/country/ for English, /country/language/ for others, /us/ for what is no locale."""
+    t = normalize_locale(locale)
+    language, country = F.lower(F.substring(t, 1, 2)), F.lower(F.substring(t, 4, 1000))
+    short = F.concat(F.lit("/"), country, F.lit("/"))
+    return F.when(t.isNull() | (F.char_length(t) < 5), "/us/").when(language == "en", short).otherwise(F.concat(short, language, F.lit("/")))
+
+
+def absolute_url(path: Column, prefix: str) -> Column:
+    """http urls as they are, paths after `prefix` and one slash; blank is null."""
+    t = blank_to_null(path)
+    full = F.startswith(t, F.lit("http://")) | F.startswith(t, F.lit("https://"))
+    return F.when(full, t).otherwise(F.concat(F.lit(prefix.rstrip("/") + "/"), F.regexp_replace(t, "^/", "")))
+
+
+def status_alias(status: Column) -> Column:
+    """The state that another name stands for; other names stay, in capitals."""
+    s = F.upper(strip(status))
+    for name, others in STATUS_ALIASES.items():
+        s = F.when(s.isin(*others.split()), name).otherwise(s)
+    return s
+
+
+def progress(status: Column, n_done: Column, n_all: Column) -> Column:
+    """Per cent by the state's position (20 for unknown ones), or by the share of annotated items if that is more."""
+    base = F.coalesce(*[F.when(status == x, F.lit((i + 1) * 100.0 / len(STATUS_ORDER))) for i, x in enumerate(STATUS_ORDER)], F.lit(20.0))
+    by_items = F.when((n_all > 0) & (n_done > 0), 60 + n_done / n_all * 35)
+    return F.when(status.isin("ENRICHMENT_COMPLETE", "ENRICHED_NO_ITEMS_TO_PROCESS"), 100.0).otherwise(F.greatest(base, by_items))

@@ -22,6 +22,14 @@ chunked AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) -
 
 
 SQL: dict[str, str] = {
+    "storefront_paths": """
+WITH n AS (SELECT n_nationkey, upper(n_name[1:2]) AS c, n_nationkey % 3 = 0 AS french FROM nation),
+p AS (SELECT *, '/' || lower(c) || '/' || CASE WHEN french THEN 'fr/' ELSE '' END AS path FROM n)
+SELECT n_nationkey, 'en_' || c AS locale, path, 'http://example.com' || path AS url FROM p""",
+    "user_progress": """
+WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS n FROM events GROUP BY 1)
+SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'ENRICHMENT_TRIGGERED' WHEN 1 THEN 'ENRICHMENT_RUNNING' WHEN 2 THEN 'ENRICHMENT_COMPLETE' ELSE 'OTHER' END AS status,
+  CASE WHEN user_id % 4 = 2 THEN 100.0::DOUBLE ELSE greatest(CASE user_id % 4 WHEN 1 THEN 60.0::DOUBLE ELSE 20.0::DOUBLE END, CASE WHEN done > 0 THEN 60 + done / n * 35 END) END AS progress FROM c""",
     "cleanse_html": f"SELECT page_id, sha256({_CLEAN.format(x='html')}) AS cleansed_hash FROM pages",
     "content_hash_dups": "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "delta_changed": f"SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d LEFT JOIN {_OLD} o USING (doc_id, source) WHERE o.text IS NULL OR sha256(o.text) <> sha256(d.text)",

@@ -203,6 +203,18 @@ def scalar_functions(spark, d):
     return docs(spark, d).select("doc_id", X.event_tag(t).alias("event"), X.is_excluded(F.col("source")).alias("excluded"), X.joined_hash(F.col("source"), F.lit(None), F.col("lang")).alias("slot_hash"), X.upload_status(F.concat(F.lit("file-upload:"), F.col("source"))).alias("status"), F.array_join(X.to_list(F.concat_ws("|", "lang", "source", "lang")), ",").alias("parts"), F.round(X.distance_score(F.col("n_chars") / 100.0), 6).alias("score"))
 
 
+def storefront_paths(spark, d):
+    country = F.upper(F.substring("n_name", 1, 2))
+    locale = F.concat(F.when(F.col("n_nationkey") % 3 == 0, "fr").otherwise("EN"), F.lit("-"), country)
+    return table(spark, d, "nation").select("n_nationkey", X.locale_of_geo(country).alias("locale"), X.storefront_path(locale).alias("path"), X.absolute_url(X.storefront_path(locale), "http://example.com").alias("url"))
+
+
+def user_progress(spark, d):
+    status = F.when(F.col("user_id") % 4 == 0, "Enrichment_Queued").when(F.col("user_id") % 4 == 1, "ENRICHMENT_STARTED").when(F.col("user_id") % 4 == 2, "COMPLETED").otherwise("other")
+    counted = table(spark, d, "events").groupBy("user_id").agg(F.sum((F.col("event_type") == "purchase").cast("long")).alias("n_done"), F.count("*").alias("n_all"))
+    return counted.select("user_id", X.status_alias(status).alias("status"), X.progress(X.status_alias(status), F.col("n_done"), F.col("n_all")).alias("progress"))
+
+
 def full_text_meta(spark, d):
     return S.full_text(docs(spark, d), ["text"], '"of the" -idiot or zzz').select("doc_id")
 
@@ -242,6 +254,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         cleanse_html, content_hash_dups, delta_changed, delta_two_key_fallback, dedup_keep_first, last_wins, latest_version, previous_version, mark_latest, assign_version, chunk_sentences, missing_embeddings, fifo_claim,
         status_counts, final_status, distinct_pairs, grouped_locales, geo_groups, optional_filter_page, site_filter, json_path_filter, array_contains_all, vector_topk, vector_filtered, chip_scores, merge_ranked_lists, usage_fanout,
-        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, full_text_meta, page_tree_extract, page_assets, annotate_stub, embed_stub, flagship,
+        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, page_tree_extract, page_assets, annotate_stub, embed_stub, flagship,
     )
 }
