@@ -21,7 +21,54 @@ chunked AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) -
 """
 
 
+_SECTIONS = """
+s AS (SELECT doc_id AS id, source || '-section' AS key, 'page' || doc_id % 5 AS page_id, lang || '_' || upper(lang) AS locale, lang, text,
+  '/content/dam/acme/' || lang || '_' || upper(lang) || '/page' || doc_id % 5 || '/' || source || '-section' AS path, ['headline', 'copy', 'body'][(doc_id % 3 + 1)::INT] AS role FROM documents)"""
+_EDITED = """
+e AS (SELECT doc_id AS id, lang, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 8 = 2 THEN NULL ELSE lang END AS summary, CASE WHEN doc_id % 6 = 0 THEN 'a,b' ELSE '' END AS tags FROM documents),
+c AS (SELECT *, summary IS DISTINCT FROM lang AS s, tags <> '' AS t FROM e)"""
+_PAGE_NODES = """(VALUES (0, '_path', NULL, 'value'), (1, '_model', NULL, 'value'), (2, 'headline', NULL, 'object'), (3, 'headline.copy', 'headline', 'value'), (4, 'text', NULL, 'array'), (5, 'text.[0]', 'text', 'value'), (6, 'text.[1]', 'text', 'value'),
+  (7, 'heroImage', NULL, 'object'), (8, 'heroImage.viewportSmall', 'heroImage', 'object'), (9, 'heroImage.viewportSmall.uri', 'heroImage.viewportSmall', 'value'), (10, 'heroImage.alt', 'heroImage', 'value')) AS n(ordinal, id, parent, type)"""
+
 SQL: dict[str, str] = {
+    "chat_search": f"""
+WITH {_SECTIONS},
+v AS (SELECT * FROM (SELECT s.*, {_DISTANCE} AS dist FROM s JOIN embeddings ON vec_id = id WHERE key = 'src3-section' AND page_id = 'page3' ORDER BY dist, id LIMIT 15) WHERE role = 'headline'),
+m AS (SELECT * FROM (SELECT *, -id AS dist FROM s WHERE key = 'src3-section' ORDER BY id DESC LIMIT 30) WHERE role = 'headline' AND page_id = 'page3'),
+b AS (SELECT *, 0 AS arm FROM v UNION ALL SELECT *, 1 FROM m),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY path, role, trim(regexp_replace(text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) ORDER BY arm, dist, id) = 1)
+SELECT 'cf' || row_number() OVER (ORDER BY arm, dist, id) AS cf_id, id, role AS content_role, ['content_chunks', 'consolidated_enriched_sections'][arm + 1] AS source, page_id, 'src3-section,headline,page3' AS terms FROM o ORDER BY arm, dist, id LIMIT 15""",
+    "display_fields": f"WITH {_SECTIONS} SELECT id, 'acme' AS tenant, page_id, locale, lang AS language, upper(lang) AS country, role AS content_role FROM s",
+    "refine_chips": f"""
+WITH {_SECTIONS},
+r AS (SELECT vec_id AS id, 1 / (1 + {_DISTANCE}) AS w, s.* EXCLUDE id FROM (SELECT * FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 90) JOIN s ON id = vec_id),
+x AS (SELECT id, 0.2::DOUBLE AS w, s.* EXCLUDE id FROM s WHERE key = 'src3-section' ORDER BY id DESC LIMIT 200),
+b AS (SELECT * FROM r UNION ALL SELECT * FROM x),
+c AS (SELECT id, w, unnest([{{'type': 'sectionName', 'value': role}}, {{'type': 'sectionKey', 'value': key}}, {{'type': 'Tag', 'value': lang}}, {{'type': 'Tag', 'value': 't' || id % 2}}, {{'type': 'Context:facets.sectionKey', 'value': key}}]) AS chip FROM b)
+SELECT chip.type AS type, chip.value AS value, round(sum(w) + CASE WHEN chip.type = 'sectionKey' AND chip.value = 'src3-section' THEN 0.2 WHEN chip.type = 'sectionName' AND chip.value = 'copy' THEN 0.15 ELSE 0 END, 5)::DOUBLE AS score, count(DISTINCT id)::INT AS count FROM c GROUP BY 1, 2""",
+    "section_search": f"WITH {_SECTIONS} SELECT id, path AS section_path FROM s WHERE contains(path, 'src1-section') ORDER BY id DESC LIMIT 40",
+    "country_codes": "SELECT doc_id, lang AS language, ['DE', 'FR', 'MX', NULL][(doc_id % 4 + 1)::INT] AS country FROM documents",
+    "manual_edit": f"WITH {_EDITED} SELECT id, summary, tags, s OR t AS user_override_active, NOT (s OR t) AS new_ai_available FROM c",
+    "edit_revisions": f"WITH {_EDITED} SELECT id AS element_id, CASE WHEN id % 6 = 0 THEN 3 ELSE 1 END AS revision, 'USER' AS source, concat_ws(',', CASE WHEN s THEN 'summary' END, CASE WHEN t THEN 'tags' END) AS updated_fields FROM c WHERE s OR t",
+    "asset_search": """
+SELECT o_orderkey AS id, 'de_DE' AS locale, 'http://example.com/p/' || p_partkey AS preview_uri FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 30 OFFSET 30)
+LEFT JOIN part ON p_partkey = o_orderkey % 100""",
+    "asset_options": "SELECT value, min(rank)::INT AS rank FROM (SELECT 'home' AS value, 0 AS rank UNION ALL SELECT 'shop', 1 UNION ALL SELECT DISTINCT lower(trim(o_orderpriority)), 2 FROM orders WHERE trim(o_orderpriority) <> '') GROUP BY 1",
+    "region_observations": "SELECT geo, locale, 'Uploaded locale ' || locale AS display_name, path AS storefront_path FROM (VALUES ('DE', 'en_DE', '/de/'), ('FR', 'fr_FR', '/fr/fr/'), ('GB', 'en_GB', '/gb/'), ('JP', 'ja_JP', '/jp/ja/')) AS t(geo, locale, path)",
+    "json_nodes": f"SELECT 'page:' || page_id AS source_uri, n.* FROM pages, {_PAGE_NODES}",
+    "tree_filter": f"SELECT 'page:' || page_id AS source_uri, id FROM pages, {_PAGE_NODES} WHERE id IN ('heroImage', 'heroImage.viewportSmall')",
+    "json_metadata": "SELECT doc_id::VARCHAR AS source_uri, lang || '_US' AS locale, source AS page_id FROM documents",
+    "simple_extract": """
+SELECT doc_id::VARCHAR AS source_uri, ordinal, path AS source_path, field, CASE ordinal WHEN 0 THEN source || '!' WHEN 1 THEN lang ELSE source END AS cleansed, model FROM documents,
+(VALUES (0, 'content/sections[0]/copy', 'copy', 'hero'), (1, 'content/sections[0]/analyticsAttributes[0]/value', 'value', 'hero'), (2, 'content/disclaimers/items[0]/copy', 'copy', NULL)) AS t(ordinal, path, field, model)""",
+    "page_tree_extract": f"""
+SELECT 'page:' || page_id AS source_uri, ordinal, url AS source_path, item_type, CASE WHEN ordinal > 0 THEN 'page:' || page_id || ' ::ref:: ' ELSE '' END || url AS usage_path, CASE ordinal WHEN 0 THEN {_CLEAN.format(x='html[1:300]')} WHEN 1 THEN 'first' ELSE 'second' END AS cleansed
+FROM pages, (VALUES (0, 'headline'), (1, 'text[0]'), (2, 'text[1]')) AS t(ordinal, item_type)""",
+    "full_text_meta": r"""
+WITH t AS (SELECT doc_id, ' ' || array_to_string(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '([a-z]{3})(ing|ed|es|s)$', '\1')), ' ') || ' ' AS line FROM documents)
+SELECT doc_id FROM t WHERE (contains(line, ' of the ') AND NOT contains(line, ' idiot ')) OR contains(line, ' zzz ')""",
+    "annotate_stub": r"""
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CASE WHEN text <> '' THEN array_to_string(w[1:12], ' ') END AS summary, coalesce(text, '') <> '' AS valid FROM w""",
     "storefront_paths": """
 WITH n AS (SELECT n_nationkey, upper(n_name[1:2]) AS c, n_nationkey % 3 = 0 AS french FROM nation),
 p AS (SELECT *, '/' || lower(c) || '/' || CASE WHEN french THEN 'fr/' ELSE '' END AS path FROM n)

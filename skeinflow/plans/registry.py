@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import locales
 from ..functions import text as X
+from ..operators import assets, chat, edits, refine
 from ..operators import lifecycle as L
 from ..operators import search as S
 from ..operators import versions as V
 from ..session import ship
-from ..sources import json_items
+from ..sources import json_items, json_tree
 
 #: The query vector of the nearest-neighbour queries: 64 numbers by a rule that SQL can state too.
 QUERY_VECTOR = [((i * 7) % 13 - 6) / 6 for i in range(64)]
@@ -241,6 +243,108 @@ def embed_stub(spark, d):
     return L.embed(docs(spark, d).select("doc_id", "text"), "text").select("doc_id", F.size("vector").alias("dimension"))
 
 
+def _sections(spark, d) -> DataFrame:
+    """Sections made of documents: paths with tenant, locale, page and section; two tags; a context."""
+    key, page = F.concat("source", F.lit("-section")), F.concat(F.lit("page"), F.col("doc_id") % 5)
+    path = F.concat(F.lit("/content/dam/acme/"), "lang", F.lit("_"), F.upper("lang"), F.lit("/"), page, F.lit("/"), key)
+    field = F.when(F.col("doc_id") % 3 == 0, "headline").when(F.col("doc_id") % 3 == 1, "copy").otherwise("body")
+    context = F.to_json(F.struct(page.alias("pageId"), F.struct(key.alias("sectionKey")).alias("facets"), F.struct(F.col("lang").alias("language")).alias("envelope")))
+    tags = F.array(F.col("lang"), F.concat(F.lit("t"), F.col("doc_id") % 2))
+    return docs(spark, d).select(F.col("doc_id").alias("id"), path.alias("section_path"), path.alias("section_uri"), field.alias("original_field_name"), F.col("text").alias("cleansed_text"), F.lit("").alias("summary"), F.lit("").alias("classification"), tags.alias("tags"), F.array().cast("array<string>").alias("keywords"), context.alias("context"), F.timestamp_seconds(F.col("doc_id")).alias("saved_at"))
+
+
+def _chunks(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("section_id"), F.col("embedding").alias("vector"), F.lit("copy").alias("source_field"))
+
+
+def chat_search(spark, d):
+    asked = chat.Request("src3-section headline in page3")
+    return chat.answer(asked, _chunks(spark, d), _sections(spark, d), lambda _: QUERY_VECTOR).select("cf_id", "id", "content_role", "source", "page_id", F.array_join("match_terms", ",").alias("terms"))
+
+
+def display_fields(spark, d):
+    shown = chat.display_fields(_sections(spark, d), F.lit("sections"), locales.aliases(spark))
+    return shown.select("id", "tenant", "page_id", "locale", "language", "country", "content_role")
+
+
+def refine_chips(spark, d):
+    return refine.ranked(_chunks(spark, d), _sections(spark, d), QUERY_VECTOR, "copy for src3-section").select("type", "value", F.round("score", 5).alias("score"), "count")
+
+
+def section_search(spark, d):
+    found = chat.metadata_arm(_sections(spark, d), chat.Criteria(section="src1-section"), 40)
+    return found.select("id", "section_path")
+
+
+def country_codes(spark, d):
+    rows = docs(spark, d).select("doc_id", F.concat("lang", F.lit("-"), F.when(F.col("doc_id") % 4 == 0, "Germany").when(F.col("doc_id") % 4 == 1, "FRA").when(F.col("doc_id") % 4 == 2, "mx").otherwise("nowhere")).alias("place"))
+    return locales.with_code(locales.with_code(rows, "place", "language", "language"), "place", "country", "country").select("doc_id", "language", "country")
+
+
+def _elements(spark, d) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return docs(spark, d).select(F.col("doc_id").alias("id"), F.col("lang").alias("summary"), none.alias("classification"), F.array(F.col("source")).alias("keywords"), F.array().cast("array<string>").alias("tags"), F.lit(False).alias("user_override_active"), F.lit(True).alias("new_ai_available"))
+
+
+def _edits(spark, d) -> DataFrame:
+    """Of every second document: a new summary for some, a blank or null one for others, tags with a repeat."""
+    i = F.col("doc_id")
+    summary = F.when(i % 4 == 0, F.lit(" new ")).when(i % 8 == 2, F.lit("  "))
+    return docs(spark, d).where(i % 2 == 0).select(i.alias("id"), summary.alias("summary"), F.lit(None).cast("string").alias("classification"), F.lit(None).cast("array<string>").alias("keywords"), F.when(i % 3 == 0, F.array(F.lit("a "), F.lit(""), F.lit("a"), F.lit("b"))).alias("tags"))
+
+
+def manual_edit(spark, d):
+    elements = _elements(spark, d)
+    done = edits.apply(elements, edits.changes(elements, _edits(spark, d)))
+    return done.select("id", "summary", F.array_join("tags", ",").alias("tags"), "user_override_active", "new_ai_available")
+
+
+def edit_revisions(spark, d):
+    changed = edits.changes(_elements(spark, d), _edits(spark, d))
+    stored = docs(spark, d).where("doc_id % 6 = 0").select(F.col("doc_id").alias("element_id"), F.lit(2).alias("revision"))
+    return edits.record(stored, changed, "USER").select("element_id", "revision", "source", F.array_join("updated_fields", ",").alias("updated_fields"))
+
+
+def _occurrences(spark, d) -> DataFrame:
+    i = F.col("o_orderkey")
+    return table(spark, d, "orders").select(i.alias("id"), (i % 100).alias("catalog_id"), F.lit("acme").alias("tenant"), F.lit("prod").alias("environment"), F.col("o_orderpriority").alias("project"), F.when(i % 3 == 0, "Shop").otherwise("").alias("site"), F.when(i % 2 == 0, "DE").otherwise("FR").alias("geo"), F.when(i % 2 == 0, "de_DE").otherwise("fr_FR").alias("locale"), F.concat(F.lit("/x/"), F.when(i % 5 == 0, "shop").otherwise("y"), F.lit("/z")).alias("section_path"), F.lit("s").alias("source_uri"), F.col("o_orderdate").alias("created_at"))
+
+
+def asset_search(spark, d):
+    catalog = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/p/"), F.col("p_partkey")).alias("preview_uri"))
+    found = assets.search(_occurrences(spark, d), catalog, assets.Wanted(tenant="ACME", site="shop", geo="Europe", page=1, size=30), {"Europe": "de-de"}, "http://example.com")
+    return found.rows.select("id", "locale", "preview_uri")
+
+
+def asset_options(spark, d):
+    return assets.options(["Home", "shop"], _occurrences(spark, d), "project")
+
+
+def region_observations(spark, d):
+    i = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(i, F.when(i % 3 == 0, "de").alias("geo"), F.when(i % 3 == 1, "fr-fr").when(i % 6 == 2, "en-GB").alias("locale"))
+    return assets.observations(rows, i, None, "ja-JP")
+
+
+def json_nodes(spark, d):
+    return json_tree.nodes(_page_json(spark, d)).select("source_uri", "ordinal", "id", "parent", "type")
+
+
+def tree_filter(spark, d):
+    return json_tree.filtered(json_tree.nodes(_page_json(spark, d)), "VIEWPORT").select("source_uri", "id")
+
+
+def json_metadata(spark, d):
+    made = F.to_json(F.struct(F.struct(F.concat("lang", F.lit("-us")).alias("localeCode")).alias("a"), F.array(F.struct(F.col("source").alias("page_id"))).alias("b")))
+    return json_tree.metadata(docs(spark, d).select(F.col("doc_id").cast("string").alias("source_uri"), made.alias("json")))
+
+
+def simple_extract(spark, d):
+    section = F.struct(F.lit("hero").alias("_model"), F.concat("source", F.lit("<b>!")).alias("copy"), F.array(F.struct(F.col("lang").alias("value"))).alias("analyticsAttributes"))
+    made = F.to_json(F.struct(F.struct(F.array(section).alias("sections"), F.struct(F.array(F.struct(F.col("source").alias("copy"))).alias("items")).alias("disclaimers")).alias("content")))
+    return json_tree.simple_items(docs(spark, d).select(F.col("doc_id").cast("string").alias("source_uri"), made.alias("json")))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Cleanse, hash, compare with the previous version, chunk what changed."""
     now = docs(spark, d).select("doc_id", "source", X.cleanse(F.col("text")).alias("cleansed"))
@@ -254,6 +358,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         cleanse_html, content_hash_dups, delta_changed, delta_two_key_fallback, dedup_keep_first, last_wins, latest_version, previous_version, mark_latest, assign_version, chunk_sentences, missing_embeddings, fifo_claim,
         status_counts, final_status, distinct_pairs, grouped_locales, geo_groups, optional_filter_page, site_filter, json_path_filter, array_contains_all, vector_topk, vector_filtered, chip_scores, merge_ranked_lists, usage_fanout,
-        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, page_tree_extract, page_assets, annotate_stub, embed_stub, flagship,
+        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, page_tree_extract, page_assets, chat_search, display_fields, refine_chips, section_search, country_codes,
+        manual_edit, edit_revisions, asset_search, asset_options, region_observations, json_nodes, tree_filter, json_metadata, simple_extract, annotate_stub, embed_stub, flagship,
     )
 }
