@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import blank_to_null
+from .text import strip
 
 
 def letters(x: str) -> str:
@@ -75,7 +75,7 @@ def _key(x: Column) -> Column:
 
 def _parts(x: Column, kind: str) -> tuple[Column, Column]:
     """The part that is tried first and the whole."""
-    t = blank_to_null(x)
+    t = strip(x)
     part = F.regexp_extract(t, r"^(.+)[-_].", 1) if kind == "language" else F.regexp_extract(t, r".[-_]([^-_]+)$", 1)
     return _key(part), _key(t)
 

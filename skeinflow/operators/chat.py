@@ -206,30 +206,52 @@ def display_fields(sections: DataFrame, source: Column, known: Aliases, tenant:
     """Rows of `RESULT`, each field by its order of precedence.
 
     `sections` has id, section_path, section_uri, original_field_name, cleansed_text, saved_at and context (JSON).
+    The context is parsed once; candidates, codes and choices are one projection each, so that none is spelled out twice.
     """
-    c, uri, path = F.col("context"), F.col("section_uri"), F.col("section_path")
-
-    def found(pattern: str) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")) for p in (uri, path)])
-
-    def locale_at(*keys: str) -> Column:
-        m = F.regexp_extract(at(c, *keys), r"(?i)^([a-z]{2}[-_][a-z]{2})$", 1)
-        return X.normalize_locale(F.nullif(m, F.lit("")), "null")
-
-    locale = F.coalesce(locale_at("envelope", "locale"), locale_at("locale"), locale_at("facets", "locale"), found(r"/([a-z]{2}_[A-Z]{2})/"))
-    country_at = lambda *keys: code_of(at(c, *keys), known.countries, "country")
-    language_at = lambda *keys: code_of(at(c, *keys), known.languages, "language")
-    fields = {
-        "content_role": F.coalesce(X.blank_to_null(F.col("original_field_name")), at(c, "sectionName"), at(c, "elementName"), at(c, "envelope", "sectionName"), at(c, "facets", "sectionName")),
-        "source": source,
-        "last_modified": F.col("saved_at"),
-        "tenant": F.coalesce(at(c, "envelope", "tenant"), at(c, "tenant"), found("/content/dam/([^/]+)/"), F.lit(tenant).cast("string")),
-        "page_id": F.lower(F.coalesce(at(c, "pageId"), at(c, "envelope", "pageId"), at(c, "facets", "pageId"), found("/[a-z]{2}_[A-Z]{2}/([^/]+)/"))),
-        "locale": locale,
-        "language": F.coalesce(language_at("language"), language_at("envelope", "language"), F.substring(locale, 1, 2)),
-        "country": F.coalesce(country_at("envelope", "country"), country_at("country"), country_at("facets", "country"), F.substring(locale, 4, 2)),
-    }
-    return sections.select("*", *[v.alias(k) for k, v in fields.items()])
+    names = ("tenant", "pageId", "locale", "language", "country", "sectionName", "elementName")
+    level = ", ".join(f"{n}: string" for n in names)
+    parsed = sections.withColumn("_c", F.from_json("context", f"struct<{level}, envelope: struct<{level}>, facets: struct<{level}>>"))
+    where = {"": F.col("_c"), "envelope": F.col("_c.envelope"), "facets": F.col("_c.facets")}
+    patterns = {"tenant": "/content/dam/([^/]+)/", "page": "/[a-z]{2}_[A-Z]{2}/([^/]+)/", "locale": "/([a-z]{2}_[A-Z]{2})/"}
+    raw = parsed.select(
+        *sections.columns,
+        F.struct(*[X.strip(at_level[n]).alias(f"{part}{n}") for part, at_level in where.items() for n in names]).alias("_r"),
+        F.struct(*[F.regexp_extract(p, pattern, 1).alias(f"{p}_{n}") for n, pattern in patterns.items() for p in ("section_uri", "section_path")]).alias("_p"),
+        X.strip(F.col("original_field_name")).alias("_field"),
+    )
+
+    def on_paths(name: str) -> list[Column]:
+        return [F.col(f"_p.{p}_{name}") for p in ("section_uri", "section_path")]
+
+    r = lambda name: F.col(f"_r.{name}")
+    locales = [r(f"{part}locale") for part in ("envelope", "", "facets")]
+    fit = F.filter(F.array(*locales, *on_paths("locale")), lambda x: x.rlike("(?i)^[a-z]{2}[-_][a-z]{2}$"))
+    chosen = raw.select(
+        *sections.columns,
+        F.try_element_at(fit, F.lit(1)).alias("_locale"),
+        *[code_of(r(f"{part}country"), known.countries, "country").alias(f"_country_{part}") for part in where],
+        *[code_of(r(f"{part}language"), known.languages, "language").alias(f"_language_{part}") for part in ("", "envelope")],
+        _first(F.col("_field"), r("sectionName"), r("elementName"), r("envelopesectionName"), r("facetssectionName")).alias("content_role"),
+        _first(r("envelopetenant"), r("tenant"), *on_paths("tenant"), F.lit(tenant).cast("string")).alias("tenant"),
+        F.lower(_first(r("pageId"), r("envelopepageId"), r("facetspageId"), *on_paths("page"))).alias("page_id"),
+    )
+    language, country = F.lower(F.substring("_locale", 1, 2)), F.upper(F.substring("_locale", 4, 2))
+    return chosen.select(
+        *sections.columns,
+        "content_role",
+        source.alias("source"),
+        F.col("saved_at").alias("last_modified"),
+        "tenant",
+        "page_id",
+        F.concat(language, F.lit("_"), country).alias("locale"),
+        F.coalesce("_language_", "_language_envelope", language).alias("language"),
+        F.coalesce("_country_envelope", "_country_", "_country_facets", country).alias("country"),
+    )
+
+
+def _first(*cs: Column) -> Column:
+    """The first that isn't null or empty."""
+    return F.try_element_at(F.filter(F.array(*cs), lambda x: x != ""), F.lit(1))
 
 
 def matches(c: Criteria) -> Column:
