@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks, geo_group_of_locale, geo_rank
+from ..functions.labels import path_label
+from ..functions.text import STATUS_ORDER, blank_to_null, chunks, geo_group_of_locale, geo_rank, status_alias
 from ..session import ship
 from .versions import append_absent, first_per
 
@@ -85,6 +86,35 @@ def observe(stored: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.greatest("last_seen_at", "_at").alias("last_seen_at"), (F.coalesce("seen_count", F.lit(0)) + F.col("_at").isNotNull().cast("long")).alias("seen_count"))
 
 
+def element_groups(elements: DataFrame, position: str) -> DataFrame:
+    """Rows (group_key, label, n, first_position): elements by path, else by title, else alone, in order of first sight.
+
+    `elements` has path and title. Only counts leave the tasks, so a path that most elements share is no hot group.
+    """
+    path, title = blank_to_null(F.col("path")), blank_to_null(F.col("title"))
+    key = F.coalesce(path, F.concat(F.lit("title:"), F.lower(title)), F.concat(F.lit("group-"), F.col(position)))
+    label = F.coalesce(F.when(path.isNotNull(), path_label(path)), F.lower(title), F.concat(F.lit("Element group "), F.col(position) + 1))
+    rows = elements.select(key.alias("group_key"), label.alias("label"), F.col(position).alias("_at"))
+    grouped = rows.groupBy("group_key").agg(F.min("label").alias("label"), F.count("*").alias("n"), F.min("_at").alias("first_position"))
+    return grouped.orderBy("first_position", "group_key")
+
+
+def status_history(events: DataFrame, key: str, status: str, at: str) -> DataFrame:
+    """Rows (key, status, at, place): each state once per key at its first time, in the pipeline's order, then errors, then others by time."""
+    known = [*STATUS_ORDER, "ERROR"]
+    state = status_alias(F.col(status))
+    once = events.where(blank_to_null(F.col(status)).isNotNull()).groupBy(key, state.alias("status")).agg(F.min(at).alias("at"))
+    rank = F.coalesce(*[F.when(F.col("status") == s, F.lit(i)) for i, s in enumerate(known)], F.lit(len(known)))
+    return once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(rank, F.col("at").asc_nulls_last(), "status")))
+
+
+def partition_queue(items: DataFrame, skip: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(skipped, queued, expected): the changed items' two parts, and the number of distinct queued (path, field) per document."""
+    queued = items.where(~F.coalesce(skip, F.lit(False)))
+    expected = queued.groupBy("source_uri").agg(F.count_distinct("source_path", "item_type").alias("n_expected"))
+    return items.where(F.coalesce(skip, F.lit(False))), queued, expected
+
+
 def embed_offline(text: str, dimension: int = 64) -> list[float]:
     """A deterministic stand-in for an embedding service: signed word hashes."""
     out = [0.0] * dimension

@@ -57,6 +57,17 @@ LEFT JOIN part ON p_partkey = o_orderkey % 100""",
     "region_observations": "SELECT geo, locale, 'Uploaded locale ' || locale AS display_name, path AS storefront_path FROM (VALUES ('DE', 'en_DE', '/de/'), ('FR', 'fr_FR', '/fr/fr/'), ('GB', 'en_GB', '/gb/'), ('JP', 'ja_JP', '/jp/ja/')) AS t(geo, locale, path)",
     "json_nodes": f"SELECT 'page:' || page_id AS source_uri, n.* FROM pages, {_PAGE_NODES}",
     "tree_filter": f"SELECT 'page:' || page_id AS source_uri, id FROM pages, {_PAGE_NODES} WHERE id IN ('heroImage', 'heroImage.viewportSmall')",
+    "label_functions": """
+WITH t AS (SELECT *, CASE WHEN n_chars >= 1048576 THEN 2 WHEN n_chars >= 1024 THEN 1 ELSE 0 END AS p, n_chars / 1024.0::DOUBLE ** CASE WHEN n_chars >= 1048576 THEN 2 WHEN n_chars >= 1024 THEN 1 ELSE 0 END AS v FROM documents)
+SELECT doc_id, ['File upload', 'API payload', 'Classpath resource'][(doc_id % 3 + 1)::INT] AS source_label, CASE WHEN p = 0 OR v > 9 THEN printf('%.0f', floor(v + 0.5)) ELSE printf('%.1f', floor(v * 10 + 0.5) / 10) END || ' ' || ['B', 'KB', 'MB'][p + 1] AS size,
+  source || ' section' AS path_label, lang || CASE WHEN doc_id % 2 = 0 THEN '-US' ELSE '' END AS locale, doc_id % 2 = 0 AS hidden, doc_id % 2 = 0 AS skipped FROM t""",
+    "element_groups": """
+SELECT CASE doc_id % 3 WHEN 0 THEN '/p/' || source || '-x' WHEN 1 THEN 'title:' || lang ELSE 'group-' || doc_id END AS group_key, CASE doc_id % 3 WHEN 0 THEN source || ' x' WHEN 1 THEN lang ELSE 'Element group ' || (doc_id + 1) END AS label,
+  count(*) AS n, min(doc_id) AS first_position FROM documents GROUP BY 1, 2""",
+    "status_history": """
+WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'ENRICHMENT_COMPLETE' WHEN 'view' THEN 'WAITING_FOR_RESULTS' WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'SEEN' END AS status FROM events),
+o AS (SELECT user_id, status, min(event_id) AS at FROM e WHERE status IS NOT NULL GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE status WHEN 'WAITING_FOR_RESULTS' THEN 1 WHEN 'ENRICHMENT_COMPLETE' THEN 2 WHEN 'ERROR' THEN 3 ELSE 4 END)::INT AS place FROM o""",
     "json_metadata": "SELECT doc_id::VARCHAR AS source_uri, lang || '_US' AS locale, source AS page_id FROM documents",
     "simple_extract": """
 SELECT doc_id::VARCHAR AS source_uri, ordinal, path AS source_path, field, CASE ordinal WHEN 0 THEN source || '!' WHEN 1 THEN lang ELSE source END AS cleansed, model FROM documents,

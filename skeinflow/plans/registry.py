@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import locales
+from ..functions import labels, locales
 from ..functions import text as X
 from ..operators import assets, chat, edits, refine
 from ..operators import lifecycle as L
@@ -345,6 +345,23 @@ def simple_extract(spark, d):
     return json_tree.simple_items(docs(spark, d).select(F.col("doc_id").cast("string").alias("source_uri"), made.alias("json")))
 
 
+def label_functions(spark, d):
+    i, source = F.col("doc_id"), F.col("source")
+    uri = F.concat(F.when(i % 3 == 0, "file-upload:").when(i % 3 == 1, "x-api-").otherwise("classpath:"), source)
+    name = F.concat(source, F.lit("_"), "lang", F.when(i % 2 == 0, "_US.json").otherwise(".json"))
+    return docs(spark, d).select("doc_id", labels.source_label(labels.source_type(F.lit(None).cast("string"), uri)).alias("source_label"), labels.bytes_label(F.col("n_chars")).alias("size"), labels.path_label(F.concat(F.lit("/a ::ref:: /b/"), source, F.lit("-section/"))).alias("path_label"), labels.filename_locale(name).alias("locale"), labels.is_hidden(F.concat(F.when(i % 2 == 0, "Alt").otherwise("salt"), F.lit("[0]"))).alias("hidden"), labels.is_skipped(F.when(i % 2 == 0, "not-enriched")).alias("skipped"))
+
+
+def element_groups(spark, d):
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/p/"), "source", F.lit("-x"))).alias("path"), F.when(F.col("doc_id") % 3 == 1, F.upper("lang")).alias("title"))
+    return L.element_groups(rows, "doc_id")
+
+
+def status_history(spark, d):
+    named = F.when(F.col("event_type") == "click", "enriched").when(F.col("event_type") == "view", "WAITING_FOR_AI_OUTPUT").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "seen")
+    return L.status_history(table(spark, d, "events").select("user_id", named.alias("state"), "event_id"), "user_id", "state", "event_id")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Cleanse, hash, compare with the previous version, chunk what changed."""
     now = docs(spark, d).select("doc_id", "source", X.cleanse(F.col("text")).alias("cleansed"))
@@ -359,6 +376,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cleanse_html, content_hash_dups, delta_changed, delta_two_key_fallback, dedup_keep_first, last_wins, latest_version, previous_version, mark_latest, assign_version, chunk_sentences, missing_embeddings, fifo_claim,
         status_counts, final_status, distinct_pairs, grouped_locales, geo_groups, optional_filter_page, site_filter, json_path_filter, array_contains_all, vector_topk, vector_filtered, chip_scores, merge_ranked_lists, usage_fanout,
         revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, page_tree_extract, page_assets, chat_search, display_fields, refine_chips, section_search, country_codes,
-        manual_edit, edit_revisions, asset_search, asset_options, region_observations, json_nodes, tree_filter, json_metadata, simple_extract, annotate_stub, embed_stub, flagship,
+        manual_edit, edit_revisions, asset_search, asset_options, region_observations, json_nodes, tree_filter, json_metadata, simple_extract, label_functions, element_groups, status_history, annotate_stub, embed_stub, flagship,
     )
 }
