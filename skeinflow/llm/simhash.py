@@ -16,9 +16,10 @@ so the work stays linear and no bucket is capped.
 Similarity. Two bits hold only the closest copies: at a Jaccard similarity of 0.8 about ten bits of 64
 differ, which no segment keys find selectively. With `similarity`, links of that Jaccard similarity are
 added: `ROWS` x `BANDS` MinHashes of the same shingles give band keys. In a bucket the share of equal
-MinHashes (8 bits of each) tells the candidates, `SLACK` below the similarity; larger buckets compare
-with pivots that differ from band to band, so not all pairs are emitted. Candidates are verified
-exactly on the sets of shingle hashes.
+MinHashes (8 bits of each) tells the candidates, `SLACK` below the similarity; larger buckets first compare
+with pivots that differ from band to band. Candidates are verified exactly on the sets of shingle hashes.
+Then the larger buckets emit all candidates that the verified links have not connected, and these are
+verified too: no pair of a bucket is passed over, and what is connected already isn't emitted squared.
 
 Nulls and empty texts have no shingle: fingerprint zero, linked like any other. Texts shorter than
 the shingle width give one shingle of all their words. Repeated rows and ids keep their own rows.
@@ -39,7 +40,7 @@ from ._common import cut, min_label_components, release, slices, utf8_buffers
 SEED = 42
 #: MinHash bands and the rows of each; a similarity of 0.8 is found with a probability of 0.9996.
 BANDS, ROWS = 20, 5
-#: Buckets of so many compare all pairs at once; larger ones go pivot by pivot.
+#: Buckets of so many compare all pairs at once; larger ones go pivot by pivot, and then compare what is not connected.
 PAIRWISE = 64
 #: Classes (fp and id, 16 bytes each) whose texts may be picked by broadcast; more are joined by shuffle.
 BROADCAST_CLASSES = 1_000_000
@@ -165,6 +166,23 @@ def similar_links(sketch: np.ndarray, similarity: float) -> list[tuple[int, int]
     return links
 
 
+def open_links(sketch: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All candidate links, as `similar_links` tells them, between rows of different `root`, in blocks."""
+    _, group, n = np.unique(root, return_inverse=True, return_counts=True)
+    # rows of the largest group come last: they meet the others, but not one another
+    order = np.argsort(group == n.argmax(), kind="stable")
+    group, rows, others = group[order], np.ascontiguousarray(sketch[order].T), len(group) - int(n.max())
+    step = max(1, (1 << 22) // len(group))
+    for lo in range(0, others, step):
+        hi = min(lo + step, others)
+        same = np.zeros((hi - lo, len(group) - lo), np.uint8)
+        for row in rows:
+            same += row[lo:hi, None] == row[None, lo:]
+        near = (same >= (similarity - SLACK) * len(rows)) & (group[lo:hi, None] != group[None, lo:])
+        left, right = np.nonzero(np.triu(near, 1))
+        yield order[left + lo], order[right + lo]
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """Rows (fp, shingles): the sorted distinct shingle hashes of `docs` (fp, text)."""
 
@@ -207,42 +225,74 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate edges (a < b) between the fingerprints of `classes` (fp, bands, sketch) that share a band."""
+def band_keys(classes: DataFrame) -> DataFrame:
+    """Rows (key, fp, sketch, root) for each band of `classes` (fp, bands, sketch, root), bucket by bucket."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-            every = np.repeat(np.arange(len(batch)), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(every)), batch.column(2).take(pa.array(every))], names=["key", "fp", "sketch"])
+            every = pa.array(np.repeat(np.arange(len(batch)), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(every) for i in (0, 2, 3))], names=["key", "fp", "sketch", "root"])
+
+    keyed = classes.where("bands is not null").select("fp", "bands", "sketch", "root").mapInArrow(emit, "key long, fp long, sketch binary, root long")
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key", "fp")
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, fps, sketches, roots) of each bucket of two or more."""
+    key, rows = None, []
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        fps, sketch, root = zip(*rows, strict=True)
+        return key, np.array(fps, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS), np.array(root, np.int64)
+
+    for batch in batches:
+        for k, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if k != key:
+                if len(rows) > 1:
+                    yield whole()
+                key, rows = k, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield whole()
+
+
+def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """Candidate edges (a < b) between the fingerprints of `classes` (fp, bands, sketch) that share a band.
+
+    All of a bucket of up to `PAIRWISE`; of a larger one those with pivots, and an edge (a, a) for each
+    of its fingerprints, of which `open_pairs` gives the rest.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, rows = None, [], []
+        for key, fps, sketch, _ in buckets(batches):
+            if len(fps) > PAIRWISE:  # other pivots in each band
+                order = np.argsort((fps.view(np.uint64) ^ np.uint64(key & (1 << 63) - 1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+                fps, sketch = fps[order], sketch[order]
+                yield edges(fps, fps)
+            found = np.array(similar_links(sketch, similarity), np.int64).reshape(-1, 2)
+            yield edges(fps[found[:, 0]], fps[found[:, 1]])
+        release()
 
-        def close() -> tuple[list[int], list[int]]:
-            if len(rows) > PAIRWISE:  # other pivots in each band
-                order = np.argsort((np.array(fps, np.int64).view(np.uint64) ^ np.uint64(key & (1 << 63) - 1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable").tolist()
-                fps[:], rows[:] = [fps[x] for x in order], [rows[x] for x in order]
-            found = similar_links(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, BANDS * ROWS), similarity) if len(rows) > 1 else []
-            return [min(fps[x], fps[y]) for x, y in found], [max(fps[x], fps[y]) for x, y in found]
+    return band_keys(classes.withColumn("root", F.col("fp"))).mapInArrow(verify, "a long, b long").distinct()
 
-        for batch in batches:
-            a, b = [], []
-            for k, fp, sketch in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != key:
-                    left, right = close()
-                    a += left
-                    b += right
-                    key, fps, rows = k, [], []
-                fps.append(fp)
-                rows.append(sketch)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in close()], names=["a", "b"])
+
+def open_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """All candidate edges (a < b) in buckets of over `PAIRWISE` of `classes` (fp, bands, sketch, root) between different roots."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, fps, sketch, root in buckets(batches):
+            if len(fps) > PAIRWISE:
+                for left, right in open_links(sketch, root, similarity):
+                    yield edges(fps[left], fps[right])
         release()
 
-    keyed = classes.where("bands is not null").select("fp", "bands", "sketch").mapInArrow(emit, "key long, fp long, sketch binary")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(verify, "a long, b long").distinct()
+    return band_keys(classes).mapInArrow(verify, "a long, b long").distinct()
 
 
 def fingerprint_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -381,7 +431,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fps = cut(sketch_frame(docs, id_col, text_col, width))
         classes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("low"), F.min_by("bands", id_col).alias("bands"), F.min_by("sketch", id_col).alias("sketch")))
         texts = docs.select(F.col(id_col).alias("low"), F.col(text_col).cast("string").alias("text"))
-        links = link_pairs(classes.select("fp")).unionByName(verified(cut(similar_pairs(classes, similarity)), classes.select("fp", "low"), texts, width, similarity))
+        pairs = cut(similar_pairs(classes, similarity))
+        links = link_pairs(classes.select("fp")).unionByName(verified(pairs.where("a <> b"), classes.select("fp", "low"), texts, width, similarity))
+        large = pairs.where("a = b").select(F.col("a").alias("fp"))
+        if not large.isEmpty():
+            roots = min_label_components(links)
+            rooted = classes.join(large, "fp", "left_semi").join(roots, F.col("fp") == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
+            rest = verified(cut(open_pairs(rooted, similarity)), classes.select("fp", "low"), texts, width, similarity)
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
         fps, classes = fps.select(id_col, "fp"), classes.select("fp", "low")
     roots = min_label_components(links)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))

@@ -205,3 +205,21 @@ def test_similar_texts_against_brute_force(spark):
                 root[max(x, y)] = min(x, y)
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(docs, width=5, similarity=0.8).collect()}
     assert got == {i: find(i) for i in sets}
+
+
+def test_copies_in_a_family_of_similar_texts(spark):
+    rng = np.random.default_rng(7)
+    form, rows = [f"w{k}" for k in range(177)], []
+    for k in range(400):  # a form with a field of 23 words: 0.757 to one another; the copy of each has 12 other words: 0.85
+        field = [f"x{x}" for x in rng.integers(0, 1 << 40, 23)]
+        copy = field[:11] + [f"y{x}" for x in rng.integers(0, 1 << 40, 12)]
+        rows += [(2 * k, " ".join(form[:90] + field + form[90:])), (2 * k + 1, " ".join(form[:90] + copy + form[90:]))]
+
+    def jaccard(x, y):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split(), y.split()))
+        return len(x & y) / len(x | y)
+
+    assert all(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8 for k in range(400))
+    assert all(jaccard(rows[2 * k][1], rows[(2 * k + 3) % 800][1]) < 0.8 for k in range(400))
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8).collect()}
+    assert [k for k in range(400) if got[2 * k] != got[2 * k + 1]] == []
