@@ -13,13 +13,14 @@ and each bucket is verified exactly. A bucket of up to 65 fingerprints compares
 larger one groups them by their 65 one-bit balls, which meet exactly if two bits or fewer differ,
 so the work stays linear and no bucket is capped.
 
-Similarity. Two bits hold only the closest copies: at a Jaccard similarity of 0.8 about ten bits of 64
-differ, which no segment keys find selectively. With `similarity`, links of that Jaccard similarity are
-added: `ROWS` x `BANDS` MinHashes of the same shingles give band keys. In a bucket the share of equal
+Similarity. Two bits hold only the closest copies, and texts with very frequent lines that are no copies:
+at a Jaccard similarity of 0.8 about ten bits of 64 differ, which no segment keys find selectively. With
+`similarity`, links are those of that Jaccard similarity: a class is a set of shingles (told by 64 bits),
+and links of fingerprints are candidates as others. `ROWS` x `BANDS` MinHashes of the same shingles give band keys. In a bucket the share of equal
 MinHashes (8 bits of each) tells the candidates, `SLACK` below the similarity; larger buckets first compare
 with pivots that differ from band to band. Candidates are verified exactly on the sets of shingle hashes.
-Then the larger buckets emit all candidates that the verified links have not connected, and these are
-verified too: no pair of a bucket is passed over, and what is connected already isn't emitted squared.
+Then those of the larger buckets that have candidates which the verified links haven't connected come
+together again with their sets, and all their pairs are verified there: none is passed over, none is a row.
 
 Nulls and empty texts have no shingle: fingerprint zero, linked like any other. Texts shorter than
 the shingle width give one shingle of all their words. Repeated rows and ids keep their own rows.
@@ -42,7 +43,7 @@ SEED = 42
 BANDS, ROWS = 20, 5
 #: Buckets of so many compare all pairs at once; larger ones go pivot by pivot, and then compare what is not connected.
 PAIRWISE = 64
-#: Classes (fp and id, 16 bytes each) whose texts may be picked by broadcast; more are joined by shuffle.
+#: Classes (set and id, 16 bytes each) whose texts may be picked by broadcast; more are joined by shuffle.
 BROADCAST_CLASSES = 1_000_000
 #: What the estimate from 100 MinHashes may lie below the similarity: over four standard deviations.
 SLACK = 0.17
@@ -131,25 +132,39 @@ def sketches(n_rows: int, hashed: tuple) -> tuple[list[bytes | None], list[bytes
     return bands, small
 
 
+def distinct_shingles(n_rows: int, hashed: tuple) -> list[bytes]:
+    """The sorted distinct shingle hashes of each row."""
+    some, n_shingles, row_start, hashes = hashed
+    sets = [b""] * n_rows
+    for row, a, m in zip(some.tolist(), row_start.tolist(), n_shingles.tolist(), strict=True):
+        sets[row] = np.unique(hashes[a : a + m]).astype("<u8").tobytes()
+    return sets
+
+
+def set_ids(sets: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+
+
 def sketch_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """Rows (id_col, fp, bands, sketch)."""
+    """Rows (id_col, fp, set_id, bands, sketch); set_id tells the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8_buffers(batch.column(1))
-            fps, bands, small = [np.zeros(0, np.uint64)], [], []
+            fps, ids, bands, small = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
             for lo, hi in slices(offsets):
                 own, text = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 hashed = shingle_hashes(own, text, width)
                 fps.append(fingerprints(own, text, width, hashed))
+                ids.append(set_ids(distinct_shingles(hi - lo, hashed)))
                 a, b = sketches(hi - lo, hashed)
                 bands += a
                 small += b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64)), pa.array(bands, pa.binary()), pa.array(small, pa.binary())], names=["id", "fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(bands, pa.binary()), pa.array(small, pa.binary())], names=["id", "fp", "set_id", "bands", "sketch"])
         release()
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, fp long, bands binary, sketch binary").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, fp long, set_id long, bands binary, sketch binary").withColumnRenamed("id", id_col)
 
 
 def similar_links(sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -184,27 +199,30 @@ def open_links(sketch: np.ndarray, root: np.ndarray, similarity: float) -> Itera
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (fp, shingles): the sorted distinct shingle hashes of `docs` (fp, text)."""
+    """Rows (set_id, shingles): the sorted distinct shingle hashes of those `docs` (set_id, text) that have this set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8_buffers(batch.column(1))
-            sets = [b""] * len(batch)
+            sets = []
             for lo, hi in slices(offsets):
-                some, n, start, hashes = shingle_hashes(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], width)
-                for row, a, m in zip(some.tolist(), start.tolist(), n.tolist(), strict=True):
-                    sets[lo + row] = np.unique(hashes[a : a + m]).astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+                sets += distinct_shingles(hi - lo, shingle_hashes(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], width))
+            own = set_ids(sets) == batch.column(0).to_numpy()  # a repeated id has other texts too
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["set_id", "shingles"]).filter(pa.array(own))
         release()
 
-    return docs.select("fp", F.col("text").cast("string").alias("text")).mapInArrow(run, "fp long, shingles binary")
+    return docs.select("set_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "set_id long, shingles binary")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The `pairs` (a, b) of fingerprints whose texts have the Jaccard similarity.
+def sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Rows (set_id, shingles) of the sets that are `wanted` (set_id); `classes` (set_id, low) names the id of a text of each in `texts` (low, text)."""
+    named = cut(classes.join(wanted.select("set_id").distinct(), "set_id", "left_semi"))
+    found = texts.join(F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named, "low")
+    return cut(shingle_sets(found, width).groupBy("set_id").agg(F.min("shingles").alias("shingles")))
 
-    `classes` (fp, low) names the text of each in `texts` (low, text); of repeated ids the least text counts.
-    """
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The `pairs` (a, b) of sets that have the Jaccard similarity; the rest is as in `sets_of`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,36 +234,33 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
         release()
 
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    named = cut(classes.join(wanted, "fp", "left_semi"))
-    found = texts.join(F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named, "low")
-    sets = cut(shingle_sets(found.groupBy("fp").agg(F.min("text").alias("text")), width))
-    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = sets_of(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))), classes, texts, width)
+    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """Rows (key, fp, sketch, root) for each band of `classes` (fp, bands, sketch, root), bucket by bucket."""
+    """Rows (key, set_id, sketch, root) for each band of `classes` (set_id, bands, sketch, root), bucket by bucket."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
             every = pa.array(np.repeat(np.arange(len(batch)), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(every) for i in (0, 2, 3))], names=["key", "fp", "sketch", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(every) for i in (0, 2, 3))], names=["key", "set_id", "sketch", "root"])
 
-    keyed = classes.where("bands is not null").select("fp", "bands", "sketch", "root").mapInArrow(emit, "key long, fp long, sketch binary, root long")
+    keyed = classes.where("bands is not null").select("set_id", "bands", "sketch", "root").mapInArrow(emit, "key long, set_id long, sketch binary, root long")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "fp")
+    return keyed.repartition(n, "key").sortWithinPartitions("key", "set_id")
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, fps, sketches, roots) of each bucket of two or more."""
+    """(key, set ids, sketches, roots) of each bucket of two or more."""
     key, rows = None, []
 
     def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        fps, sketch, root = zip(*rows, strict=True)
-        return key, np.array(fps, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS), np.array(root, np.int64)
+        ids, sketch, root = zip(*rows, strict=True)
+        return key, np.array(ids, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS), np.array(root, np.int64)
 
     for batch in batches:
         for k, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -263,36 +278,80 @@ def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate edges (a < b) between the fingerprints of `classes` (fp, bands, sketch) that share a band.
+    """Candidate edges (a < b) between the sets of `classes` (set_id, bands, sketch) that share a band.
 
     All of a bucket of up to `PAIRWISE`; of a larger one those with pivots, and an edge (a, a) for each
-    of its fingerprints, of which `open_pairs` gives the rest.
+    of its sets, of which `open_edges` gives the rest.
     """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fps, sketch, _ in buckets(batches):
-            if len(fps) > PAIRWISE:  # other pivots in each band
-                order = np.argsort((fps.view(np.uint64) ^ np.uint64(key & (1 << 63) - 1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-                fps, sketch = fps[order], sketch[order]
-                yield edges(fps, fps)
+        for key, ids, sketch, _ in buckets(batches):
+            if len(ids) > PAIRWISE:  # other pivots in each band
+                order = np.argsort((ids.view(np.uint64) ^ np.uint64(key & (1 << 63) - 1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+                ids, sketch = ids[order], sketch[order]
+                yield edges(ids, ids)
             found = np.array(similar_links(sketch, similarity), np.int64).reshape(-1, 2)
-            yield edges(fps[found[:, 0]], fps[found[:, 1]])
+            yield edges(ids[found[:, 0]], ids[found[:, 1]])
         release()
 
-    return band_keys(classes.withColumn("root", F.col("fp"))).mapInArrow(verify, "a long, b long").distinct()
+    return band_keys(classes.withColumn("root", F.col("set_id"))).mapInArrow(verify, "a long, b long").distinct()
 
 
-def open_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """All candidate edges (a < b) in buckets of over `PAIRWISE` of `classes` (fp, bands, sketch, root) between different roots."""
+def open_members(classes: DataFrame, similarity: float) -> DataFrame:
+    """Rows (key, block, set_id): in buckets of over `PAIRWISE` of `classes` (set_id, bands, sketch, root), the sets of all candidate links between different roots."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, fps, sketch, root in buckets(batches):
-            if len(fps) > PAIRWISE:
-                for left, right in open_links(sketch, root, similarity):
-                    yield edges(fps[left], fps[right])
+        for key, ids, sketch, root in buckets(batches):
+            if len(ids) > PAIRWISE:
+                for block, (left, right) in enumerate(open_links(sketch, root, similarity)):
+                    some = ids[np.union1d(left, right)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), x, np.int64)) for x in (key, block)] + [pa.array(some)], names=["key", "block", "set_id"])
         release()
 
-    return band_keys(classes).mapInArrow(verify, "a long, b long").distinct()
+    return band_keys(classes).mapInArrow(verify, "key long, block long, set_id long")
+
+
+def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all of `sets` (distinct, not empty) that are connected by pairs of the Jaccard similarity."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    label, links = np.arange(len(sets)), []
+    for k in range(len(sets)):
+        own = np.zeros(len(values), bool)
+        own[at[start[k] : start[k] + size[k]]] = True
+        common = np.add.reduceat(own[at], start, dtype=np.int32)
+        near = np.flatnonzero((common >= similarity / (1 + similarity) * (size + size[k]) - 1e-6) & (label != label[k]))
+        joined, first = np.unique(label[near], return_index=True)
+        links += [(k, int(x)) for x in near[first]]
+        label[np.isin(label, joined)] = label[k]
+    return links
+
+
+def open_edges(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Verified edges (a, b) that connect all of each block of `members` (key, block, set_id) that the similarity connects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, shingles = None, [], []
+        for batch in batches:
+            for k, block, i, x in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if (k, block) != key:
+                    if ids:
+                        yield close(ids, shingles)
+                    key, ids, shingles = (k, block), [], []
+                ids.append(i)
+                shingles.append(np.frombuffer(x, "<u8"))
+        if ids:
+            yield close(ids, shingles)
+        release()
+
+    def close(ids: list[int], shingles: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.array(exact_links(shingles, similarity), np.int64).reshape(-1, 2)
+        return edges(np.array(ids, np.int64)[found[:, 0]], np.array(ids, np.int64)[found[:, 1]])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.join(sets, "set_id").select("key", "block", "set_id", "shingles").repartition(n, "key", "block")
+    return dealt.sortWithinPartitions("key", "block", "set_id").mapInArrow(run, "a long, b long").distinct()
 
 
 def fingerprint_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -417,34 +476,45 @@ def link_pairs(fps: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(verify, "a long, b long")
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Candidate edges (a < b) between sets of equal or linked fingerprints of `rows` (fp, set_id), by the least set of each."""
+    sets = rows.distinct()
+    least = cut(sets.groupBy("fp").agg(F.min("set_id").alias("a")))
+    equal = sets.join(least, "fp").select("a", F.col("set_id").alias("b"))
+    near = link_pairs(least.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other"))
+    near = near.join(least, "fp").join(least.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
+    return equal.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """Rows (id_col, fp long, component_id): the smallest id reachable over links, itself included.
 
-    With `similarity`, texts of that Jaccard similarity link as well; equal fingerprints are
-    represented by the text of their smallest id.
+    With `similarity`, texts of that Jaccard similarity link, and no others.
     """
     if similarity is None:
+        key = "fp"
         fps = cut(fingerprint_frame(docs, id_col, text_col, width))
         classes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
-        links = link_pairs(classes.select("fp"))
+        roots = min_label_components(link_pairs(classes.select("fp")))
     else:
+        key = "set_id"
         fps = cut(sketch_frame(docs, id_col, text_col, width))
-        classes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("low"), F.min_by("bands", id_col).alias("bands"), F.min_by("sketch", id_col).alias("sketch")))
+        classes = cut(fps.groupBy("set_id").agg(F.min(id_col).alias("low"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
         texts = docs.select(F.col(id_col).alias("low"), F.col(text_col).cast("string").alias("text"))
-        pairs = cut(similar_pairs(classes, similarity))
-        links = link_pairs(classes.select("fp")).unionByName(verified(pairs.where("a <> b"), classes.select("fp", "low"), texts, width, similarity))
-        large = pairs.where("a = b").select(F.col("a").alias("fp"))
+        pairs = cut(similar_pairs(classes, similarity).unionByName(fingerprint_pairs(fps.select("fp", "set_id"))).distinct())
+        links = cut(verified(pairs.where("a <> b"), classes.select("set_id", "low"), texts, width, similarity))
+        roots = min_label_components(links)
+        large = pairs.where("a = b").select(F.col("a").alias("set_id"))
         if not large.isEmpty():
-            roots = min_label_components(links)
-            rooted = classes.join(large, "fp", "left_semi").join(roots, F.col("fp") == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-            rest = verified(cut(open_pairs(rooted, similarity)), classes.select("fp", "low"), texts, width, similarity)
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
-        fps, classes = fps.select(id_col, "fp"), classes.select("fp", "low")
-    roots = min_label_components(links)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+            rooted = classes.join(large, "set_id", "left_semi").join(roots, F.col("set_id") == roots.node, "left").withColumn("root", F.coalesce("root", "set_id"))
+            members = cut(open_members(rooted, similarity))
+            rest = open_edges(members, sets_of(members, classes.select("set_id", "low"), texts, width), similarity)
+            roots = min_label_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+        fps, classes = fps.select(id_col, "fp", "set_id"), classes.select("set_id", "low")
+    rooted = classes.join(roots, classes[key] == roots.node, "left").select(key, "low", F.coalesce("root", key).alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    named = rooted.join(lowest, "root").select(key, "component_id")
+    return fps.join(named, key).select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:

@@ -223,3 +223,21 @@ def test_copies_in_a_family_of_similar_texts(spark):
     assert all(jaccard(rows[2 * k][1], rows[(2 * k + 3) % 800][1]) < 0.8 for k in range(400))
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8).collect()}
     assert [k for k in range(400) if got[2 * k] != got[2 * k + 1]] == []
+
+
+def test_texts_of_one_fingerprint_are_verified(spark):
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"x{x}" for x in rng.integers(0, 1 << 40, n)]
+    line = [f"w{k}" for k in range(9)] * 60
+    own = [fresh(30) for _ in range(4)]
+    texts = [" ".join(line + x) for x in own]  # a Jaccard similarity of about 0.15, hardly a bit apart
+    texts.append(" ".join(line + own[2][:28] + fresh(2)))  # a near copy of a text that isn't its class's first
+    texts += ["one two three", "ONE two three"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(9, texts[0]), (9, texts[1])]  # a repeated id with two texts
+    fps = [brute_fingerprint(t, 5) for t in texts[:4]]
+    assert len(set(fps)) < 4 and all(bin(a ^ b).count("1") <= 2 for a in fps for b in fps)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in simhash.simhash_components(docs, width=5, similarity=0.8).collect())
+    assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2), (5, 5), (6, 5), (9, 0), (9, 1)]
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs, width=5, similarity=0.8).collect())
+    assert kept == [0, 1, 2, 3, 5]
