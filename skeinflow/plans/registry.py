@@ -156,7 +156,7 @@ def chip_scores(spark, d):
 
 def merge_ranked_lists(spark, d):
     vectors = S.nearest(table(spark, d, "embeddings"), "embedding", QUERY_VECTOR, 30, "vec_id").select((F.col("vec_id") % 40).alias("key"), F.row_number().over(Window.orderBy("distance", "vec_id")).alias("pos"))
-    texts = docs(spark, d).orderBy("doc_id").limit(60).select((F.col("doc_id") % 55).alias("key"), (F.col("doc_id") + 1).cast("int").alias("pos"))
+    texts = docs(spark, d).select((F.col("doc_id") % 55).alias("key"), (F.col("doc_id") + 1).cast("int").alias("pos"))
     return V.merge_ranked([vectors, texts], ["key"], "pos", 40).select("cf_id", "key")
 
 
