@@ -15,15 +15,15 @@ so the work stays linear and no bucket is capped.
 
 Similarity. Two bits hold only the closest copies, and texts with very frequent lines that are no copies:
 at a Jaccard similarity of 0.8 about ten bits of 64 differ, which no segment keys find selectively. With
-`similarity`, links are those of that Jaccard similarity: a class is a set of shingles (told by 64 bits),
-and links of fingerprints are candidates as others. `ROWS` x `BANDS` MinHashes of the same shingles give band keys. In a bucket the share of equal
-MinHashes (8 bits of each) tells the candidates, `SLACK` below the similarity; larger buckets first compare
-with pivots that differ from band to band. Candidates are verified exactly on the sets of shingle hashes.
-Then those of the larger buckets that have candidates which the verified links haven't connected come
-together again with their sets, and all their pairs are verified there: none is passed over, none is a row.
+`similarity`, links are those of that Jaccard similarity and no others. Fingerprints that link bring their
+texts together as before, and `setjoin` adds those that only share a rare shingle, which no pair of the
+similarity lacks; every pair is then verified on the sets of shingles, those of linked fingerprints first.
 
 Nulls and empty texts have no shingle: fingerprint zero, linked like any other. Texts shorter than
-the shingle width give one shingle of all their words. Repeated rows and ids keep their own rows.
+the shingle width give one shingle of all their words. Repeated rows keep their own rows; rows of one id
+with different texts are linked each by its own text. Null ids are larger than all others: a component of
+null ids only has a null component_id. An empty table gives no rows. Other columns of any name are
+neither read nor returned by `simhash_components`; `keep_one` returns all of them as they are.
 """
 
 from __future__ import annotations
@@ -33,20 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, min_label_components, release, slices, utf8_buffers
 
 SEED = 42
-#: MinHash bands and the rows of each; a similarity of 0.8 is found with a probability of 0.9996.
-BANDS, ROWS = 20, 5
-#: Buckets of so many compare all pairs at once; larger ones go pivot by pivot, and then compare what is not connected.
-PAIRWISE = 64
-#: Classes (set and id, 16 bytes each) whose texts may be picked by broadcast; more are joined by shuffle.
-BROADCAST_CLASSES = 1_000_000
-#: What the estimate from 100 MinHashes may lie below the similarity: over four standard deviations.
-SLACK = 0.17
+#: Rows (of three numbers at most) that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Bit positions (from the lowest) and widths of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -107,253 +101,6 @@ def fingerprints(offsets: np.ndarray, data: np.ndarray, width: int = 3, hashed:
     return out
 
 
-def sketches(n_rows: int, hashed: tuple) -> tuple[list[bytes | None], list[bytes | None]]:
-    """Band keys and 8 bits of each MinHash of the rows; None for rows without a shingle."""
-    some, _, row_start, hashes = hashed
-    bands: list[bytes | None] = [None] * n_rows
-    small: list[bytes | None] = [None] * n_rows
-    if not len(some):
-        return bands, small
-    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
-    draw = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
-    low = np.empty((len(some), BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
-        mixed = folded * (draw[0, k] | np.uint32(1)) + draw[1, k]
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0x2C1B3C6D)
-        low[:, k] = np.minimum.reduceat(mixed, row_start)
-    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(some), 1))
-    for r in range(ROWS):
-        key = (key ^ low[:, r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    eight = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-    for row, a, b in zip(some.tolist(), key.astype("<u8"), eight, strict=True):
-        bands[row], small[row] = a.tobytes(), b.tobytes()
-    return bands, small
-
-
-def distinct_shingles(n_rows: int, hashed: tuple) -> list[bytes]:
-    """The sorted distinct shingle hashes of each row."""
-    some, n_shingles, row_start, hashes = hashed
-    sets = [b""] * n_rows
-    for row, a, m in zip(some.tolist(), row_start.tolist(), n_shingles.tolist(), strict=True):
-        sets[row] = np.unique(hashes[a : a + m]).astype("<u8").tobytes()
-    return sets
-
-
-def set_ids(sets: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
-
-
-def sketch_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """Rows (id_col, fp, set_id, bands, sketch); set_id tells the set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8_buffers(batch.column(1))
-            fps, ids, bands, small = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
-            for lo, hi in slices(offsets):
-                own, text = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-                hashed = shingle_hashes(own, text, width)
-                fps.append(fingerprints(own, text, width, hashed))
-                ids.append(set_ids(distinct_shingles(hi - lo, hashed)))
-                a, b = sketches(hi - lo, hashed)
-                bands += a
-                small += b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(bands, pa.binary()), pa.array(small, pa.binary())], names=["id", "fp", "set_id", "bands", "sketch"])
-        release()
-
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, fp long, set_id long, bands binary, sketch binary").withColumnRenamed("id", id_col)
-
-
-def similar_links(sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Candidate links between rows of MinHash bytes whose estimated similarity is `similarity`, less the slack, or more."""
-    enough = (similarity - SLACK) * sketch.shape[1]
-    if len(sketch) <= PAIRWISE:
-        left, right = np.nonzero(np.triu((sketch[:, None] == sketch[None]).sum(axis=2) >= enough, 1))
-        return list(zip(left.tolist(), right.tolist(), strict=True))
-    links, rest = [], np.arange(len(sketch))
-    while len(rest) > 1:
-        near = (sketch[rest[1:]] == sketch[rest[0]]).sum(axis=1) >= enough
-        links += [(int(rest[0]), int(x)) for x in rest[1:][near]]
-        rest = rest[1:][~near]
-    return links
-
-
-def open_links(sketch: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All candidate links, as `similar_links` tells them, between rows of different `root`, in blocks."""
-    _, group, n = np.unique(root, return_inverse=True, return_counts=True)
-    # rows of the largest group come last: they meet the others, but not one another
-    order = np.argsort(group == n.argmax(), kind="stable")
-    group, rows, others = group[order], np.ascontiguousarray(sketch[order].T), len(group) - int(n.max())
-    step = max(1, (1 << 22) // len(group))
-    for lo in range(0, others, step):
-        hi = min(lo + step, others)
-        same = np.zeros((hi - lo, len(group) - lo), np.uint8)
-        for row in rows:
-            same += row[lo:hi, None] == row[None, lo:]
-        near = (same >= (similarity - SLACK) * len(rows)) & (group[lo:hi, None] != group[None, lo:])
-        left, right = np.nonzero(np.triu(near, 1))
-        yield order[left + lo], order[right + lo]
-
-
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (set_id, shingles): the sorted distinct shingle hashes of those `docs` (set_id, text) that have this set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8_buffers(batch.column(1))
-            sets = []
-            for lo, hi in slices(offsets):
-                sets += distinct_shingles(hi - lo, shingle_hashes(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], width))
-            own = set_ids(sets) == batch.column(0).to_numpy()  # a repeated id has other texts too
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["set_id", "shingles"]).filter(pa.array(own))
-        release()
-
-    return docs.select("set_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "set_id long, shingles binary")
-
-
-def sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Rows (set_id, shingles) of the sets that are `wanted` (set_id); `classes` (set_id, low) names the id of a text of each in `texts` (low, text)."""
-    named = cut(classes.join(wanted.select("set_id").distinct(), "set_id", "left_semi"))
-    found = texts.join(F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named, "low")
-    return cut(shingle_sets(found, width).groupBy("set_id").agg(F.min("shingles").alias("shingles")))
-
-
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The `pairs` (a, b) of sets that have the Jaccard similarity; the rest is as in `sets_of`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                least = similarity / (1 + similarity) * (len(x) + len(y))
-                good.append(min(len(x), len(y)) >= least - 1e-6 and len(np.intersect1d(x, y, assume_unique=True)) >= least - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-        release()
-
-    sets = sets_of(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))), classes, texts, width)
-    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def band_keys(classes: DataFrame) -> DataFrame:
-    """Rows (key, set_id, sketch, root) for each band of `classes` (set_id, bands, sketch, root), bucket by bucket."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-            every = pa.array(np.repeat(np.arange(len(batch)), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(every) for i in (0, 2, 3))], names=["key", "set_id", "sketch", "root"])
-
-    keyed = classes.where("bands is not null").select("set_id", "bands", "sketch", "root").mapInArrow(emit, "key long, set_id long, sketch binary, root long")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "set_id")
-
-
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, set ids, sketches, roots) of each bucket of two or more."""
-    key, rows = None, []
-
-    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        ids, sketch, root = zip(*rows, strict=True)
-        return key, np.array(ids, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS), np.array(root, np.int64)
-
-    for batch in batches:
-        for k, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if k != key:
-                if len(rows) > 1:
-                    yield whole()
-                key, rows = k, []
-            rows.append(row)
-    if len(rows) > 1:
-        yield whole()
-
-
-def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate edges (a < b) between the sets of `classes` (set_id, bands, sketch) that share a band.
-
-    All of a bucket of up to `PAIRWISE`; of a larger one those with pivots, and an edge (a, a) for each
-    of its sets, of which `open_edges` gives the rest.
-    """
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, sketch, _ in buckets(batches):
-            if len(ids) > PAIRWISE:  # other pivots in each band
-                order = np.argsort((ids.view(np.uint64) ^ np.uint64(key & (1 << 63) - 1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-                ids, sketch = ids[order], sketch[order]
-                yield edges(ids, ids)
-            found = np.array(similar_links(sketch, similarity), np.int64).reshape(-1, 2)
-            yield edges(ids[found[:, 0]], ids[found[:, 1]])
-        release()
-
-    return band_keys(classes.withColumn("root", F.col("set_id"))).mapInArrow(verify, "a long, b long").distinct()
-
-
-def open_members(classes: DataFrame, similarity: float) -> DataFrame:
-    """Rows (key, block, set_id): in buckets of over `PAIRWISE` of `classes` (set_id, bands, sketch, root), the sets of all candidate links between different roots."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, sketch, root in buckets(batches):
-            if len(ids) > PAIRWISE:
-                for block, (left, right) in enumerate(open_links(sketch, root, similarity)):
-                    some = ids[np.union1d(left, right)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), x, np.int64)) for x in (key, block)] + [pa.array(some)], names=["key", "block", "set_id"])
-        release()
-
-    return band_keys(classes).mapInArrow(verify, "key long, block long, set_id long")
-
-
-def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all of `sets` (distinct, not empty) that are connected by pairs of the Jaccard similarity."""
-    size = np.array([len(x) for x in sets])
-    start = np.cumsum(size) - size
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    label, links = np.arange(len(sets)), []
-    for k in range(len(sets)):
-        own = np.zeros(len(values), bool)
-        own[at[start[k] : start[k] + size[k]]] = True
-        common = np.add.reduceat(own[at], start, dtype=np.int32)
-        near = np.flatnonzero((common >= similarity / (1 + similarity) * (size + size[k]) - 1e-6) & (label != label[k]))
-        joined, first = np.unique(label[near], return_index=True)
-        links += [(k, int(x)) for x in near[first]]
-        label[np.isin(label, joined)] = label[k]
-    return links
-
-
-def open_edges(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Verified edges (a, b) that connect all of each block of `members` (key, block, set_id) that the similarity connects."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, shingles = None, [], []
-        for batch in batches:
-            for k, block, i, x in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if (k, block) != key:
-                    if ids:
-                        yield close(ids, shingles)
-                    key, ids, shingles = (k, block), [], []
-                ids.append(i)
-                shingles.append(np.frombuffer(x, "<u8"))
-        if ids:
-            yield close(ids, shingles)
-        release()
-
-    def close(ids: list[int], shingles: list[np.ndarray]) -> pa.RecordBatch:
-        found = np.array(exact_links(shingles, similarity), np.int64).reshape(-1, 2)
-        return edges(np.array(ids, np.int64)[found[:, 0]], np.array(ids, np.int64)[found[:, 1]])
-
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(sets, "set_id").select("key", "block", "set_id", "shingles").repartition(n, "key", "block")
-    return dealt.sortWithinPartitions("key", "block", "set_id").mapInArrow(run, "a long, b long").distinct()
-
-
 def fingerprint_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Rows (id_col, fp long); the 64 bits as a signed number."""
 
@@ -476,14 +223,47 @@ def link_pairs(fps: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(verify, "a long, b long")
 
 
-def fingerprint_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate edges (a < b) between sets of equal or linked fingerprints of `rows` (fp, set_id), by the least set of each."""
-    sets = rows.distinct()
-    least = cut(sets.groupBy("fp").agg(F.min("set_id").alias("a")))
-    equal = sets.join(least, "fp").select("a", F.col("set_id").alias("b"))
-    near = link_pairs(least.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other"))
-    near = near.join(least, "fp").join(least.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
-    return equal.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has few rows; `df` is a checkpoint or cheap to count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def quote(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def equal_and_near(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets of equal or linked fingerprints of `rows` (fp, set_id), by the least set of each."""
+    least = cut(rows.groupBy("fp").agg(F.min("set_id").alias("a"), F.max("set_id").alias("last")))
+    shared = cut(least.where("a < last").select("fp", "a"))
+    equal = rows.join(small(shared), "fp").select("a", F.col("set_id").alias("b"))
+    near = cut(link_pairs(least.select("fp")).distinct())
+    ends = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+    named = small(cut(least.join(small(cut(ends)), "fp", "left_semi").select("fp", F.col("a").alias("set_id"))))
+    left = near.join(named.select(F.col("fp").alias("a"), F.col("set_id").alias("x")), "a")
+    both = left.join(named.select(F.col("fp").alias("b"), F.col("set_id").alias("y")), "b")
+    return equal.unionByName(both.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b")
+
+
+def named_components(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """`rows` (id, fp, key) with component_id; `links` (a, b) are between keys.
+
+    A node is its key's least id and the key, so that a component's least node has its least id and no
+    join by component is needed, which would be one task's work for a large one.
+    """
+    low = F.min("id").alias("low")
+    classes = cut(rows.groupBy(key).agg(low, F.count("*").alias("n")))
+    node = F.struct(F.col("low").isNull().alias("none"), "low", key)
+    ends = links.select(F.col("a").alias(key)).unionByName(links.select(F.col("b").alias(key))).distinct()
+    nodes = cut(classes.join(small(cut(ends)), key, "left_semi").select(key, node.alias("node")))
+    known = small(nodes)
+    edges = links.join(known.select(F.col(key).alias("a"), F.col("node").alias("x")), "a").join(known.select(F.col(key).alias("b"), F.col("node").alias("y")), "b")
+    roots = min_label_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rooted = roots.select(F.col(f"node.{key}").alias(key), F.col("root.low").alias("root_low"), F.lit(True).alias("linked"))
+    named = classes.join(small(cut(rooted)), key, "left").where("linked or n > 1")
+    named = cut(named.select(key, F.when(F.col("linked"), F.col("root_low")).otherwise(F.col("low")).alias("component_id"), F.lit(True).alias("known")))
+    joined = rows.join(small(named), key, "left")
+    return joined.select("id", "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
@@ -491,34 +271,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     With `similarity`, texts of that Jaccard similarity link, and no others.
     """
+    picked = docs.select(quote(id_col).alias("id"), quote(text_col).cast("string").alias("text"))
     if similarity is None:
-        key = "fp"
-        fps = cut(fingerprint_frame(docs, id_col, text_col, width))
-        classes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
-        roots = min_label_components(link_pairs(classes.select("fp")))
+        rows = cut(fingerprint_frame(picked, "id", "text", width))
+        done = named_components(rows, "fp", cut(link_pairs(rows.select("fp").distinct())))
     else:
-        key = "set_id"
-        fps = cut(sketch_frame(docs, id_col, text_col, width))
-        classes = cut(fps.groupBy("set_id").agg(F.min(id_col).alias("low"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
-        texts = docs.select(F.col(id_col).alias("low"), F.col(text_col).cast("string").alias("text"))
-        pairs = cut(similar_pairs(classes, similarity).unionByName(fingerprint_pairs(fps.select("fp", "set_id"))).distinct())
-        links = cut(verified(pairs.where("a <> b"), classes.select("set_id", "low"), texts, width, similarity))
-        roots = min_label_components(links)
-        large = pairs.where("a = b").select(F.col("a").alias("set_id"))
-        if not large.isEmpty():
-            rooted = classes.join(large, "set_id", "left_semi").join(roots, F.col("set_id") == roots.node, "left").withColumn("root", F.coalesce("root", "set_id"))
-            members = cut(open_members(rooted, similarity))
-            rest = open_edges(members, sets_of(members, classes.select("set_id", "low"), texts, width), similarity)
-            roots = min_label_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-        fps, classes = fps.select(id_col, "fp", "set_id"), classes.select("set_id", "low")
-    rooted = classes.join(roots, classes[key] == roots.node, "left").select(key, "low", F.coalesce("root", key).alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select(key, "component_id")
-    return fps.join(named, key).select(id_col, "fp", "component_id")
+        from . import setjoin
+
+        rows = cut(setjoin.prefix_frame(picked, width, similarity))
+        fps = rows.select("fp", "set_id").distinct()
+        links = setjoin.links(picked, rows, equal_and_near(fps), width, similarity)
+        done = named_components(rows.select("id", "fp", "set_id"), "set_id", links)
+    return done.withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """`docs` with one row group per component: the rows of its smallest id. Null ids are kept as they are."""
-    groups = simhash_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, similarity)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    groups = simhash_components(docs.where(quote(id_col).isNotNull()), id_col, text_col, width, similarity)
+    gone = cut(groups.where(quote(id_col) != F.col("component_id")).select(quote(id_col).alias("_gone")).distinct())
+    return docs.join(small(gone), quote(id_col) == F.col("_gone"), "left_anti")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from skeinflow.llm import chat, decontaminate, media, packing, quality, simhash, tokencount, toxicity, urls
+from skeinflow.llm import chat, decontaminate, media, packing, quality, setjoin, simhash, tokencount, toxicity, urls
 
 ODD = [(1, None, "en", "s"), (2, "", "en", "s"), (3, " \t\n", None, None), (4, "one", "de", "s"), (5, "Two words", "xx", "s"), (5, "Two words", "xx", "s"), (6, "a b c d e f g " * 40, "en", "s"), (7, "é" * 3000 + "\0", "fr", "s"), (8, "a b c d e f g " * 40, "en", "s")]
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -241,3 +241,53 @@ def test_texts_of_one_fingerprint_are_verified(spark):
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2), (5, 5), (6, 5), (9, 0), (9, 1)]
     kept = sorted(r.doc_id for r in simhash.keep_one(docs, width=5, similarity=0.8).collect())
     assert kept == [0, 1, 2, 3, 5]
+
+
+def family(seed, n=600, words=150, changed=4):
+    """Texts of one base with up to `changed` words replaced, as sets of five-word shingles by number."""
+    rng = np.random.default_rng(seed)
+    base, texts = [f"w{x}" for x in rng.integers(0, 1 << 40, words)], []
+    for _ in range(n):
+        text = list(base)
+        for at in rng.choice(words, rng.integers(0, changed + 1), replace=False):
+            text[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(text)
+    return sorted({" ".join(t) for t in texts})
+
+
+def roots_by_all_pairs(sets):
+    root = np.arange(len(sets))
+    for a in range(len(sets)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+    return root.tolist()
+
+
+def sets_of(texts):
+    return [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
+def test_large_groups_of_near_copies_are_linked_exactly(seed):
+    texts = family(seed)
+    want = roots_by_all_pairs(sets_of(texts))
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    sets = setjoin.distinct_shingles(len(texts), simhash.shingle_hashes(offsets, data, 5))
+    fps = simhash.fingerprints(offsets, data, 5)
+    root = np.arange(len(sets))
+    for a, b in setjoin.connect(sets, fps, np.zeros(len(sets), int), 0.8):
+        root[root == max(root[a], root[b])] = min(root[a], root[b])
+    assert root.tolist() == want
+
+
+def test_clusters_in_blocks_are_linked_exactly(spark, monkeypatch):
+    texts = family(6, 150)
+    want = roots_by_all_pairs(sets_of(texts))
+    monkeypatch.setattr(setjoin, "CLUSTER_BYTES", 40_000)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (None, "only a null id has this text"), (None, "only a null id has this text")], "doc_id long, text string")
+    got = simhash.simhash_components(docs, width=5, similarity=0.8).collect()
+    assert [r.component_id for r in sorted((r for r in got if r.doc_id is not None), key=lambda r: r.doc_id)] == want
+    assert sorted((r.component_id for r in got if r.doc_id is None), key=str) == [0, None, None]
