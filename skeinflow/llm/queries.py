@@ -129,8 +129,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed in bins of five lengths."""
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    """All documents, in tokens, packed in bins of five lengths."""
+    return packing.best_fit(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}

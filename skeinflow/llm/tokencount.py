@@ -12,13 +12,19 @@ r has the Zipf score -ln(r + 1); a byte that no piece covers falls back to a byt
 below all others. Pieces are told apart by 64-bit hashes of their bytes, as are pre-tokens within
 a worker. Of cuts with equal score the one with the longer last piece holds.
 
-Nulls and empty texts have zero tokens. A pre-token may be of any length.
+A pre-token of over `LONG` bytes (an unspaced script, base64) shares no prefix worth a trie's level: an
+Aho-Corasick automaton of the pieces finds all of them in it in one pass, and the same recursion runs over
+what it found.
+
+Nulls and empty texts have zero tokens. A pre-token may be of any length. Repeated rows are counted each by
+itself, and alike. An empty table gives no rows; columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +36,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Pre-tokens whose counts a worker keeps before it starts anew.
 MEMORY = 1 << 21
+#: Pre-tokens of more bytes are counted one by one.
+LONG = 256
 #: Kinds of bytes: 0 space, 1 letter (or part of a longer UTF-8 character), 2 digit, 3 other.
 KIND = np.full(256, 3, np.uint8)
 KIND[32] = 0
@@ -47,7 +55,8 @@ class Pieces:
     """Hashes and scores of a vocabulary; a piece's hash is sum of (byte + 1) * BASE^(distance from its end)."""
 
     def __init__(self, pieces: dict[bytes, float], byte_score: float) -> None:
-        self.byte_score = byte_score
+        self.byte_score, self.pieces = byte_score, pieces
+        self._automaton: ahocorasick.Automaton | None = None
         self.longest = max(map(len, pieces), default=1)
         hashes = np.array([self.hash(p) for p in pieces], np.uint64)
         order = np.argsort(hashes)
@@ -68,6 +77,44 @@ class Pieces:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h * MIX) >> np.uint64(44)
 
+    def count_long(self, text: bytes) -> int:
+        """Pieces in the best cut of one string, by what an automaton finds in it."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for piece, value in self.pieces.items():
+                self._automaton.add_word(piece.decode("latin-1"), (len(piece), value))
+            self._automaton.make_automaton()
+        best, count = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
+        done, found = 0, None  # cuts up to `done` are known; the best last piece that ends behind it
+
+        def close(end: int) -> int:
+            for at in range(done, end):  # of these but the last no piece ends
+                best[at + 1], count[at + 1] = best[at] + self.byte_score, count[at] + 1
+            if found is not None and found[0] >= best[end]:
+                best[end], count[end] = found
+            return end
+
+        last = -1
+        for at, (length, value) in self._automaton.iter(text.decode("latin-1")):  # longest first at each end
+            if at != last:
+                if last >= 0:
+                    done = close(last + 1)
+                for k in range(done, at):
+                    best[k + 1], count[k + 1] = best[k] + self.byte_score, count[k] + 1
+                done, last, found = at, at, None
+            total = value + best[at + 1 - length]
+            if found is None or total > found[0]:
+                found = (total, count[at + 1 - length] + 1)
+        if last >= 0:
+            done = close(last + 1)
+        found = None
+        if done < len(text):
+            close(len(text))
+        return count[-1]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}  # each worker builds its own
+
     def score(self, h: np.ndarray) -> np.ndarray:
         """Scores of the pieces with these hashes, -inf where there is none."""
         out = np.full(len(h), -np.inf)
@@ -156,9 +203,14 @@ class Counter:
 
     def rows(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, pre-tokens) of each row."""
+        tokens, _, first = self.each(offsets, data)
+        return per_row_sum(tokens, first[:-1], first[1:]), np.diff(first)
+
+    def each(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens and bytes of each pre-token, and each row's first one (rows + 1); a row's first counts the space before it."""
         text, starts, first = pretokens(offsets, data)
         if not len(starts):
-            return np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), first
         ends = np.append(starts[1:], len(text))
         within = np.arange(len(text)) - np.repeat(starts, ends - starts)
         value = (text.astype(np.uint64) + np.uint64(1)) * powers(int(within.max()) + 1)[within]
@@ -173,11 +225,14 @@ class Counter:
         new = np.flatnonzero(~old)
         if len(new):
             begin = starts[sample[new]]
-            tokens[new] = trie_counts(text, begin, ends[sample[new]] - begin, self.pieces)
+            size = ends[sample[new]] - begin
+            short = size <= LONG
+            tokens[new[short]] = trie_counts(text, begin[short], size[short], self.pieces)
+            tokens[new[~short]] = [self.pieces.count_long(text[b : b + n].tobytes()) for b, n in zip(begin[~short].tolist(), size[~short].tolist(), strict=True)]
             if len(self.known) + len(new) > MEMORY:
                 self.known, self.tokens, at = self.known[:0], self.tokens[:0], np.zeros(len(names), np.int64)
             self.known, self.tokens = np.insert(self.known, at[new], names[new]), np.insert(self.tokens, at[new], tokens[new])
-        return per_row_sum(tokens[inverse], first[:-1], first[1:]), np.diff(first)
+        return tokens[inverse], ends - starts, first
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from skeinflow.llm import chat, decontaminate, media, packing, quality, setjoin, simhash, tokencount, toxicity, urls
+from skeinflow.llm import chat, decontaminate, media, quality, setjoin, simhash, tokencount, toxicity, urls
 
 ODD = [(1, None, "en", "s"), (2, "", "en", "s"), (3, " \t\n", None, None), (4, "one", "de", "s"), (5, "Two words", "xx", "s"), (5, "Two words", "xx", "s"), (6, "a b c d e f g " * 40, "en", "s"), (7, "é" * 3000 + "\0", "fr", "s"), (8, "a b c d e f g " * 40, "en", "s")]
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -128,8 +128,6 @@ def test_odd_rows(spark, odd):
     assert judged.count() == n and set(odd.columns) <= set(judged.columns)
     assert quality.keep_good(odd, labels.limit(0)).count() == n
     assert media.media_digests(odd).where("payload_bytes % 192 = 0 and payload_bytes > 0").count() == n
-    packed = packing.best_fit(odd, capacities=(64, 256)).collect()
-    assert sum(r.length for r in packed) == sum(-(-len((t or "").encode()) // 4) for _, t, _, _ in ODD)
     assert simhash.keep_one(odd).columns == odd.columns
     items = spark.createDataFrame([(1, "A b, c d e f!"), (2, None), (3, ""), (4, "two WORDS"), (5, "absent words are not here at all")], "item_id long, text string")
     pairs = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(odd, items).collect()}
@@ -140,7 +138,7 @@ def test_odd_rows(spark, odd):
 
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
-    assert media.media_digests(none).count() == simhash.simhash_components(none).count() == packing.best_fit(none).count() == 0
+    assert media.media_digests(none).count() == simhash.simhash_components(none).count() == 0
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "HTTP://A.Example.NET/en/x?q"), (4, "http://net"), (5, "http://x.example.com/de/")], "page_id long, url string")
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block")]
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
