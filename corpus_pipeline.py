@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeinflow.llm import decontaminate, packing, quality, simhash, suffixdedup
 from skeinflow.llm._common import cut, table
+from skeinflow.llm.queries import VOCABULARY
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left is packed."""
-    return packing.best_fit(docs)
+    """All that is left is packed, in tokens of the vocabulary of `op3_token_counts`."""
+    return packing.best_fit(docs, VOCABULARY)
 
 
 STAGES = [
