@@ -7,13 +7,16 @@ covered by its first five bytes, scored in the same way; all others share a smal
 linear-time scan of Ruzzo and Tompa finds all maximal segments; a segment's score is normalised by
 Karlin-Altschul statistics, lambda * S - ln(K * n), with lambda from the clean token distribution
 and K from the maxima of clean training texts. The normalised scores of the best segment and of all
-significant ones (expected number below `E_VALUE`) feed a logistic calibration fitted on the same
-training texts.
+significant ones (expected number below `E_VALUE`) feed a logistic calibration. It is fitted on training
+texts too, each scored by a model of the other `FOLDS` - 1 folds, so it sees texts as new ones are seen.
 
 Training uses at most `TRAIN_ROWS` labelled rows, those of least hash of their id; the model has at
 most `MODEL_TOKENS` tokens and as many beginnings, so what is broadcast is bounded. Nulls and empty
 texts have no segment and get the calibration's value at zero. Rows with a null label don't train.
-Without labels of both classes every score is 0.
+Without labels of both classes outside each fold every score is 0. Repeated rows are scored each by itself, and
+alike; a repeated id trains with all of its texts, and is toxic if one of its labels is. Texts of any length
+are scored whole. Of tokens with equal scores in the model's bound those of smaller hash enter. An
+empty table gives no rows; columns besides id, text and label are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, utf8_buffers
+from ._common import cut, slices, utf8_buffers
 
 TRAIN_ROWS = 30_000
 MODEL_TOKENS = 65_536
@@ -38,21 +42,22 @@ PRIOR = 500.0
 #: Share of model tokens that a toxic passage is taken to have; sets the score of all other tokens.
 PASSAGE_SHARE = 0.1
 E_VALUE = 0.05
+#: Parts of the training texts, each scored by a model of the others for the calibration.
+FOLDS = 4
 THRESHOLD = 0.3
 BASE = 0x100000001B3
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += 32
-_POWERS = np.multiply.accumulate(np.array([1] + [BASE] * 255, np.uint64))
 
 
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, hash of the beginning, first byte and row bounds (rows + 1) of the tokens of the buffers."""
+    """Hash, hash of the beginning, range of bytes and row bounds (rows + 1) of the tokens of the buffers."""
     empty = np.zeros(0, np.uint64)
     inside = WORD[data]
     if not inside.any():
-        return empty, empty, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return empty, empty, np.zeros((0, 2), np.int64), np.zeros(len(offsets), np.int64)
     new = inside.copy()
     new[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
@@ -61,13 +66,14 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(new[at])
     ends = np.append(starts[1:], len(at))
     within = np.arange(len(at)) - np.repeat(starts, ends - starts)
-    value = (LOWER[data[at]] + np.uint64(1)) * _POWERS[within & 255]
+    powers = np.multiply.accumulate(np.array([1] + [BASE] * int(within.max()), np.uint64))
+    value = (LOWER[data[at]] + np.uint64(1)) * powers[within]
     full = np.add.reduceat(value, starts)
     value[within >= PREFIX] = 0
     begin = np.add.reduceat(value, starts)
     begin[ends - starts < PREFIX] = 0  # shorter tokens have no beginning
-    where = at[starts]
-    return full, begin, where, np.searchsorted(where, offsets)
+    where = np.column_stack([at[starts], at[ends - 1] + 1])
+    return full, begin, where, np.searchsorted(where[:, 0], offsets)
 
 
 @dataclass
@@ -119,7 +125,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def segments(model: Model, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, float]], np.ndarray]]:
-    """(row, tokens, maximal segments, first byte of each token) for each row of the buffers."""
+    """(row, tokens, maximal segments, range of bytes of each token) for each row of the buffers."""
     full, begin, where, bounds = words(offsets, data)
     scores = model.scores(full, begin)
     for row in range(len(offsets) - 1):
@@ -139,85 +145,116 @@ def _frame(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit the model on `labels` (id_col, label_col of 0 and 1); other columns are never read."""
-    picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS).withColumnRenamed(id_col, "id")
-    # TRAIN_ROWS bounds what is broadcast
-    rows = _frame(docs, id_col, text_col).join(F.broadcast(picked), "id").select("text", "label")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8_buffers(batch.column(0))
-            label = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(offsets):
-                full, begin, _, bounds = words(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
-                toxic = np.repeat(label[lo:hi] == 1, np.diff(bounds))
-                for kind, key, keep in ((0, full, None), (1, begin, begin != 0)):
-                    key, flag = (key, toxic) if keep is None else (key[keep], toxic[keep])
-                    names, inverse = np.unique(key, return_inverse=True)
-                    n = np.bincount(inverse, minlength=len(names))
-                    n1 = np.bincount(inverse, weights=flag, minlength=len(names)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.view(np.int64)), pa.array(n - n1), pa.array(n1)], names=["kind", "key", "n0", "n1"])
-
-    counts = rows.mapInArrow(count, "kind int, key long, n0 long, n1 long").groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    # the z-score of the log-odds under the Dirichlet prior; totals are joined as one row
-    totals = {r["kind"]: (r["n0"], r["n1"]) for r in counts.groupBy("kind").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
-    model = Model()
-    if not all(min(t) > 0 for t in totals.values()) or not totals:
-        return model
-    chosen = []
-    for kind, (t0, t1) in totals.items():
-        share = 1 + (F.col("n0") + F.col("n1")) / F.lit(float(t0 + t1)) * PRIOR
-        odds = [F.log((F.col(n) + share) / (F.lit(float(t)) + PRIOR - F.col(n) - share)) for n, t in (("n0", t0), ("n1", t1))]
-        spread = F.sqrt(1 / (F.col("n0") + share) + 1 / (F.col("n1") + share))
-        scored = counts.where(F.col("kind") == kind).select("kind", "key", "n0", (odds[1] - odds[0]).alias("score"), spread.alias("spread"))
-        sure = (F.col("score") >= MIN_Z * F.col("spread")) & (F.col("score") - F.col("spread") >= MIN_LIFT)
-        chosen.append(scored.where(sure).orderBy((F.col("score") / F.col("spread")).desc(), "key").limit(MODEL_TOKENS))
-    best = chosen[0].unionByName(chosen[1]).toPandas() if len(chosen) > 1 else chosen[0].toPandas()
-    best["key"] = best["key"].to_numpy(np.int64).view(np.uint64)
-    parts = [best[best.kind == k].sort_values("key") for k in (0, 1)]
-    model.tokens, model.token_scores = parts[0].key.to_numpy(np.uint64), parts[0].score.to_numpy()
-    model.begins, model.begin_scores = parts[1].key.to_numpy(np.uint64), parts[1].score.to_numpy()
-    clean = float(totals[0][0])
-    share = np.append(parts[0].n0.to_numpy() / clean, max(0.0, 1 - parts[0].n0.sum() / clean))
-    values = np.append(model.token_scores, model.other)
+def karlin_lambda(share: np.ndarray, values: np.ndarray) -> float:
+    """The positive root of sum(share * exp(lambda * value)) = 1."""
     low, high = 1e-6, 1e-6
     while high < 50 and (share * np.exp(np.minimum(high * values, 500))).sum() < 1:
         low, high = high, high * 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if (share * np.exp(np.minimum(mid * values, 500))).sum() < 1 else (low, mid)
-    model.lam = low if low > 1e-5 else 1.0
-
-    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8_buffers(batch.column(0))
-            label = batch.column(1)
-            for lo, hi in slices(offsets):
-                n, s = [], []
-                for _, tokens, found, _ in segments(model, offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]):
-                    n.append(tokens)
-                    s.append([x for _, _, x in sorted(found, key=lambda f: -f[2])[:64]])
-                yield pa.RecordBatch.from_arrays([label.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], names=["label", "n", "s"])
-
-    seen = rows.mapInArrow(best_of, "label int, n long, s array<double>").toPandas()  # TRAIN_ROWS rows of 64 numbers at most
-    y = (seen.label == 1).to_numpy(float)
-    top = np.array([x[0] if len(x) else 0.0 for x in seen.s])
-    calm = (y == 0) & (seen.n.to_numpy() > 0)
-    if calm.any():
-        model.log_k = float(np.mean(model.lam * top[calm] - np.log(seen.n.to_numpy()[calm])) - 0.5772156649015329)
-    x = np.array([features(model, [(0, 0, float(v)) for v in s], n) for s, n in zip(seen.s, seen.n, strict=True)]).reshape(-1, 2)
-    x = np.column_stack([np.ones(len(x)), np.log1p(x)])
-    w, ridge = np.zeros(3), np.diag([1e-6, 1e-2, 1e-2])
+    return low if low > 1e-5 else 1.0
+
+
+def models(counts: DataFrame) -> list[Model] | None:
+    """Models without each fold, and of all, from `counts` (kind, key, fold, n0, n1); None if one lacks a class."""
+    spread_out = counts.select("*", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("model")).where("model <> fold")
+    by_key = cut(spread_out.groupBy("model", "kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    totals = {(r["model"], r["kind"]): (r["n0"], r["n1"]) for r in by_key.groupBy("model", "kind").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    if not all(min(totals.get((m, 0), (0, 0))) > 0 for m in range(FOLDS + 1)):
+        return None
+    # the z-score of the log-odds under the Dirichlet prior; the totals are two rows a model at most
+    t = [F.coalesce(*[F.when((F.col("model") == m) & (F.col("kind") == k), F.lit(float(n[c]))) for (m, k), n in totals.items()]) for c in (0, 1)]
+    share = 1 + (F.col("n0") + F.col("n1")) / (t[0] + t[1]) * PRIOR
+    odds = [F.log((F.col(n) + share) / (t[c] + PRIOR - F.col(n) - share)) for c, n in enumerate(("n0", "n1"))]
+    spread = F.sqrt(1 / (F.col("n0") + share) + 1 / (F.col("n1") + share))
+    scored = by_key.select("model", "kind", "key", "n0", (odds[1] - odds[0]).alias("score"), spread.alias("spread"))
+    sure = scored.where((F.col("score") >= MIN_Z * F.col("spread")) & (F.col("score") - F.col("spread") >= MIN_LIFT))
+    rank = F.row_number().over(Window.partitionBy("model", "kind").orderBy((F.col("score") / F.col("spread")).desc(), "key"))
+    best = sure.withColumn("rank", rank).where(F.col("rank") <= MODEL_TOKENS).toPandas()  # MODEL_TOKENS for each model and kind at most
+    best["name"] = best["key"].to_numpy(np.int64).view(np.uint64)
+    out = []
+    for m in range(FOLDS + 1):
+        parts = [best[(best.model == m) & (best.kind == k)].sort_values("name") for k in (0, 1)]
+        model = Model(*[x for p in parts for x in (p["name"].to_numpy(np.uint64), p["score"].to_numpy())])
+        clean = float(totals[m, 0][0])
+        known = np.append(parts[0]["n0"].to_numpy() / clean, max(0.0, 1 - parts[0]["n0"].sum() / clean))
+        model.lam = karlin_lambda(known, np.append(model.token_scores, model.other))
+        out.append(model)
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a constant and the columns of `x`, by Newton steps with a small ridge."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[1e-2] * (x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(3), x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    model.weights = tuple(float(v) for v in w)
-    return model
+    return tuple(float(v) for v in w)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit the model on `labels` (id_col, label_col of 0 and 1); other columns are never read."""
+    ident, flag = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
+    picked = labels.where(flag.isNotNull() & ident.isNotNull()).groupBy(ident.alias("id")).agg(F.max(flag).cast("int").alias("label"))
+    hashed = F.xxhash64("id")
+    picked = picked.orderBy(hashed, "id").limit(TRAIN_ROWS).withColumn("fold", F.pmod(F.shiftright(hashed, 7), F.lit(FOLDS)).cast("int"))
+    # TRAIN_ROWS bounds what is broadcast
+    rows = _frame(docs, id_col, text_col).join(F.broadcast(cut(picked)), "id").select("text", "label", "fold")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = utf8_buffers(batch.column(0))
+            label, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            for lo, hi in slices(offsets):
+                full, begin, _, bounds = words(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
+                toxic, side = (np.repeat(x, np.diff(bounds)) for x in (label[lo:hi] == 1, fold[lo:hi]))
+                for kind, key, keep in ((0, full, full == full), (1, begin, begin != 0)):
+                    for f in range(FOLDS):
+                        some = keep & (side == f)
+                        names, inverse = np.unique(key[some], return_inverse=True)
+                        n = np.bincount(inverse, minlength=len(names))
+                        n1 = np.bincount(inverse, weights=toxic[some], minlength=len(names)).astype(np.int64)
+                        fixed = [pa.array(np.full(len(names), v, np.int32)) for v in (kind, f)]
+                        yield pa.RecordBatch.from_arrays([fixed[0], pa.array(names.view(np.int64)), fixed[1], pa.array(n - n1), pa.array(n1)], names=["kind", "key", "fold", "n0", "n1"])
+
+    found = models(rows.mapInArrow(count, "kind int, key long, fold int, n0 long, n1 long"))
+    if found is None:
+        return Model()
+
+    def scan(of, schema: str) -> DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def each(model: Model, texts: pa.Array) -> list[tuple[float, float]]:
+            offsets, data = utf8_buffers(texts)
+            return [of(model, some, n) for lo, hi in slices(offsets) for _, n, some, _ in segments(model, offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for m in range(FOLDS):  # model m has not seen fold m
+                    own = batch.filter(pc.equal(batch.column(2), m))
+                    out = [x + y for x, y in zip(each(found[m], own.column(0)), each(found[FOLDS], own.column(0)), strict=True)]
+                    columns = list(zip(*out, strict=True)) or [()] * 4
+                    yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), *[pa.array(list(c), pa.float64()) for c in columns]], names=names)
+
+        return rows.mapInArrow(run, schema)
+
+    # TRAIN_ROWS rows (more only where ids repeat) of six numbers: first the best segment and the length, by the model without its fold and by that of all
+    seen = scan(lambda model, some, n: (max([0.0, *[x for _, _, x in some]]), float(n)), "label int, fold int, top double, n double, top_all double, n_all double").toPandas()
+    for m, model in enumerate(found):
+        own = seen[(seen.label == 0) & (seen.n > 0) & ((seen.fold == m) | (m == FOLDS))]
+        top = own["top_all" if m == FOLDS else "top"].to_numpy()
+        if len(own):
+            model.log_k = float(np.mean(model.lam * top - np.log(own.n.to_numpy())) - 0.5772156649015329)
+    # then the features under those constants
+    seen = scan(features, "label int, fold int, best double, total double, best_all double, total_all double").toPandas()
+    final = found[FOLDS]
+    final.weights = logistic(np.log1p(seen[["best", "total"]].to_numpy()), (seen.label == 1).to_numpy(float))
+    return final
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,8 +271,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         z = np.dot(model.weights, [1.0, *np.log1p(features(model, found, n))])
                         values[lo + row] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                     limit = model.log_k + np.log(max(n, 1)) - np.log(E_VALUE)
-                    end = np.append(where[1:], offsets[lo + row + 1] - offsets[lo + row])
-                    passages.append([{"begin": int(where[b]), "end": int(end[e - 1]), "score": model.lam * s - limit} for b, e, s in found if model.lam * s > limit])
+                    passages.append([{"begin": int(where[b, 0]), "end": int(where[e - 1, 1]), "score": model.lam * s - limit} for b, e, s in found if model.lam * s > limit])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32)), pa.array(passages, kind)], names=["id", "score", "predicted", "passages"])
 
     picked = _frame(docs, id_col, text_col)
