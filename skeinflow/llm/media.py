@@ -8,14 +8,22 @@ type; confirmed media further in, not inside one already taken, are carved out.
 Formats: WAV, PNG, GIF, JPEG, PDF, ZIP, GZIP, BMP. `wrap_wav` stores bytes losslessly as 8-bit mono
 samples and `samples` reads them back from the carved file.
 
-Nulls count as empty; empty bytes have no type and keep nothing. Damaged or cut media don't
-confirm and are left alone. Equal bytes give equal results.
+`example` makes small whole files of each format, and `planted` puts them into texts by a rule.
+
+Nulls count as empty; empty bytes have no type and keep the declared one. Damaged or cut media don't
+confirm and are left alone. Equal bytes give equal results, repeated rows each their own. Content of any length is
+searched whole, in one pass for the magic numbers and one for each end marker. An empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+import gzip
 import hashlib
+import io
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -38,104 +46,154 @@ MAGIC = (
 )
 UNIT = 192
 RATE = 8000
-
-
-def _wav(b: memoryview) -> int:
-    if len(b) < 44 or bytes(b[8:12]) != b"WAVE":
+#: Bytes that are decompressed at a time.
+STEP = 1 << 16
+
+
+class Content:
+    """Bytes and, once asked for, the places of the markers that end a format: however many hits ask, the bytes are searched once."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw = raw
+        self._places: dict[bytes, list[int]] = {}
+        self._archives: dict[int, int] | None = None
+
+    def after(self, marker: bytes, at: int) -> int:
+        """The first place of `marker` from `at` on, or -1."""
+        if marker not in self._places:
+            places, found = [], self.raw.find(marker)
+            while found >= 0:
+                places.append(found)
+                found = self.raw.find(marker, found + 1)
+            self._places[marker] = places
+        places = self._places[marker]
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def archives(self) -> dict[int, int]:
+        """Where ZIP archives begin, by their end records, and where the first of each begin ends."""
+        if self._archives is None:
+            self._archives, b, end = {}, self.raw, self.after(b"PK\x05\x06", 0)
+            while 0 <= end <= len(b) - 22:
+                size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                begin = end - start - size
+                if begin >= 0 and b[begin + start : begin + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                    self._archives.setdefault(begin, end + 22 + note)
+                end = self.after(b"PK\x05\x06", end + 1)
+        return self._archives
+
+
+# Each validator gives the length of the media that begins at `at`, zero if it isn't one, whole.
+
+
+def _wav(c: Content, at: int) -> int:
+    b, n = c.raw, len(c.raw)
+    if at + 44 > n or b[at + 8 : at + 12] != b"WAVE":
         return 0
-    end = struct.unpack_from("<I", b, 4)[0] + 8
-    if end > len(b):
+    end = at + struct.unpack_from("<I", b, at + 4)[0] + 8
+    if end > n:
         return 0
-    at, seen = 12, set()
-    while at + 8 <= end:
-        name, size = struct.unpack_from("<4sI", b, at)
-        at += 8 + size + size % 2
+    place, seen = at + 12, set()
+    while place + 8 <= end:
+        name, size = struct.unpack_from("<4sI", b, place)
+        place += 8 + size + size % 2
         seen.add(name)
-    return end if at == end and {b"fmt ", b"data"} <= seen else 0
+    return end - at if place == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(b: memoryview) -> int:
-    at, first = 8, True
-    while at + 12 <= len(b):
-        size, name = struct.unpack_from(">I4s", b, at)
-        stop = at + 12 + size
-        if stop > len(b) or (first and name != b"IHDR") or zlib.crc32(b[at + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
+def _png(c: Content, at: int) -> int:
+    b, n = c.raw, len(c.raw)
+    place = at + 8
+    while place + 12 <= n:
+        size, name = struct.unpack_from(">I4s", b, place)
+        stop = place + 12 + size
+        if stop > n or (place == at + 8 and name != b"IHDR") or zlib.crc32(memoryview(b)[place + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
             return 0
         if name == b"IEND":
-            return stop
-        at, first = stop, False
+            return stop - at
+        place = stop
     return 0
 
 
-def _gif(b: memoryview) -> int:
-    def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
-            at += b[at] + 1
-        return at + 1
+def _gif(c: Content, at: int) -> int:
+    b, n = c.raw, len(c.raw)
 
-    if len(b) < 14:
+    def blocks(place: int) -> int:
+        while place < n and b[place]:
+            place += b[place] + 1
+        return place + 1
+
+    if at + 14 > n:
         return 0
-    at = 13 + (3 << (b[10] % 8 + 1)) * (b[10] >> 7)
-    while at < len(b):
-        if b[at] == 0x3B:
-            return at + 1
-        if b[at] == 0x21:
-            at = blocks(at + 2)
-        elif b[at] == 0x2C and at + 10 < len(b):
-            at = blocks(at + 11 + (3 << (b[at + 9] % 8 + 1)) * (b[at + 9] >> 7))
+    place = at + 13 + (3 << (b[at + 10] % 8 + 1)) * (b[at + 10] >> 7)
+    while place < n:
+        if b[place] == 0x3B:
+            return place + 1 - at
+        if b[place] == 0x21:
+            place = blocks(place + 2)
+        elif b[place] == 0x2C and place + 10 < n:
+            place = blocks(place + 11 + (3 << (b[place + 9] % 8 + 1)) * (b[place + 9] >> 7))
         else:
             return 0
     return 0
 
 
-def _jpeg(b: memoryview) -> int:
-    at = 2
-    while at + 4 <= len(b):
-        if b[at] != 0xFF:
+def _jpeg(c: Content, at: int) -> int:
+    b, place = c.raw, at + 2
+    while place + 4 <= len(b):
+        if b[place] != 0xFF:
             return 0
-        if b[at + 1] == 0xDA:  # the scan: look for the end marker
-            end = bytes(b[at:]).find(b"\xff\xd9")
-            return at + end + 2 if end > 0 else 0
-        at += 2 + struct.unpack_from(">H", b, at + 2)[0]
+        if b[place + 1] == 0xDA:  # the scan: look for the end marker
+            end = c.after(b"\xff\xd9", place)
+            return end + 2 - at if end > 0 else 0
+        place += 2 + struct.unpack_from(">H", b, place + 2)[0]
     return 0
 
 
-def _pdf(b: memoryview) -> int:
-    whole = bytes(b)
-    end = whole.find(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in whole[:end] else 0
+def _pdf(c: Content, at: int) -> int:
+    end, table = c.after(b"%%EOF", at), c.after(b"startxref", at)
+    return end + 5 - at if 0 <= table < end else 0
 
 
-def _zip(b: memoryview) -> int:
-    whole = bytes(b)
-    at = whole.find(b"PK\x05\x06")
-    while at >= 0 and at + 22 <= len(whole):
-        size, start, note = struct.unpack_from("<IIH", whole, at + 12)
-        if start + size == at and whole[start : start + 4] == b"PK\x01\x02" and at + 22 + note <= len(whole):
-            return at + 22 + note
-        at = whole.find(b"PK\x05\x06", at + 1)
-    return 0
+def _zip(c: Content, at: int) -> int:
+    end = c.archives().get(at)
+    return end - at if end else 0
 
 
-def _gzip(b: memoryview) -> int:
-    if len(b) < 18 or b[3] & 0xE0:
+def _gzip(c: Content, at: int) -> int:
+    b, n = c.raw, len(c.raw)
+    if at + 18 > n or b[at + 3] & 0xE0:
         return 0
-    d = zlib.decompressobj(31)
+    flags, place = b[at + 3], at + 10
+    if flags & 4:
+        place += 2 + struct.unpack_from("<H", b, place)[0]
+    for text in (8, 16):  # a name and a note, each up to a zero byte
+        if flags & text:
+            place = c.after(b"\0", place) + 1
+            if not place:
+                return 0
+    place += 2 * (flags >> 1 & 1)
+    d, crc, size, more, step = zlib.decompressobj(-15), 0, 0, True, 256
     try:
-        rest = bytes(b)
-        while rest and not d.eof:
-            d.decompress(rest, 1 << 20)
-            rest = d.unconsumed_tail
+        while not d.eof and (more or place < n):
+            part = d.unconsumed_tail
+            if not part:
+                part = b[place : place + step]
+                place, step = place + step, min(2 * step, STEP)
+            out = d.decompress(part, STEP)
+            crc, size, more = zlib.crc32(out, crc), size + len(out), len(out) == STEP or bool(d.unconsumed_tail)
     except zlib.error:
         return 0
-    return len(b) - len(d.unused_data) if d.eof else 0
+    end = min(place, n) - len(d.unused_data)
+    return end + 8 - at if d.eof and end + 8 <= n and struct.unpack_from("<II", b, end) == (crc, size & 0xFFFFFFFF) else 0
 
 
-def _bmp(b: memoryview) -> int:
-    if len(b) < 26:
+def _bmp(c: Content, at: int) -> int:
+    b = c.raw
+    if at + 26 > len(b):
         return 0
-    size, zero, data, header = struct.unpack_from("<IIII", b, 2)
-    return size if not zero and header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= data <= size <= len(b) else 0
+    size, zero, data, header = struct.unpack_from("<IIII", b, at + 2)
+    return size if not zero and header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= data <= size <= len(b) - at else 0
 
 
 VALIDATE = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "image/bmp": _bmp}
@@ -154,10 +212,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(content: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of all confirmed media, outermost first, none inside another."""
-    found, view, free = [], memoryview(content), 0
+    found, whole, free = [], Content(content), 0
     for last, (length, kind) in automaton().iter(content.decode("latin-1")):
         at = last + 1 - length
-        if at >= free and (size := VALIDATE[kind](view[at:])):
+        if at >= free and (size := VALIDATE[kind](whole, at)):
             found.append((at, size, kind))
             free = at + size
     return found
@@ -205,34 +263,84 @@ def samples(wav: bytes) -> bytes:
         at += 8 + size + size % 2
 
 
+def example(kind: str, payload: bytes) -> bytes:
+    """A small whole file of one of the formats, made of `payload`."""
+    if kind == "audio/wav":
+        return wrap_wav(payload)
+    if kind == "image/png":
+        row = payload[:64] or b"\0"
+        parts = ((b"IHDR", struct.pack(">IIBBBBB", len(row), 1, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"\0" + row)), (b"IEND", b""))
+        return MAGIC[1][0] + b"".join(struct.pack(">I", len(x)) + n + x + struct.pack(">I", zlib.crc32(n + x)) for n, x in parts)
+    if kind == "image/gif":
+        data = payload[:64] or b"\0"
+        return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02" + bytes([len(data)]) + data + b"\0;"
+    if kind == "image/jpeg":
+        note = payload[:64]
+        return b"\xff\xd8\xff\xfe" + struct.pack(">H", len(note) + 2) + note + b"\xff\xda" + struct.pack(">H", 2) + note + b"\xff\xd9"
+    if kind == "application/pdf":
+        return b"%PDF-1.4\n% " + payload[:64].replace(b"%", b".") + b"\nstartxref\n0\n%%EOF"
+    if kind == "application/zip":
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo("a.txt"), payload[:64])
+        return out.getvalue()
+    if kind == "application/gzip":
+        return gzip.compress(payload[:64], mtime=0)
+    if kind == "image/bmp":
+        row = payload[:64] or b"\0"
+        return b"BM" + struct.pack("<IIIIIIHHIIIIII", 54 + len(row), 0, 54, 40, len(row), 1, 1, 8, 0, len(row), 0, 0, 0, 0) + row
+    raise ValueError(kind)
+
+
+def planted(content: bytes) -> tuple[str | None, bytes, list[tuple[int, int, str]]]:
+    """(declared type, content, what is in it whole): by CRC-32 of the text a quarter each is left as it is, opens with a
+    file of another type than declared, holds one in its middle, or holds a cut one; the formats take turns."""
+    draw = zlib.crc32(content)
+    kind = list(VALIDATE)[draw // 4 % len(VALIDATE)]
+    file = example(kind, content)
+    middle = len(content) // 2
+    if draw % 4 == 0:
+        return "text/plain", content, []
+    if draw % 4 == 1:
+        return "text/plain", file + content, [(0, len(file), kind)]
+    if draw % 4 == 2:
+        return None, content[:middle] + file + content[middle:], [(middle, len(file), kind)]
+    return kind, content[:middle] + file[:-1], []
+
+
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as WAV samples, sniff what was stored, and read it back.
+    """Store each text as WAV samples, sniff what was stored, and read it back; then sniff the text with planted media.
 
-    The file is declared as text/plain; sniffing must correct that. The feature string is
-    type:offset:length of all that was confirmed, then sample minimum, maximum, mean and zero-based
-    crossings of the middle value.
+    The feature string is type:offset:length of all that was confirmed, then sample minimum, maximum, mean
+    and zero-based crossings of the middle value. `declared`, `media_type`, `corrected` and `carved`
+    (type:offset:length of each, SHA-256 of all carved bytes) are of the text with media planted by rule.
     """
     import numpy as np
 
     def one(text: bytes) -> tuple:
+        declared, mixed, _ = planted(text)
+        inside = sniff(mixed)
+        actual = inside[0][2] if inside and inside[0][0] == 0 else declared
+        carving = ",".join(f"{t}:{a}:{n}" for a, n, t in inside)
+        digest = hashlib.sha256(b"".join(mixed[a : a + n] for a, n, _ in inside)).hexdigest() if inside else None
         stored = wrap_wav(pad(text))
         hits = sniff(stored)
-        at, size, kind = hits[0]
+        at, size, _ = hits[0]
         carved = stored[at : at + size]
         back = samples(carved)
         values = np.frombuffer(back, np.uint8)
         high = values >= 128
         feature = ",".join(f"{t}:{a}:{n}" for a, n, t in hits) + f";min={values.min()};max={values.max()};mean={values.mean():.6f};crossings={int((high[1:] != high[:-1]).sum())}"
-        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(carved), hashlib.sha256(carved).hexdigest(), feature, kind
+        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(carved), hashlib.sha256(carved).hexdigest(), feature, declared, actual, actual != declared, carving, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "media_type", "corrected", "carved", "carved_sha256"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
         for batch in batches:
             rows = [one(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1)]
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("content"))
-    schema = f"id {dict(picked.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string"
+    schema = f"id {dict(picked.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, media_type string, corrected boolean, carved string, carved_sha256 string"
     return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
