@@ -12,7 +12,9 @@ short for a size partition don't probe it. Candidates are then verified by exact
 shingle strings.
 
 Nulls, empty texts and items without a word match nothing. Rows that repeat an id of an item or of a
-document are each compared; equal pairs are returned once, with the largest containment.
+document are each compared; equal pairs are returned once, with the largest containment. Texts of any
+length are searched whole. An empty table of either kind gives no pairs. Other columns may have any name: they
+are not read, and `keep_clean` returns them as they are.
 """
 
 from __future__ import annotations
@@ -97,5 +99,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id holds no item; rows with null id are kept."""
-    leaks = cut(contained_items(docs, items, id_col, text_col, item_col, item_text_col).select(id_col).distinct())
-    return docs.join(small(leaks), id_col, "left_anti").select(*docs.columns)
+    ident = F.col(f"`{id_col}`")
+    plain = docs.select(ident.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    leaks = cut(contained_items(plain, items, "id", "text", item_col, item_text_col).select(F.col("id").alias("_leak")).distinct())
+    return docs.join(small(leaks), ident == F.col("_leak"), "left_anti")

@@ -21,8 +21,10 @@ Whole copies of a text lose all bytes and are told by their SHA-256 beforehand.
 range, as groups are needed and no global order. Nothing is sampled or capped; hashes only choose
 candidates, and all windows are compared as bytes.
 
-Nulls are empty texts; texts under 50 bytes lose nothing. Rows of one id don't remove each other's
-bytes. A null id is larger than all others and its rows don't remove each other's bytes either.
+Nulls are empty texts; texts under 50 bytes lose nothing, and texts of any length are taken whole. Rows of
+one id don't remove each other's bytes. A null id counts as the largest long, above all others, and
+its rows don't remove each other's bytes either. An empty table gives no rows. Other columns may have any
+name and come back as they are.
 """
 
 from __future__ import annotations
@@ -319,19 +321,23 @@ def whole_copies(plain: DataFrame) -> DataFrame:
     """Rows whose text of 50 bytes or more is also that of a smaller id: all of their bytes go, nothing need be sorted."""
     rows = plain.select("id", "order", "digest", "rest", F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= WIDTH)
     lowest = rows.groupBy("digest").agg(F.min("order").alias("lowest"), F.max("order").alias("highest")).where("lowest < highest")
-    return rows.join(lowest.select("digest", "lowest"), "digest").where(F.col("order") > F.col("lowest")).select("id", "order", "digest", "rest", "n_bytes")
+    lowest = cut(lowest.select("digest", "lowest"))  # only digests that occur twice; a broadcast leaves no hot one to a task
+    return rows.join(F.broadcast(lowest) if lowest.count() <= BROADCAST_COPIES else lowest, "digest").where(F.col("order") > F.col("lowest")).select("id", "order", "digest", "rest", "n_bytes")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, rest struct of the other columns, n_bytes, n_removed, n_spans, kept_sha256, kept binary)."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+    """Rows (id_col, rest struct of the other columns, n_bytes, n_removed, n_spans, kept_sha256, kept binary).
+
+    With `whole_characters`, `kept` lacks the rest of characters that a removal cuts; kept_sha256 is of all kept bytes.
+    """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     parts = shuffle_partitions(spark)
     shards = min(65_535, max(parts, blocks // 4))
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     plain = plain.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("order", F.coalesce("id", F.lit(NO_ID)))
     copies = cut(whole_copies(plain))
     few = copies.count() <= BROADCAST_COPIES
@@ -390,7 +396,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         block = Block(texts)
         n, removed, spans, gone = remove(block, shards, replies_of(replies, False), replies_of(replies, True))
         kept = [block.data[a:b][~gone[a:b]].tobytes() for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
-        return pa.table({"id": texts.column("id"), "rest": texts.column("rest"), "n_bytes": pa.array(n), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept, pa.binary())})
+        digests = [hashlib.sha256(k).hexdigest() for k in kept]
+        if whole_characters:
+            kept = [k.decode("utf-8", "ignore").encode() if r else k for k, r in zip(kept, removed.tolist(), strict=True)]
+        return pa.table({"id": texts.column("id"), "rest": texts.column("rest"), "n_bytes": pa.array(n), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary())})
 
     reply = "block long, shard long, masks boolean, reply binary"
     keys = dealt.groupBy("block").applyInArrow(send_keys, "shard long, block long, keys binary")
@@ -411,14 +420,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A character that a removal cuts goes as well. `chars_col`, if there is one, follows the text.
     """
-    done = dedup(docs.select(F.col(id_col).cast("long").alias(id_col), *[F.col(f"`{c}`") for c in docs.columns if c != id_col]), id_col, text_col)
-    text = F.udf(lambda b: bytes(b).decode("utf-8", "ignore"), "string")
-    left = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    left = left.withColumn("_text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text("kept")))
+    done = dedup(docs, id_col, text_col, whole_characters=True)
+    left = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumn("_text", F.col("kept").cast("string"))
     out = []
     for c in docs.columns:
         if c == id_col:
-            out.append(F.col(id_col))
+            out.append(F.col(f"`{id_col}`"))
         elif c == text_col:
             out.append(F.col("_text").alias(c))
         elif c == chars_col:
