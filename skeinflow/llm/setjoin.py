@@ -7,8 +7,8 @@ of counts over all documents that grows with the input; it decides the order onl
 
 1. Every task counts its shingles by hash in `slots` numbers, and these are added up.
 2. Every text gives its fingerprint, its set's name (64 bits) and the shingles of its prefix.
-3. Sets that share one of these, or have linked fingerprints, are joined to the least set of each
-   shingle. The components of these edges are clusters: a pair of the similarity lies in one cluster.
+3. Sets that share one of these are joined to the least set of each shingle; so are sets of linked
+   fingerprints, where their prefixes share a shingle. The components of these edges are clusters: a pair of the similarity lies in one cluster.
 4. Each member's set goes once to its cluster's task, where the pairs are found through an index of the
    cluster's own prefixes and verified exactly, except where links already connect them. A cluster of
    over `CLUSTER_BYTES` is cut in blocks, and each pair of blocks is a task of its own.
@@ -121,6 +121,16 @@ def candidate_edges(rows: DataFrame) -> DataFrame:
     return entries.join(small(shared), "token").select("a", F.col("set_id").alias("b")).where("a <> b").distinct()
 
 
+def likely(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those `edges` (a, b) between sets whose prefixes in `rows` (set_id, prefix) share a shingle; others can't be similar."""
+    edges = cut(edges.distinct())
+    ends = cut(edges.select(F.col("a").alias("set_id")).unionByName(edges.select(F.col("b").alias("set_id"))).distinct())
+    have = cut(rows.join(small(ends), "set_id", "left_semi").select("set_id", "prefix").dropDuplicates(["set_id"]))
+    left = edges.join(have.select(F.col("set_id").alias("a"), F.col("prefix").alias("x")), "a")
+    both = left.join(have.select(F.col("set_id").alias("b"), F.col("prefix").alias("y")), "b")
+    return both.where(F.arrays_overlap("x", "y")).select("a", "b")
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """Rows (set_id, fp, shingles) of `texts` (text): the sorted distinct shingle hashes of each."""
 
@@ -200,7 +210,7 @@ def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, width: int, simila
     `rows` is `prefix_frame` of `docs` (id, text); `edges` (a, b) between sets are further candidates.
     """
     some = rows.where(F.size("prefix") > 0)
-    clusters = min_label_components(edges.unionByName(candidate_edges(some)))
+    clusters = min_label_components(likely(edges, some).unionByName(candidate_edges(some)))
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
     members = some.join(small(cut(clusters)), F.col("set_id") == F.col("node"))
     named = cut(members.groupBy("set_id", "root").agg(F.min("id").alias("low")))
