@@ -1,26 +1,23 @@
-"""Exact similarity join of texts as sets of word shingles.
-
-Two sets of Jaccard similarity s share a shingle among the first n - ceil(s * n) + 1 of each (n its
-size), whatever the one order of all shingles is (prefix filter). The order goes from rare to frequent,
-so frequent lines are in no prefix but of texts that hold little else. Frequencies come from a sketch
-of counts over all documents that grows with the input; it decides the order only, never a result.
-
-1. Every task counts its shingles by hash in `slots` numbers, and these are added up.
-2. Every text gives its fingerprint, its set's name (64 bits) and the shingles of its prefix.
-3. Sets that share one of these are joined to the least set of each shingle; so are sets of linked
-   fingerprints, where their prefixes share a shingle. The components of these edges are clusters: a pair of the similarity lies in one cluster.
-4. Each member's set goes once to its cluster's task, where the pairs are found through an index of the
-   cluster's own prefixes and verified exactly, except where links already connect them. A cluster of
-   over `CLUSTER_BYTES` is cut in blocks, and each pair of blocks is a task of its own.
-
-Nothing is capped or estimated: the links connect all that pairs of the similarity connect. Sets
-are told apart by 64-bit hashes. Null and empty texts have the empty set, whose rows are one class.
+"""Similarity join of texts as sets of word shingles: candidates by MinHash bands, clusters verified whole and exactly.
+
+1. Every text gives its fingerprint, its set's name (64 bits), `BANDS` keys of `ROWS` MinHashes each, and 8 bits of
+   each MinHash. Two sets of similarity s share a key with a probability of 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8.
+2. Sets that share a key are joined to the least set of that key; so are sets of linked fingerprints whose
+   MinHashes agree nearly enough. Buckets are aggregated, never gathered, so their size doesn't matter. The
+   components of these edges are clusters.
+3. Each member's set goes once to its cluster's task. There a prefix filter finds the pairs: two sets of
+   similarity s share a shingle among the first n - ceil(s * n) + 1 of each (n its size), whatever the one
+   order of all shingles is; here it goes from rare to frequent in the cluster. All these pairs are verified
+   exactly, except where links already connect them. A cluster of over `CLUSTER_BYTES` is cut in blocks, and each
+   pair of blocks is a task of its own.
+
+No bucket or cluster is capped, and within a cluster nothing is estimated: its links connect all that pairs
+of the similarity connect. Sets are told apart by 64-bit hashes. Null and empty texts have the empty
+set, whose rows are one class.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +29,10 @@ from pyspark.sql import functions as F
 from ._common import cut, min_label_components, release, shuffle_partitions, slices, utf8_buffers
 from .simhash import SEED, bucket_links, fingerprints, shingle_hashes, small
 
-#: Numbers of the frequency sketch: one for so many bytes of text, in these bounds (a power of two; four bytes each).
-BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 4096, 1 << 14, 1 << 24
+#: MinHash bands and the rows of each.
+BANDS, ROWS = 25, 5
+#: How far the share of equal MinHashes may lie below the similarity: over four standard deviations.
+SLACK = 0.17
 #: Bytes of shingle sets that one task compares.
 CLUSTER_BYTES = 16 << 20
 
@@ -43,39 +42,6 @@ def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
-def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """How often the shingles of each hash slot occur in all `texts` (text), at most a 32-bit number."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = min(max(1 << math.ceil(math.log2(max(total // BYTES_A_SLOT, 1))), LEAST_SLOTS), MOST_SLOTS)
-    shift, part = np.uint64(64 - int(math.log2(slots))), min(slots, 1 << 18)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(slots, np.uint32)
-        for batch in batches:
-            offsets, data = utf8_buffers(batch.column(0))
-            for lo, hi in slices(offsets):
-                *_, hashes = shingle_hashes(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], width)
-                np.add.at(seen, (hashes >> shift).astype(np.int64), 1)
-        own = [zlib.compress(seen[at : at + part].tobytes(), 1) for at in range(0, slots, part)] if seen.any() else []
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int64()), pa.array(own, pa.binary())], names=["part", "counts"])
-        release()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint32).astype(np.int64)
-                sums[at] = sums.get(at, 0) + one
-        own = [np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(own, pa.binary())], names=["part", "counts"])
-
-    schema, found = "part long, counts binary", np.zeros(slots, np.uint32)
-    counted = texts.select("text").mapInArrow(count, schema).repartition(max(1, slots // part), "part").mapInArrow(add, schema)
-    for row in counted.toLocalIterator():  # MOST_SLOTS bounds it
-        found[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["counts"], np.uint32)
-    return found
-
-
 def distinct_shingles(n_rows: int, hashed: tuple) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     some, n_shingles, row_start, hashes = hashed
@@ -89,11 +55,31 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
 
 
-def prefix_frame(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Rows (id, fp, set_id, prefix array<long>) of `docs` (id, text)."""
-    counts = slot_counts(docs, width)
-    shift = np.uint64(64 - int(math.log2(len(counts))))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def sketches(n_rows: int, hashed: tuple) -> tuple[pa.Array, list[bytes | None]]:
+    """Band keys (array<long>) and 8 bits of each MinHash of the rows; null for rows without a shingle."""
+    some, _, row_start, hashes = hashed
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    draw = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+    low = np.empty((len(some), BANDS * ROWS), np.uint32)
+    for k in range(BANDS * ROWS if len(some) else 0):
+        mixed = folded * (draw[0, k] | np.uint32(1)) + draw[1, k]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        low[:, k] = np.minimum.reduceat(mixed, row_start)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(some), 1))
+    for r in range(ROWS):
+        key = (key ^ low[:, r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    ends = np.zeros(n_rows + 1, np.int32)
+    ends[some + 1] = BANDS
+    small: list[bytes | None] = [None] * n_rows
+    for row, x in zip(some.tolist(), ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8), strict=True):
+        small[row] = x.tobytes()
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(key.ravel().view(np.int64))), small
+
+
+def sketch_frame(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (id, fp, set_id, bands array<long>, sketch) of `docs` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,34 +87,36 @@ def prefix_frame(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             for lo, hi in slices(offsets):
                 own, text = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 hashed = shingle_hashes(own, text, width)
-                sets = distinct_shingles(hi - lo, hashed)
-                rare = []
-                for x in sets:
-                    order = np.argsort(shared.value[(x >> shift).astype(np.int64)], kind="stable")
-                    rare.append(x[order[: int(prefix_size(np.array(len(x)), similarity))]] if len(x) else x)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in rare])])
-                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fingerprints(own, text, width, hashed).view(np.int64)), pa.array(set_ids(sets)), prefix], names=["id", "fp", "set_id", "prefix"])
+                fps, names = fingerprints(own, text, width, hashed).view(np.int64), set_ids(distinct_shingles(hi - lo, hashed))
+                bands, small = sketches(hi - lo, hashed)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fps), pa.array(names), bands, pa.array(small, pa.binary())], names=["id", "fp", "set_id", "bands", "sketch"])
         release()
 
-    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, fp long, set_id long, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, fp long, set_id long, bands array<long>, sketch binary")
+
 
+def band_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) from each set of `rows` (set_id, bands) to the least set of each of its keys."""
+    entries = rows.select("set_id", F.explode("bands").alias("key"))
+    shared = cut(entries.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("last")).where("a < last").select("key", "a"))
+    return entries.join(small(shared), "key").select("a", F.col("set_id").alias("b")).where("a <> b").distinct()
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from each set of `rows` (set_id, prefix) to the least set of each shingle of its prefix."""
-    entries = rows.select("set_id", F.explode("prefix").alias("token"))
-    shared = cut(entries.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("last")).where("a < last").select("token", "a"))
-    return entries.join(small(shared), "token").select("a", F.col("set_id").alias("b")).where("a <> b").distinct()
 
+def likely(edges: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those `edges` (a, b) between sets whose MinHashes in `rows` (set_id, sketch) agree in the similarity less `SLACK`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
+            good = (x == y).mean(axis=1) >= similarity - SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
-def likely(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those `edges` (a, b) between sets whose prefixes in `rows` (set_id, prefix) share a shingle; others can't be similar."""
     edges = cut(edges.distinct())
     ends = cut(edges.select(F.col("a").alias("set_id")).unionByName(edges.select(F.col("b").alias("set_id"))).distinct())
-    have = cut(rows.join(small(ends), "set_id", "left_semi").select("set_id", "prefix").dropDuplicates(["set_id"]))
-    left = edges.join(have.select(F.col("set_id").alias("a"), F.col("prefix").alias("x")), "a")
-    both = left.join(have.select(F.col("set_id").alias("b"), F.col("prefix").alias("y")), "b")
-    return both.where(F.arrays_overlap("x", "y")).select("a", "b")
+    have = cut(rows.where("sketch is not null").join(small(ends), "set_id", "left_semi").groupBy("set_id").agg(F.min("sketch").alias("sketch")))
+    left = edges.join(have.select(F.col("set_id").alias("a"), F.col("sketch").alias("x")), "a")
+    both = left.join(have.select(F.col("set_id").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -205,12 +193,12 @@ def connect(sets: list[np.ndarray], fps: np.ndarray, block: np.ndarray, similari
 
 
 def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Rows (a, b): links between sets that connect all that pairs of the similarity connect.
+    """Rows (a, b): verified links between sets, which connect all that pairs of the similarity connect in a cluster.
 
-    `rows` is `prefix_frame` of `docs` (id, text); `edges` (a, b) between sets are further candidates.
+    `rows` is `sketch_frame` of `docs` (id, text); `edges` (a, b) between sets are further candidates.
     """
-    some = rows.where(F.size("prefix") > 0)
-    clusters = min_label_components(likely(edges, some).unionByName(candidate_edges(some)))
+    some = rows.where(F.size("bands") > 0)
+    clusters = min_label_components(likely(edges, some, similarity).unionByName(band_edges(some)))
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
     members = some.join(small(cut(clusters)), F.col("set_id") == F.col("node"))
     named = cut(members.groupBy("set_id", "root").agg(F.min("id").alias("low")))

@@ -16,8 +16,8 @@ so the work stays linear and no bucket is capped.
 Similarity. Two bits hold only the closest copies, and texts with very frequent lines that are no copies:
 at a Jaccard similarity of 0.8 about ten bits of 64 differ, which no segment keys find selectively. With
 `similarity`, links are those of that Jaccard similarity and no others. Fingerprints that link bring their
-texts together as before, and `setjoin` adds those that only share a rare shingle, which no pair of the
-similarity lacks; every pair is then verified on the sets of shingles, those of linked fingerprints first.
+texts together as before, and `setjoin` adds those that share a band of MinHashes; what came together is
+verified whole on the sets of shingles, those of linked fingerprints first.
 
 Nulls and empty texts have no shingle: fingerprint zero, linked like any other. Texts shorter than
 the shingle width give one shingle of all their words. Repeated rows keep their own rows; rows of one id
@@ -278,7 +278,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         from . import setjoin
 
-        rows = cut(setjoin.prefix_frame(picked, width, similarity))
+        rows = cut(setjoin.sketch_frame(picked, width))
         fps = rows.select("fp", "set_id").distinct()
         links = setjoin.links(picked, rows, equal_and_near(fps), width, similarity)
         done = named_components(rows.select("id", "fp", "set_id"), "set_id", links)
