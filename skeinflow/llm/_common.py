@@ -16,6 +16,8 @@ from ..session import ship
 
 #: Bytes of text that one numpy step works on; a single longer document is taken whole.
 SLICE_BYTES = 1 << 20
+#: Edges of a graph up to which its nodes' minima (two short structs) are broadcast.
+BROADCAST_EDGES = 500_000
 
 
 def release() -> None:
@@ -47,11 +49,13 @@ def tidy(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session names.
 
-    Only where spark.checkpoint.dir is unset (tests, a laptop) a folder of this machine is used.
+    Only where spark.checkpoint.dir is unset and all runs on one machine (tests, a laptop) its own folder is used.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinflow-checkpoint-"))
     return df.checkpoint()
 
@@ -102,21 +106,24 @@ def min_label_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star on DataFrames: the smallest neighbour is found with a
     partially aggregated minimum and joined back, so a node with very many neighbours is never
-    gathered in one task, and adaptive execution can split its join. Each round is checkpointed.
-    Nodes without an edge do not appear; self-edges and repeated edges do no harm.
+    gathered in one task: few minima are broadcast, and of more adaptive execution can split the join. Each
+    round is checkpointed. Nodes without an edge do not appear; self-edges and repeated edges do no harm.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def few(low: DataFrame) -> DataFrame:
+        return F.broadcast(low) if seen[0] <= BROADCAST_EDGES else low  # not more minima than edges
+
     seen = mark(e)
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(few(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = large.join(few(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         now = mark(e)
         if now == seen:

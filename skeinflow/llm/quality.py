@@ -77,36 +77,67 @@ def grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, bounds
 
 
+class Recent:
+    """A table of grams by hash, with what a full sort needn't see: those met again and how often."""
+
+    def __init__(self, bits: int = 20) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.code, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def split(self, code: np.ndarray) -> np.ndarray:
+        """Counts the grams that are in the table; returns the others. The gram of zeros is always in."""
+        slot = (code * MIX) >> self.shift
+        known = self.code[slot] == code
+        np.add.at(self.n, slot[known], 1)
+        return code[~known]
+
+    def put(self, code: np.ndarray) -> None:
+        """Distinct new grams take free places; others stay outside."""
+        slot = (code * MIX) >> self.shift
+        free = self.code[slot] == 0
+        self.code[slot[free]] = code[free]
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
     """Rows (model, code, n) of the four-grams in `texts` (text, held boolean): model 0 without held-out texts, model 1 with all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = (Recent(), Recent())
+
+        def rows(held: int, names: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for model in (1,) if held else (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), model, np.int32)), pa.array(names.view(np.int64)), pa.array(n)], names=["model", "code", "n"])
+
         for batch in batches:
             offsets, data = utf8_buffers(batch.column(0))
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in slices(offsets, 8 << 20):
+            for lo, hi in slices(offsets):
                 code, bounds = grams(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
-                for model, some in ((0, code[np.repeat(~held[lo:hi], np.diff(bounds))]), (1, code)):
-                    names, n = np.unique(some, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), model, np.int32)), pa.array(names.view(np.int64)), pa.array(n)], names=["model", "code", "n"])
+                side = np.repeat(held[lo:hi], np.diff(bounds))
+                for k, table in enumerate(tables):
+                    names, n = np.unique(table.split(code[side == bool(k)]), return_counts=True)
+                    table.put(names)
+                    yield from rows(k, names, n)
+        for k, table in enumerate(tables):
+            some = np.flatnonzero(table.n)
+            yield from rows(k, table.code[some], table.n[some])
         release()
 
     return texts.select("text", "held").mapInArrow(run, "model int, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
 
 
 def seen_grams(texts: DataFrame) -> DataFrame:
-    """The distinct `code`s of all texts; a small memory of grams just seen keeps most repeats from the sort."""
+    """The distinct `code`s of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent = np.zeros(1 << 18, np.uint64)
+        table = Recent()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["code"])  # always in the table
         for batch in batches:
             offsets, data = utf8_buffers(batch.column(0))
             for lo, hi in slices(offsets):
                 code, _ = grams(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
-                slot = (code * MIX) >> np.uint64(46)
-                new = recent[slot] != code
-                names = np.unique(code[new])
-                recent[slot[new]] = code[new]
+                names = np.unique(code[table.code[(code * MIX) >> table.shift] != code])
+                table.put(names)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64))], names=["code"])
         release()
 
