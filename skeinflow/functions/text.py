@@ -23,22 +23,22 @@ EVENTS = (("valentine", "Valentine day"), ("father's day", "Fathers day"), ("tax
 EXCLUDED = ("analytics", "disclaimers", "pageanalyticsattributes", "alt", "analyticsattributes", "url", "analyticstags", "accessibilitytext")
 # Countries of each business region; all others belong to WW.
 GEO_GROUPS = {
-    "IN": "IN",
-    "JP": "JP",
-    "KR": "KR",
-    "ANZ": "AU NZ",
-    "SEA": "SG MY TH VN ID PH BN KH LA MM",
-    "ALAC-CA": "CA MX AR BO BR CL CO CR DO EC SV GT HN NI PA PY PE UY VE",
-    "Europe": "AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MT NL NO PL PT RO SE SI SK",
-    "CEMEA": "AE SA QA KW OM BH JO IL EG MA TN DZ ZA NG KE UG CM CI BW MZ MU SN CF GW GN GQ ML NE AM AZ BY GE KZ KG MD ME MK RU TJ TM UA UZ TR",
+    "IN": ("IN",),
+    "JP": ("JP",),
+    "KR": ("KR",),
+    "ANZ": ("AU", "NZ"),
+    "SEA": ("SG", "MY", "TH", "VN", "ID", "PH", "BN", "KH", "LA", "MM"),
+    "ALAC-CA": ("CA", "MX", "AR", "BO", "BR", "CL", "CO", "CR", "DO", "EC", "SV", "GT", "HN", "NI", "PA", "PY", "PE", "UY", "VE"),
+    "Europe": ("AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IS", "IT", "LI", "LT", "LU", "LV", "MT", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK"),
+    "CEMEA": ("AE", "SA", "QA", "KW", "OM", "BH", "JO", "IL", "EG", "MA", "TN", "DZ", "ZA", "NG", "KE", "UG", "CM", "CI", "BW", "MZ", "MU", "SN", "CF", "GW", "GN", "GQ", "ML", "NE", "AM", "AZ", "BY", "GE", "KZ", "KG", "MD", "ME", "MK", "RU", "TJ", "TM", "UA", "UZ", "TR"),
 }
 GEO_ORDER = ("Europe", "IN", "JP", "KR", "SEA", "WW", "CEMEA", "ANZ", "ALAC-CA")
 # Other names of the annotation states.
 STATUS_ALIASES = {
-    "ENRICHMENT_TRIGGERED": "CLEANSED_PENDING_ENRICHMENT QUEUED_FOR_ENRICHMENT ENRICHMENT_QUEUED",
-    "WAITING_FOR_RESULTS": "WAITING_FOR_AI_OUTPUT AWAITING_AI_OUTPUT WAITING_FOR_RESULTS",
-    "ENRICHMENT_RUNNING": "ENRICHMENT_IN_PROGRESS ENRICHMENT_PROCESSING AI_ENRICHMENT_IN_PROGRESS ENRICHMENT_STARTED",
-    "ENRICHMENT_COMPLETE": "ENRICHMENT_DONE ENRICHED COMPLETED",
+    "ENRICHMENT_TRIGGERED": ("CLEANSED_PENDING_ENRICHMENT", "QUEUED_FOR_ENRICHMENT", "ENRICHMENT_QUEUED"),
+    "WAITING_FOR_RESULTS": ("WAITING_FOR_AI_OUTPUT", "AWAITING_AI_OUTPUT", "WAITING_FOR_RESULTS"),
+    "ENRICHMENT_RUNNING": ("ENRICHMENT_IN_PROGRESS", "ENRICHMENT_PROCESSING", "AI_ENRICHMENT_IN_PROGRESS", "ENRICHMENT_STARTED"),
+    "ENRICHMENT_COMPLETE": ("ENRICHMENT_DONE", "ENRICHED", "COMPLETED"),
 }
 # The annotation states in order of progress.
 STATUS_ORDER = ("ENRICHMENT_TRIGGERED", "WAITING_FOR_RESULTS", "ENRICHMENT_RUNNING", "PARTIALLY_ENRICHED", "ENRICHMENT_COMPLETE")
@@ -55,9 +55,27 @@ def blank_to_null(x: Column) -> Column:
     return F.nullif(strip(x), F.lit(""))
 
 
-def first_filled(*xs: Column) -> Column:
-    """The first argument that isn't null or blank, trimmed."""
-    return F.coalesce(*map(blank_to_null, xs))
+def first_filled(*xs: Column, forbidden: Sequence[str] = ()) -> Column:
+    """The first argument that isn't null, blank or (without case) forbidden, trimmed."""
+    filled = [blank_to_null(x) for x in xs]
+    if forbidden:
+        filled = [F.when(~F.lower(x).isin(*[f.lower() for f in forbidden]), x) for x in filled]
+    return F.coalesce(*filled)
+
+
+def resolved(requested: Column, inferred: Sequence[Column] = (), default: str | None = None) -> Column:
+    """What a request asks for, else the first that the paths tell, else the default."""
+    return first_filled(requested, *inferred, F.lit(default))
+
+
+def slim_context(context: Column) -> Column:
+    """Of a stored context (JSON) the facets and the envelope only."""
+    return F.to_json(F.map_filter(F.from_json(context, "map<string,string>"), lambda k, _: k.isin("facets", "envelope")))
+
+
+def keep_blank(cleansed: Column, blanks: bool = True) -> Column:
+    """Whether an item stays after cleansing: null never, blank only with `blanks`."""
+    return cleansed.isNotNull() if blanks else blank_to_null(cleansed).isNotNull()
 
 
 def cleanse(x: Column) -> Column:
@@ -101,6 +119,7 @@ def _found(x: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
 
 
+# Fixed values in the next functions: the patterns of locales, tenants, sites and section keys in paths.
 def path_locale(path: Column) -> Column:
     """ll_CC of a path segment such as /ll-CC/."""
     pattern = r"(?<=/)([a-z]{2})[-_]([A-Z]{2})(?=/|$)"
@@ -116,22 +135,28 @@ def path_tenant(path: Column) -> Column:
     return _found(path, r"/content/dam/([^/]+)/")
 
 
+def path_page(path: Column) -> Column:
+    """The segment behind a locale's."""
+    return _found(path, r"/[a-z]{2}[_-][A-Z]{2}/([^/]+)/")
+
+
 def path_site(path: Column) -> Column:
     return F.coalesce(_found(path, r"/assets-www/[a-z]{2}[_-][A-Z]{2}/([^/]+)/"), _found(path, r"/live/[a-z]{2}[_-][A-Z]{2}/([^/]+)/"))
 
 
 def normalize_locale(x: Column, on_invalid: str = "partial") -> Column:
-    """ll_CC. What has another form: 'partial' (dashes become underscores), 'null' or 'original'."""
+    """ll_CC. What has another form: 'partial' (dashes become underscores),
+    'lower' (so, in lower case), 'null', 'blank' or 'original'."""
     t = F.replace(blank_to_null(x), F.lit("-"), F.lit("_"))
     good = F.concat(F.lower(F.substring(t, 1, 2)), F.lit("_"), F.upper(F.substring(t, 4, 2)))
-    other = {"partial": t, "null": F.lit(None).cast("string"), "original": x}[on_invalid]
+    other = {"partial": t, "null": F.lit(None).cast("string"), "original": x, "lower": F.lower(t), "blank": F.lit("")}[on_invalid]
     return F.when((F.char_length(t) == 5) & (F.substring(t, 3, 1) == "_"), good).otherwise(other)
 
 
 def geo_group(country: Column) -> Column:
     code, out = F.upper(strip(country)), F.lit("WW")
     for name, members in reversed(GEO_GROUPS.items()):
-        out = F.when(code.isin(*members.split()), name).otherwise(out)
+        out = F.when(code.isin(*members), name).otherwise(out)
     return out
 
 
@@ -155,10 +180,14 @@ def sentences(x: Column) -> Column:
 
 def chunks(x: Column) -> Column:
     """Texts of up to 500 characters whole, longer ones by six sentences with one of overlap; blank gives none."""
-    parts = sentences(strip(x))
     stride = CHUNK_SENTENCES - CHUNK_OVERLAP
-    starts = F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(stride))
-    long = F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, F.lit(CHUNK_SENTENCES)), " "))
+
+    def joined(parts: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(stride))
+        return F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, F.lit(CHUNK_SENTENCES)), " "))
+
+    # the lambda's variable holds the sentences: as a plain expression they would be split again for every chunk
+    long = F.get(F.transform(F.array(sentences(strip(x))), joined), F.lit(0))
     none = F.array().cast("array<string>")
     return F.when(blank_to_null(x).isNull(), none).when(F.char_length(x) <= CHUNK_CHARS, F.array(x)).otherwise(long)
 
@@ -219,10 +248,10 @@ def section_key(x: Column) -> Column:
     return F.lower(_found(x, r"(?i)\b([a-z0-9]+(?:-[a-z0-9]+)*-section(?:-[a-z0-9]+)*)\b"))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine similarity; NaN for a zero vector."""
+def cosine_distance(a: Column, b: Column, norm_b: float | None = None) -> Column:
+    """1 - cosine similarity; NaN for a zero vector. `norm_b` is the second vector's norm, where it is known."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    norm = F.sqrt(dot(a, a)) * (F.sqrt(dot(b, b)) if norm_b is None else F.lit(norm_b))
     return F.when(norm == 0, F.lit(float("nan"))).otherwise(1 - dot(a, b) / norm)
 
 
@@ -255,7 +284,7 @@ def status_alias(status: Column) -> Column:
     """The state that another name stands for; other names stay, in capitals."""
     s = F.upper(strip(status))
     for name, others in STATUS_ALIASES.items():
-        s = F.when(s.isin(*others.split()), name).otherwise(s)
+        s = F.when(s.isin(*others), name).otherwise(s)
     return s
 
 

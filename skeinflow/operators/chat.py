@@ -22,9 +22,9 @@ ROLE_BEFORE = re.compile(r"(?i)\b([a-z0-9_-]{3,})\s+([a-z0-9][a-z0-9\s-]*section
 LOCALE = re.compile(r"(?i)\b([a-z]{2})[_-]([a-z]{2})\b")
 WORD = re.compile(r"[A-Za-z0-9_-]+")
 ROLES = ("headline", "title", "copy", "body", "content", "description")
-NOT_ROLES = frozenset("for section the and with of in on give me".split())
-NOT_PAGES = frozenset("for section sections copy content with and the".split())
-PREPOSITIONS = frozenset("for of in on to at with".split())
+NOT_ROLES = frozenset({"for", "section", "the", "and", "with", "of", "in", "on", "give", "me"})
+NOT_PAGES = frozenset({"for", "section", "sections", "copy", "content", "with", "and", "the"})
+PREPOSITIONS = frozenset({"for", "of", "in", "on", "to", "at", "with"})
 DEFAULT_LIMIT, MAX_LIMIT = 15, 200
 
 RESULT = ("id", "section_path", "section_uri", "cleansed_text", "content_role", "source", "last_modified", "tenant", "page_id", "locale", "language", "country")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import path_label
 from ..functions.text import STATUS_ORDER, blank_to_null, chunks, geo_group_of_locale, geo_rank, status_alias
 from ..session import ship
-from .versions import append_absent, first_per
+from .versions import append_absent, first_per, matching
 
 ANNOTATION = "struct<summary:string,keywords:array<string>,sentiment:string,classification:string,tags:array<string>,error:string>"
 
@@ -42,22 +42,31 @@ def chunk_rows(sections: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def usage_fanout(elements: DataFrame, usages: DataFrame, keys: list[str], usage: str, default: str) -> DataFrame:
-    """Each element once for each distinct usage path of its key, or with its own default."""
-    known = usages.select(*keys, F.col(usage).alias("_usage")).distinct()
-    return elements.join(known, keys, "left").withColumn(usage, F.coalesce("_usage", F.col(default))).drop("_usage")
+    """Each element once for each distinct usage path of its key, or with its own default. Keys match null-safely."""
+    known = usages.where(blank_to_null(F.col(usage)).isNotNull()).select(*[F.col(k).alias(f"_u_{k}") for k in keys], F.col(usage).alias("_usage")).distinct()
+    return elements.join(known, matching(elements, known, keys, "_u_"), "left").withColumn(usage, F.coalesce("_usage", F.col(default))).drop("_usage", *[f"_u_{k}" for k in keys])
 
 
 def consolidate(elements: DataFrame, sections: DataFrame, keys: list[str]) -> DataFrame:
     return append_absent(sections, elements, keys)
 
 
-def save_annotated(stored: DataFrame, incoming: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Upsert; what a user has overridden keeps its values and is marked as having a newer annotation."""
-    new = incoming.select(*keys, *[F.col(v).alias(f"_n_{v}") for v in values], F.lit(True).alias("_new"))
-    both = stored.join(new, keys, "full")
-    held = F.coalesce("user_override_active", F.lit(False))
-    out = [*keys, *[F.when(F.col("_new") & ~held, F.col(f"_n_{v}")).otherwise(F.col(v)).alias(v) for v in values], held.alias("user_override_active")]
-    return both.select(*out, F.coalesce(F.when(held & F.col("_new"), F.lit(True)), F.col("new_ai_available"), F.lit(False)).alias("new_ai_available"))
+def save_annotated(stored: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], always: Sequence[str] = ()) -> DataFrame:
+    """Upsert of annotations; keys match null-safely, and all columns of `stored` stay.
+
+    Columns `values` of `incoming` are taken over but where a user has overridden them, which is marked as having a
+    newer annotation instead; columns `always` are taken over in any case. New keys have null in the other columns.
+    """
+    new = incoming.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(v).alias(f"_n_{v}") for v in (*values, *always)], F.lit(True).alias("_new"))
+    old = stored.withColumn("_old", F.lit(True))
+    both = old.join(new, matching(old, new, keys, "_k_"), "full")
+    held, newer = F.coalesce("user_override_active", F.lit(False)), F.coalesce("_new", F.lit(False))
+    out = {k: F.when(F.col("_old"), F.col(k)).otherwise(F.col(f"_k_{k}")) for k in keys}
+    out |= {v: F.when(newer & ~held, F.col(f"_n_{v}")).otherwise(F.col(v)) for v in values}
+    out |= {v: F.when(newer, F.col(f"_n_{v}")).otherwise(F.col(v)) for v in always}
+    out["user_override_active"] = held
+    out["new_ai_available"] = F.when(newer, held).otherwise(F.coalesce("new_ai_available", F.lit(False)))
+    return both.select(*[out.get(c, F.col(c)).alias(c) for c in stored.columns])
 
 
 def append_revisions(revisions: DataFrame, edits: DataFrame, key: str, order: Column) -> DataFrame:
@@ -80,10 +89,19 @@ def catalog(assets: DataFrame, known: DataFrame, hash_col: str) -> DataFrame:
 
 
 def observe(stored: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """Observed keys get seen_count + 1 or enter with 1; the latest time is kept."""
-    now = seen.groupBy(*keys).agg(F.max("seen_at").alias("_at"))
-    both = stored.join(now, keys, "full")
-    return both.select(*keys, F.greatest("last_seen_at", "_at").alias("last_seen_at"), (F.coalesce("seen_count", F.lit(0)) + F.col("_at").isNotNull().cast("long")).alias("seen_count"))
+    """Observed keys get seen_count + 1 or enter with 1, and are active; the latest time is kept. Other columns stay.
+
+    Of stored rows with one key the one last seen goes on; the others stay as they are, but no longer active.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("last_seen_at").desc_nulls_last(), F.col("seen_count").desc_nulls_last()))
+    ranked = stored.withColumn("_rank", rank)
+    now = seen.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("seen_at").alias("_at"))
+    both = ranked.join(now, matching(ranked, now, keys, "_k_") & (F.col("_rank") == 1), "full")
+    hit = F.col("_at").isNotNull()
+    out = {k: F.when(F.col("_rank").isNull(), F.col(f"_k_{k}")).otherwise(F.col(k)) for k in keys}
+    out |= {"last_seen_at": F.greatest("last_seen_at", "_at"), "seen_count": F.coalesce("seen_count", F.lit(0)) + hit.cast("long")}
+    out["active"] = F.when(hit, True).when(F.col("_rank") > 1, False).otherwise(F.coalesce("active", F.lit(True)) if "active" in stored.columns else F.lit(True))
+    return both.select(*[out.get(c, F.col(c)).alias(c) for c in stored.columns])
 
 
 def element_groups(elements: DataFrame, position: str) -> DataFrame:
@@ -124,6 +142,12 @@ def embed_offline(text: str, dimension: int = 64) -> list[float]:
     return out
 
 
+def embed_letters(text: str) -> list[float]:
+    """A plainer stand-in: how often each letter from a to z is in the text."""
+    low = text.lower()
+    return [float(low.count(chr(97 + k))) for k in range(26)]
+
+
 def annotate_offline(text: str) -> dict:
     """A deterministic stand-in for an annotation service."""
     words = text.split()

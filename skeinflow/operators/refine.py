@@ -12,9 +12,10 @@ from ..functions import text as X
 from . import search as S
 from .chat import at
 
-#: Score of a chip of a supplemental section or of a section key in the query, and of a role in the query.
+# Score of a chip of a supplemental section or of a section key in the query, and of a role in the query.
 SECTION_WEIGHT, ROLE_WEIGHT = 0.2, 0.15
 DEFAULT_LIMIT, MAX_LIMIT, MAX_SECTIONS = 15, 50, 200
+# Fixed value: the pattern of a section key.
 SECTION_KEY = re.compile(r"(?i)\b[a-z0-9]+(?:-[a-z0-9]+)*-section(?:-[a-z0-9]+)*\b")
 SCORED = (("facets", ("sectionKey", "sectionName", "eventType")), ("envelope", ("sectionName", "locale", "country")))
 COUNTED = (("facets", ("sectionKey", "sectionName", "sectionModel", "eventType")), SCORED[1])

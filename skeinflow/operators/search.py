@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -36,14 +38,20 @@ def has_all(xs: Column, needles: Sequence[str], ignore_case: bool = False) -> Co
     return F.size(F.array_except(F.array(*map(F.lit, needles)), xs)) == 0 if needles else F.lit(True)
 
 
-def json_filters(json: Column, tree: Mapping, path: str = "$") -> list[Column]:
-    """Scalars compare without case, lists with; nested maps go down. Keys are quoted, never pasted into SQL."""
+def member(json: Column, key: str) -> Column:
+    """The text of an object's member. A JSON path can't hold a quote, so such keys are looked up in a map."""
+    if "'" in key:
+        return F.element_at(F.from_json(json, "map<string,string>"), F.lit(key))
+    return F.get_json_object(json, f"$['{key}']")
+
+
+def json_filters(json: Column, tree: Mapping) -> list[Column]:
+    """Scalars compare without case, lists with; nested maps go down. Keys may hold any character."""
     out: list[Column] = []
     for key, value in tree.items():
-        here = f"{path}['{str(key).replace(chr(39), '')}']"
-        at = F.get_json_object(json, here)
+        at = member(json, str(key))
         if isinstance(value, Mapping):
-            out += json_filters(json, value, here)
+            out += json_filters(at, value)
         elif isinstance(value, (list, tuple, set)):
             out.append(at.isin(*map(str, value)))
         else:
@@ -64,9 +72,14 @@ def unless_absent(col: Column, value: str | None) -> list[Column]:
 
 
 def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, tie: str, filters: Sequence[Column] = (), below: float | None = None) -> DataFrame:
-    """The k rows of least cosine distance. Filters come before the ranking; ties go by `tie`; zero vectors come last."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = df.where(every(list(filters))).withColumn("distance", cosine_distance(F.col(vector), q))
+    """The k rows of least cosine distance. Filters come before the ranking; ties go by `tie`; zero vectors come last.
+
+    A null vector, or one of another length, is no neighbour and has no row. The query's norm is a constant of the plan.
+    """
+    q = [float(x) for x in query]
+    norm = math.sqrt(sum(x * x for x in q))
+    usable = F.col(vector).isNotNull() & (F.size(vector) == len(q))
+    scored = df.where(every([usable, *filters])).withColumn("distance", cosine_distance(F.col(vector), F.array(*map(F.lit, q)), norm))
     if below is not None:
         scored = scored.where(F.col("distance") < below)
     return scored.orderBy(F.col("distance").asc(), tie).limit(k)
@@ -118,20 +131,22 @@ def tokens(x: Column) -> Column:
 
 
 def full_text(df: DataFrame, fields: Sequence[str], query: str) -> DataFrame:
-    """Rows that match a web-style query: words are joined by and, `or` separates alternatives, `-word` excludes, quotes make a phrase."""
-    import re
+    """Rows that match a web-style query: words are joined by and, `or` separates alternatives, `-word` excludes, quotes make a phrase.
 
-    have = tokens(F.concat_ws(" ", *[F.col(f) for f in fields]))
-    line = F.concat(F.lit(" "), F.array_join(F.col("_tokens"), " "), F.lit(" "))
+    Marks without a letter or digit are no words, and a query of such alone finds nothing.
+    """
+    spaced = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
     options: list[Column] = []
     for option in re.split(r"\s+or\s+", query.strip(), flags=re.IGNORECASE):
         parts: list[Column] = []
         for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', option):
-            needle = F.concat(F.lit(" "), F.array_join(tokens(F.lit(phrase or word)), " "), F.lit(" "))
-            hit = F.contains(line, needle)
-            parts.append(~hit if minus else hit)
+            if re.search(r"[^\W_]", phrase or word):
+                hit = F.contains(F.col("_line"), spaced(tokens(F.lit(phrase or word))))
+                parts.append(~hit if minus else hit)
         if parts:
             options.append(every(parts))
     if not options:
         return df.limit(0)
-    return df.withColumn("_tokens", have).where(reduce(lambda a, b: a | b, options)).drop("_tokens")
+    # the line is a generator's output, so its words are cut once however many conditions read it
+    line = spaced(tokens(F.concat_ws(" ", *[F.col(f) for f in fields])))
+    return df.withColumn("_line", F.explode(F.array(line))).where(reduce(lambda a, b: a | b, options)).drop("_line")

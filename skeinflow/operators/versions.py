@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Leading characters of a hexadecimal hash by which one key's new rows are ranked in parts, and so many parts.
+PREFIX, PARTS = 3, 16**3
+
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; WindowGroupLimit keeps one row a task before the shuffle."""
@@ -52,20 +56,40 @@ def deleted(current: DataFrame, previous: DataFrame, keys: Sequence[str]) -> Dat
     return previous.join(current, list(keys), "left_anti")
 
 
-def lookup_with_fallback(df: DataFrame, known: DataFrame, exact: Sequence[str], loose: Sequence[str], value: str, order: str) -> DataFrame:
-    """`df` with column `found`: the value under the exact key, else under the loose key (first by `order`)."""
-    by_exact = first_per(known, exact, F.col(order)).select(*exact, F.col(value).alias("_exact"))
-    by_loose = first_per(known, loose, F.col(order)).select(*loose, F.col(value).alias("_loose"))
-    joined = df.join(by_exact, list(exact), "left").join(by_loose, list(loose), "left")
-    return joined.select(*[df[c] for c in df.columns], F.coalesce("_exact", "_loose").alias("found"))
+def matching(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of the keys; on the right they have a prefix."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"{prefix}{k}"]) for k in keys])
+
+
+def lookup_with_fallback(df: DataFrame, known: DataFrame, exact: Sequence[str], loose: Sequence[str], values: Sequence[str], *order: Column) -> DataFrame:
+    """`df` with `found` (a struct of `values`, or null): of the row under the exact key, else under the loose key.
+
+    Keys match null-safely. Of several rows under one key the last in the given order holds, as in an index that is filled in it.
+    """
+    rows = known.withColumn("_value", F.struct(*values))
+    sides = []
+    for keys, prefix in ((exact, "_e_"), (loose, "_l_")):
+        last = first_per(rows, keys, *[o.desc_nulls_last() for o in order])
+        sides.append(last.select(*[F.col(k).alias(f"{prefix}{k}") for k in keys], F.col("_value").alias(f"{prefix}value")))
+    joined = df.join(sides[0], matching(df, sides[0], exact, "_e_"), "left").join(sides[1], matching(df, sides[1], loose, "_l_"), "left")
+    return joined.select(*[df[c] for c in df.columns], F.coalesce("_e_value", "_l_value").alias("found"))
 
 
 def assign_version(incoming: DataFrame, stored: DataFrame, key: str, hash_col: str) -> DataFrame:
-    """Incoming rows whose (key, hash) no version has, with the next version of their key."""
+    """Incoming rows whose (key, hash) no version has, with the next versions of their key, in the order of the hash.
+
+    A source with very many new rows is ranked by parts: rows are counted for each hash prefix, the counts before
+    a prefix are summed over at most `PARTS` rows a key, and only rows of one prefix are ranked together.
+    """
     top = stored.groupBy(key).agg(F.max("version").alias("_top"))
-    new = incoming.join(stored.select(key, hash_col).distinct(), [key, hash_col], "left_anti").join(top, key, "left")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(hash_col))
-    return new.withColumn("version", (F.coalesce("_top", F.lit(0)) + rank).cast("int")).drop("_top")
+    new = incoming.join(stored.select(key, hash_col).distinct(), [key, hash_col], "left_anti")
+    part = F.substring(hash_col, 1, PREFIX)
+    counts = new.groupBy(key, part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(key, "_part", before.alias("_before")).join(top, key, "left")
+    rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy(hash_col))
+    ranked = new.withColumn("_part", part).withColumn("_rank", rank).join(offsets, [key, "_part"])
+    return ranked.select(*[F.col(c) for c in new.columns], (F.coalesce("_top", F.lit(0)) + F.col("_before") + F.col("_rank")).cast("int").alias("version"))
 
 
 def merge_ranked(arms: Sequence[DataFrame], keys: Sequence[str], position: str, limit: int) -> DataFrame:
@@ -79,16 +103,14 @@ def merge_ranked(arms: Sequence[DataFrame], keys: Sequence[str], position: str,
     return top.withColumn("cf_id", F.concat(F.lit("cf"), rank)).drop("_arm")
 
 
-def append_absent(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`stored` and the incoming rows whose null-safe key it lacks, each key once."""
+def append_absent(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """`stored` and the incoming rows whose null-safe key it lacks, each key once: the first in the order, if one is given."""
     tagged = stored.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
-    on = None
-    for k in keys:
-        same = incoming[k].eqNullSafe(tagged[f"_k_{k}"])
-        on = same if on is None else on & same
-    return stored.unionByName(incoming.dropDuplicates(list(keys)).join(tagged, on, "left_anti"))
+    once = first_per(incoming, keys, *order) if order else incoming.dropDuplicates(list(keys))
+    return stored.unionByName(once.join(tagged, matching(once, tagged, keys, "_k_"), "left_anti"))
 
 
 def replace_keys(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert: incoming rows take the place of stored rows with their keys."""
-    return stored.join(incoming.select(*keys).distinct(), list(keys), "left_anti").unionByName(incoming)
+    """Upsert: incoming rows take the place of stored rows with their keys, which match null-safely."""
+    new = incoming.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    return stored.join(new, matching(stored, new, keys, "_k_"), "left_anti").unionByName(incoming)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import runs
+
 _VECTOR = "list_transform(range(64), lambda i: ((i * 7) % 13 - 6) / 6.0)"
 _DISTANCE = f"list_cosine_distance(embedding::DOUBLE[], ({_VECTOR})::DOUBLE[])"
 _OLD = "(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"
@@ -73,7 +75,7 @@ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE status WHEN 'WAI
 SELECT doc_id::VARCHAR AS source_uri, ordinal, path AS source_path, field, CASE ordinal WHEN 0 THEN source || '!' WHEN 1 THEN lang ELSE source END AS cleansed, model FROM documents,
 (VALUES (0, 'content/sections[0]/copy', 'copy', 'hero'), (1, 'content/sections[0]/analyticsAttributes[0]/value', 'value', 'hero'), (2, 'content/disclaimers/items[0]/copy', 'copy', NULL)) AS t(ordinal, path, field, model)""",
     "page_tree_extract": f"""
-SELECT 'page:' || page_id AS source_uri, ordinal, url AS source_path, item_type, CASE WHEN ordinal > 0 THEN 'page:' || page_id || ' ::ref:: ' ELSE '' END || url AS usage_path, CASE ordinal WHEN 0 THEN {_CLEAN.format(x='html[1:300]')} WHEN 1 THEN 'first' ELSE 'second' END AS cleansed
+SELECT 'page:' || page_id AS source_uri, ordinal, url AS source_path, item_type, CASE WHEN ordinal > 0 THEN 'page:' || page_id || ' ::ref:: ' ELSE '' END || url AS usage_path, CASE ordinal WHEN 0 THEN {_CLEAN.format(x='html')} WHEN 1 THEN 'first' ELSE 'second' END AS cleansed
 FROM pages, (VALUES (0, 'headline'), (1, 'text[0]'), (2, 'text[1]')) AS t(ordinal, item_type)""",
     "full_text_meta": r"""
 WITH t AS (SELECT doc_id, ' ' || array_to_string(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '([a-z]{3})(ing|ed|es|s)$', '\1')), ' ') || ' ' AS line FROM documents)
@@ -92,9 +94,10 @@ SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'ENRICHMENT_TRIGGERED' WHEN 1 THEN
     "content_hash_dups": "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "delta_changed": f"SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d LEFT JOIN {_OLD} o USING (doc_id, source) WHERE o.text IS NULL OR sha256(o.text) <> sha256(d.text)",
     "delta_two_key_fallback": """
-WITH known AS (SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id % 3 = 0),
-loose AS (SELECT source, lang, min(n_chars) AS n FROM known GROUP BY 1, 2)
-SELECT d.doc_id, d.source, d.lang, coalesce(k.n_chars, l.n) AS found FROM documents d LEFT JOIN known k ON k.doc_id = d.doc_id AND k.source = d.source LEFT JOIN loose l ON l.source = d.source AND l.lang = d.lang""",
+WITH r AS (SELECT doc_id, nullif(source, 'src3') AS source, lang, n_chars FROM documents),
+k AS (SELECT doc_id * 2 AS doc_id, source, lang, n_chars FROM r),
+loose AS (SELECT source, lang, arg_max(n_chars, doc_id) AS n FROM k GROUP BY 1, 2)
+SELECT r.doc_id, r.source, r.lang, coalesce(k.n_chars, l.n) AS found FROM r LEFT JOIN k ON k.doc_id = r.doc_id AND k.source IS NOT DISTINCT FROM r.source LEFT JOIN loose l ON l.source IS NOT DISTINCT FROM r.source AND l.lang = r.lang""",
     "dedup_keep_first": "SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1",
     "last_wins": "SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1",
     "latest_version": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1",
@@ -137,18 +140,24 @@ WITH v AS (SELECT vec_id % 40 AS key, row_number() OVER (ORDER BY {_DISTANCE}, v
 t AS (SELECT doc_id % 55 AS key, doc_id + 1 AS pos, 1 AS arm FROM documents ORDER BY doc_id LIMIT 60),
 f AS (SELECT * FROM (SELECT * FROM v UNION ALL SELECT * FROM t) QUALIFY row_number() OVER (PARTITION BY key ORDER BY arm, pos) = 1)
 SELECT 'cf' || row_number() OVER (ORDER BY arm, pos, key) AS cf_id, key FROM f ORDER BY arm, pos, key LIMIT 40""",
-    "usage_fanout": "WITH u AS (SELECT DISTINCT l_orderkey, 'u' || l_suppkey AS usage FROM lineitem WHERE l_linenumber <= 2) SELECT o_orderkey, coalesce(usage, 'own') AS usage FROM orders LEFT JOIN u ON o_orderkey = l_orderkey",
+    "usage_fanout": "WITH u AS (SELECT DISTINCT l_orderkey, 'u' || l_suppkey AS usage FROM lineitem) SELECT o_orderkey, coalesce(usage, 'own') AS usage FROM orders LEFT JOIN u ON o_orderkey = l_orderkey",
     "revision_append": """
 WITH top AS (SELECT conv_id, max(turn + 1) AS n FROM conversations WHERE turn < 2 GROUP BY 1)
 SELECT conv_id, turn, (coalesce(n, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS revision FROM conversations LEFT JOIN top USING (conv_id) WHERE turn >= 2""",
     "save_annotated": """
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'new ' || source ELSE lang END AS summary, doc_id % 4 = 0 AS user_override_active, doc_id % 4 = 0 AND doc_id % 3 = 0 AS new_ai_available
-FROM documents WHERE doc_id % 4 < 3 OR doc_id % 3 = 0""",
+SELECT coalesce(s.doc_id, i.doc_id + 300) AS doc_id, CASE WHEN i.doc_id IS NOT NULL AND coalesce(s.doc_id, 1) % 4 <> 0 THEN 'new ' || i.source ELSE s.lang END AS summary, s.source AS kept,
+  coalesce(s.doc_id % 4 = 0, false) AS user_override_active, coalesce(s.doc_id % 4 = 0 AND i.doc_id IS NOT NULL, false) AS new_ai_available
+FROM documents s FULL JOIN documents i ON s.doc_id = i.doc_id + 300""",
     "consolidate": "SELECT DISTINCT source, lang FROM documents",
     "observe_locales": """
-WITH s AS (SELECT source, lang, max(doc_id) AS a, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2), o AS (SELECT source, lang, max(doc_id) AS b FROM documents WHERE doc_id % 3 = 0 GROUP BY 1, 2)
-SELECT source, lang, greatest(a, b) AS last_seen_at, coalesce(n, 0) + CASE WHEN b IS NULL THEN 0 ELSE 1 END AS seen_count FROM s FULL JOIN o USING (source, lang)""",
-    "key_replace": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+WITH s AS (SELECT source, lang, doc_id % 2 AS half, max(doc_id) AS a, count(*) AS n FROM documents GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY a DESC, n DESC) AS k FROM s),
+o AS (SELECT CASE WHEN doc_id % 3 = 0 THEN source ELSE source || 'b' END AS source, lang, max(doc_id + 5) AS b FROM documents GROUP BY 1, 2)
+SELECT coalesce(r.source, o.source) AS source, coalesce(r.lang, o.lang) AS lang, half, greatest(a, b) AS last_seen_at, coalesce(n, 0) + CASE WHEN b IS NULL THEN 0 ELSE 1 END AS seen_count, b IS NOT NULL OR k = 1 AS active
+FROM r FULL JOIN o ON r.source = o.source AND r.lang = o.lang AND r.k = 1""",
+    "key_replace": """
+WITH s AS (SELECT nullif(doc_id, 7) AS doc_id FROM documents), i AS (SELECT nullif(doc_id + 300, 301) AS doc_id FROM documents)
+SELECT doc_id, 'old' AS state FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id IS NOT DISTINCT FROM s.doc_id) UNION ALL SELECT doc_id, 'new' FROM i""",
     "locale_from_url": r"""
 SELECT page_id, CASE WHEN regexp_matches(url, '/(en|fr|de|es)/') THEN regexp_extract(url, '/(en|fr|de|es)/', 1) || '_US' END AS locale,
   regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages""",
@@ -156,6 +165,7 @@ SELECT page_id, CASE WHEN regexp_matches(url, '/(en|fr|de|es)/') THEN regexp_ext
 SELECT doc_id, CASE WHEN contains(lower(text), 'valentine') THEN 'Valentine day' WHEN contains(lower(text), 'father''s day') THEN 'Fathers day' WHEN contains(lower(text), 'tax') THEN 'Tax day' WHEN contains(lower(text), 'christmas') THEN 'Christmas' WHEN contains(lower(text), 'mothers') THEN 'Mothers day' END AS event,
   false AS excluded, sha256(source || '||' || lang) AS slot_hash, 'FILE_UPLOAD_RECEIVED' AS status, lang || ',' || source AS parts, round(1 / (1 + n_chars / 100.0), 6) AS score FROM documents""",
     "page_assets": "SELECT 'page:' || page_id AS source_uri, 'heroImage' AS asset_key, url AS preview_uri, 'a picture' AS alt_text FROM pages",
-    "embed_stub": "SELECT doc_id, 64 AS dimension FROM documents",
+    "embed_stub": "SELECT doc_id, CASE WHEN text <> '' THEN array_to_string(list_transform(range(26), lambda k: length(text) - length(replace(lower(text), chr((97 + k)::INT), ''))), ',') END AS vector FROM documents",
+    **runs.SQL,
     "flagship": _chunks("text", f"SELECT d.doc_id, {_CLEAN.format(x='d.text')} AS text FROM documents d LEFT JOIN {_OLD} o USING (doc_id, source) WHERE o.text IS NULL OR {_CLEAN.format(x='o.text')} <> {_CLEAN.format(x='d.text')}") + "SELECT doc_id, position, chunk_text FROM chunked",
 }

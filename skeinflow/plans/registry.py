@@ -15,6 +15,7 @@ from ..operators import search as S
 from ..operators import versions as V
 from ..session import ship
 from ..sources import json_items, json_tree
+from . import runs
 
 #: The query vector of the nearest-neighbour queries: 64 numbers by a rule that SQL can state too.
 QUERY_VECTOR = [((i * 7) % 13 - 6) / 6 for i in range(64)]
@@ -50,8 +51,11 @@ def delta_changed(spark, d):
 
 
 def delta_two_key_fallback(spark, d):
-    known = docs(spark, d).where("doc_id % 3 = 0").select("doc_id", "source", "lang", "n_chars")
-    return V.lookup_with_fallback(docs(spark, d).select("doc_id", "source", "lang"), known, ["doc_id", "source"], ["source", "lang"], "n_chars", "n_chars")
+    """Keys of which some are null; the loose index keeps its last row."""
+    rows = docs(spark, d).select("doc_id", F.nullif("source", F.lit("src3")).alias("source"), "lang", "n_chars")
+    known = rows.withColumn("doc_id", F.col("doc_id") * 2)
+    found = V.lookup_with_fallback(rows.select("doc_id", "source", "lang"), known, ["doc_id", "source"], ["source", "lang"], ["n_chars"], F.col("doc_id"))
+    return found.select("doc_id", "source", "lang", F.col("found.n_chars").alias("found"))
 
 
 def dedup_keep_first(spark, d):
@@ -140,8 +144,15 @@ def array_contains_all(spark, d):
     return docs(spark, d).where(S.has_all(F.split("text", " "), ["of", "the", "and"])).select("doc_id")
 
 
+def _vectors(spark, d) -> DataFrame:
+    """The embeddings, and after each two rows that are no neighbours: without a vector, and with one that is too short."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    bad = rows.select((-F.col("vec_id") - 1).alias("vec_id"), F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 63)).alias("embedding"), "label")
+    return rows.unionByName(bad)
+
+
 def vector_topk(spark, d):
-    return S.nearest(table(spark, d, "embeddings"), "embedding", QUERY_VECTOR, 200, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+    return S.nearest(_vectors(spark, d), "embedding", QUERY_VECTOR, 200, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 def vector_filtered(spark, d):
@@ -162,7 +173,7 @@ def merge_ranked_lists(spark, d):
 
 def usage_fanout(spark, d):
     elements = table(spark, d, "orders").select("o_orderkey", F.lit("own").alias("default_usage"))
-    usages = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("u"), F.col("l_suppkey")).alias("usage"))
+    usages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("u"), F.col("l_suppkey")).alias("usage"))
     return L.usage_fanout(elements, usages, ["o_orderkey"], "usage", "default_usage").select("o_orderkey", "usage")
 
 
@@ -173,8 +184,9 @@ def revision_append(spark, d):
 
 
 def save_annotated(spark, d):
-    stored = docs(spark, d).where("doc_id % 4 < 3").select("doc_id", F.col("lang").alias("summary"), (F.col("doc_id") % 4 == 0).alias("user_override_active"), F.lit(False).alias("new_ai_available"))
-    incoming = docs(spark, d).where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("new "), F.col("source")).alias("summary"))
+    """All documents stored, and all again under ids that go on from 300: some meet stored ones, others are new."""
+    stored = docs(spark, d).select("doc_id", F.col("lang").alias("summary"), F.col("source").alias("kept"), (F.col("doc_id") % 4 == 0).alias("user_override_active"), F.lit(False).alias("new_ai_available"))
+    incoming = docs(spark, d).select((F.col("doc_id") + 300).alias("doc_id"), F.concat(F.lit("new "), F.col("source")).alias("summary"))
     return L.save_annotated(stored, incoming, ["doc_id"], ["summary"])
 
 
@@ -185,14 +197,15 @@ def consolidate(spark, d):
 
 
 def observe_locales(spark, d):
-    stored = docs(spark, d).where("doc_id % 2 = 0").groupBy("source", "lang").agg(F.max("doc_id").alias("last_seen_at"), F.count("*").alias("seen_count"))
-    seen = docs(spark, d).where("doc_id % 3 = 0").select("source", "lang", F.col("doc_id").alias("seen_at"))
+    """Two stored rows for each source and language, of which one goes on; seen are these and others."""
+    stored = docs(spark, d).groupBy("source", "lang", (F.col("doc_id") % 2).alias("half")).agg(F.max("doc_id").alias("last_seen_at"), F.count("*").alias("seen_count")).withColumn("active", F.lit(True))
+    seen = docs(spark, d).select(F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat("source", F.lit("b"))).alias("source"), "lang", (F.col("doc_id") + 5).alias("seen_at"))
     return L.observe(stored, seen, ["source", "lang"])
 
 
 def key_replace(spark, d):
-    stored = docs(spark, d).where("doc_id % 2 = 0").select("doc_id", F.lit("old").alias("state"))
-    return V.replace_keys(stored, docs(spark, d).where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("state")), ["doc_id"])
+    stored = docs(spark, d).select(F.nullif("doc_id", F.lit(7)).alias("doc_id"), F.lit("old").alias("state"))
+    return V.replace_keys(stored, docs(spark, d).select(F.nullif(F.col("doc_id") + 300, F.lit(301)).alias("doc_id"), F.lit("new").alias("state")), ["doc_id"])
 
 
 def locale_from_url(spark, d):
@@ -218,11 +231,11 @@ def user_progress(spark, d):
 
 
 def full_text_meta(spark, d):
-    return S.full_text(docs(spark, d), ["text"], '"of the" -idiot or zzz').select("doc_id")
+    return S.full_text(docs(spark, d), ["text"], '"of the" -idiot !!! or zzz ...').select("doc_id")
 
 
 def _page_json(spark, d) -> DataFrame:
-    node = F.struct(F.col("url").alias("_path"), F.lit("hero-section").alias("_model"), F.struct(F.substring("html", 1, 300).alias("copy")).alias("headline"), F.array(F.lit("first"), F.lit("second")).alias("text"), F.struct(F.struct(F.col("url").alias("uri")).alias("viewportSmall"), F.lit("a picture").alias("alt")).alias("heroImage"))
+    node = F.struct(F.col("url").alias("_path"), F.lit("hero-section").alias("_model"), F.struct(F.col("html").alias("copy")).alias("headline"), F.array(F.lit("first"), F.lit("second")).alias("text"), F.struct(F.struct(F.col("url").alias("uri")).alias("viewportSmall"), F.lit("a picture").alias("alt")).alias("heroImage"))
     return table(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id")).alias("source_uri"), F.to_json(node).alias("json"))
 
 
@@ -240,7 +253,8 @@ def annotate_stub(spark, d):
 
 
 def embed_stub(spark, d):
-    return L.embed(docs(spark, d).select("doc_id", "text"), "text").select("doc_id", F.size("vector").alias("dimension"))
+    """Vectors of word counts by a rule that SQL can state too."""
+    return L.embed(docs(spark, d).select("doc_id", "text"), "text", L.embed_letters).select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 def _sections(spark, d) -> DataFrame:
@@ -378,4 +392,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, page_tree_extract, page_assets, chat_search, display_fields, refine_chips, section_search, country_codes,
         manual_edit, edit_revisions, asset_search, asset_options, region_observations, json_nodes, tree_filter, json_metadata, simple_extract, label_functions, element_groups, status_history, annotate_stub, embed_stub, flagship,
     )
-}
+} | runs.QUERIES

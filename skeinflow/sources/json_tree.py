@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MACROS
-from .json_items import _table_function, scalar
+from .json_items import _table_function, parsed, scalar
 
 NODE_SCHEMA = "source_uri string, ordinal int, id string, parent string, label string, type string, value string"
 META_SCHEMA = "source_uri string, locale string, page_id string"
@@ -21,13 +20,6 @@ PAGE_KEYS = ("pageId", "page_id", "pageID")
 META_NODES = 1500
 
 
-def parsed(text: str | None):
-    try:
-        return json.loads(text or "")
-    except (ValueError, RecursionError):
-        return None
-
-
 def members(node) -> Iterator[tuple[str, object]]:
     """Labels and children of an object or array; none of scalars."""
     if isinstance(node, dict):
@@ -53,8 +45,8 @@ def node_rows(text: str | None, source: str) -> list[tuple]:
     return rows
 
 
-def meta_rows(text: str | None, source: str) -> list[tuple]:
-    """The first locale and the first page, last children first as a stack gives them."""
+def meta_rows(text: str | None, source: str, last_first: bool = True) -> list[tuple]:
+    """The first locale and the first page; among a node's children the last comes first, as a stack gives them, or the first."""
     stack, seen = [parsed(text)], 0
     found: dict[str, str | None] = {"locale": None, "page": None}
     while stack and seen < META_NODES and None in found.values():
@@ -63,7 +55,8 @@ def meta_rows(text: str | None, source: str) -> list[tuple]:
         if isinstance(node, dict):
             for name, keys in (("locale", LOCALE_KEYS), ("page", PAGE_KEYS)):
                 found[name] = found[name] or next((node[k].strip() for k in keys if isinstance(node.get(k), str) and node[k].strip()), None)
-        stack += [x for _, x in members(node) if isinstance(x, (dict, list))]
+        inner = [x for _, x in members(node) if isinstance(x, (dict, list))]
+        stack += inner if last_first else inner[::-1]
     locale = found["locale"]
     if locale and len(locale) == 5 and locale[2] in "-_":
         locale = f"{locale[:2].lower()}_{locale[3:].upper()}"
@@ -127,9 +120,9 @@ def nodes(docs: DataFrame) -> DataFrame:
     return _table_function(docs, node_rows, NODE_SCHEMA)
 
 
-def metadata(docs: DataFrame) -> DataFrame:
+def metadata(docs: DataFrame, last_first: bool = True) -> DataFrame:
     """Locale and page of documents (source_uri, json); nulls where there are none."""
-    return _table_function(docs, meta_rows, META_SCHEMA)
+    return _table_function(docs, lambda text, source: meta_rows(text, source, last_first), META_SCHEMA)
 
 
 def simple_items(docs: DataFrame) -> DataFrame:
