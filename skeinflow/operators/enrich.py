@@ -131,7 +131,8 @@ def consolidated(elements: DataFrame, items: DataFrame, hashes: DataFrame, secti
     made = found.select("*", F.col("found.content_hash").alias("content_hash"), F.col("item_original_field_name").alias("original_field_name"), *[F.coalesce(c, F.col("item_source_path")).alias(n) for n, c in place.items()])
     missing = [f for f in sections.schema.fields if f.name not in made.columns]
     made = made.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else made
-    return append_absent(sections, made.select(*sections.columns), SECTION, F.col("content_hash").asc_nulls_last())
+    order = [F.col(c).asc_nulls_last() for c in ("content_hash",) if c in sections.columns]
+    return append_absent(sections, made.select(*sections.columns), SECTION, *order)
 
 
 def claim_status(jobs: DataFrame, ids: DataFrame, expected: Sequence[str], to: str) -> tuple[DataFrame, DataFrame]:
