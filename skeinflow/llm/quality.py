@@ -290,7 +290,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if counts.where("model = 0").isEmpty() or held.isEmpty():
         none = F.lit(None).cast("double")
         return docs.withColumns({names["bits_per_symbol"]: none, names["threshold"]: none, names["keep"]: F.lit(True), names["n_symbols"]: F.lit(0).cast("long")}), names
-    wanted = seen_grams(held).select(F.lit(0).alias("model"), "code").unionByName(seen_grams(rows).select(F.lit(1).alias("model"), "code"))
+    wanted = cut(seen_grams(held).select(F.lit(0).alias("model"), "code").unionByName(seen_grams(rows).select(F.lit(1).alias("model"), "code")))
     bits = cut(gram_bits(counts, wanted))
     seen = cut(score(held.select("lang", "text"), bits.where("model = 0"), "text", "bits", "n").select("lang", "bits", "n"))
     mean = seen.agg(F.sum("bits") / F.sum("n")).first()[0]
