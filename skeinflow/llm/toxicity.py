@@ -158,18 +158,22 @@ def karlin_lambda(share: np.ndarray, values: np.ndarray) -> float:
 
 def models(counts: DataFrame) -> list[Model] | None:
     """Models without each fold, and of all, from `counts` (kind, key, fold, n0, n1); None if one lacks a class."""
-    spread_out = counts.select("*", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("model")).where("model <> fold")
-    by_key = cut(spread_out.groupBy("model", "kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    totals = {(r["model"], r["kind"]): (r["n0"], r["n1"]) for r in by_key.groupBy("model", "kind").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    names = [(n, f) for n in ("n0", "n1") for f in range(FOLDS)]
+    by_key = cut(counts.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("fold") == f, F.col(n)).otherwise(0)).alias(f"{n}_{f}") for n, f in names]))
+    folds = by_key.groupBy("kind").agg(*[F.sum(f"{n}_{f}").alias(f"{n}_{f}") for n, f in names]).collect()  # two rows
+    totals = {(m, r["kind"]): tuple(sum(r[f"{n}_{f}"] for f in range(FOLDS) if f != m) for n in ("n0", "n1")) for r in folds for m in range(FOLDS + 1)}
     if not all(min(totals.get((m, 0), (0, 0))) > 0 for m in range(FOLDS + 1)):
         return None
-    # the z-score of the log-odds under the Dirichlet prior; the totals are two rows a model at most
-    t = [F.coalesce(*[F.when((F.col("model") == m) & (F.col("kind") == k), F.lit(float(n[c]))) for (m, k), n in totals.items()]) for c in (0, 1)]
-    share = 1 + (F.col("n0") + F.col("n1")) / (t[0] + t[1]) * PRIOR
-    odds = [F.log((F.col(n) + share) / (t[c] + PRIOR - F.col(n) - share)) for c, n in enumerate(("n0", "n1"))]
-    spread = F.sqrt(1 / (F.col("n0") + share) + 1 / (F.col("n1") + share))
-    scored = by_key.select("model", "kind", "key", "n0", (odds[1] - odds[0]).alias("score"), spread.alias("spread"))
-    sure = scored.where((F.col("score") >= MIN_Z * F.col("spread")) & (F.col("score") - F.col("spread") >= MIN_LIFT))
+    # the z-score of the log-odds under the Dirichlet prior, for each model; only tokens that enter become rows
+    scored = []
+    for m in range(FOLDS + 1):
+        n0, n1 = (sum((F.col(f"{n}_{f}") for f in range(FOLDS) if f != m), F.lit(0)) for n in ("n0", "n1"))
+        t0, t1 = (F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(t[c]))) for (x, k), t in totals.items() if x == m]) for c in (0, 1))
+        share = 1 + (n0 + n1) / (t0 + t1) * PRIOR
+        odds = F.log((n1 + share) / (t1 + PRIOR - n1 - share)) - F.log((n0 + share) / (t0 + PRIOR - n0 - share))
+        spread = F.sqrt(1 / (n0 + share) + 1 / (n1 + share))
+        scored.append(F.when((n1 > 0) & (odds >= MIN_Z * spread) & (odds - spread >= MIN_LIFT), F.struct(F.lit(m).alias("model"), n0.alias("n0"), odds.alias("score"), spread.alias("spread"))))
+    sure = by_key.select("kind", "key", F.explode(F.array_compact(F.array(*scored))).alias("s")).select("kind", "key", "s.*")
     rank = F.row_number().over(Window.partitionBy("model", "kind").orderBy((F.col("score") / F.col("spread")).desc(), "key"))
     best = sure.withColumn("rank", rank).where(F.col("rank") <= MODEL_TOKENS).toPandas()  # MODEL_TOKENS for each model and kind at most
     best["name"] = best["key"].to_numpy(np.int64).view(np.uint64)
