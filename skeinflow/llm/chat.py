@@ -9,7 +9,9 @@ texts separated by `<part/>`. Inside texts and roles the control strings can't o
 `\\\\`, `#` becomes `\\#`, and a backslash is put inside `</turn>`, `<part/>` and (in roles) `:<newline>`.
 Dropping one backslash before each character restores the text. Null texts and roles are empty.
 The loss mask is an array of spans (start, length, in code points of the formatted string), one per
-assistant text. A conversation id may be null: its rows form one conversation.
+assistant text. A conversation id may be null: its rows form one conversation. Repeated rows are turns of
+their own, side by side. An empty table gives no rows; texts may be of any length, and other columns are not
+read. All turns of one conversation are formatted in one row, so a conversation must fit in a task.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ the long side's shingles, and no banding can lose a pair, however long the docum
 short for a size partition don't probe it. Candidates are then verified by exact containment of the
 shingle strings.
 
-Nulls, empty texts and items without a word match nothing. Rows that repeat an id of an item or of a
+Nulls, empty texts and items without a word match nothing; an item may have a null id, a document with one isn't searched. Rows that repeat an id of an item or of a
 document are each compared; equal pairs are returned once, with the largest containment. Texts of any
 length are searched whole. An empty table of either kind gives no pairs. Other columns may have any name: they
 are not read, and `keep_clean` returns them as they are.
@@ -86,7 +86,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         found = texts.limit(0).select("id", F.lit(None).cast(dict(known.dtypes)["item_id"]).alias("item_id"))
     pairs = cut(found.distinct())
     again = texts.join(small(pairs), "id").select("id", "item_id", F.explode_outer(F.array(words(F.col("text")))).alias("w"))
-    both = again.join(small(known.select("item_id", "width", "shingles", "need")), "item_id")
+    sides = small(known.select(F.col("item_id").alias("item"), "width", "shingles", "need"))
+    both = again.join(sides, again["item_id"].eqNullSafe(sides["item"]))
     own = F.when(F.col("width") == WIDTH, text_windows(F.col("w"), WIDTH))
     for k in widths:
         if k < WIDTH:

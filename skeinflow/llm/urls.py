@@ -10,7 +10,9 @@ the stored string, so a collision of digests can't match. The longest matching k
 A null url, or one without `://`, has empty host and path; an empty host matches no rule. A url
 without any rule gets the default verdict. Ports and user names are part of the host, as the host
 is all up to the first `/`, `?` or `#`. An empty rule list is allowed. Rules with equal keys: the
-last given holds.
+last given holds. Repeated rows are judged each by itself, and alike; urls may be of any length. An empty
+table gives no rows; columns besides id and url are not read. More than `MAX_RULES` rules are refused, as
+every executor keeps all of them.
 """
 
 from __future__ import annotations
