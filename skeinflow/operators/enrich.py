@@ -50,22 +50,37 @@ def to_annotate(items: DataFrame, cleansed: DataFrame, elements: DataFrame) -> D
     own = elements.select("cleansed_id").distinct().withColumn("_own", F.lit(True))
     kind = F.when(F.col("_own"), 1).when((F.col("version") > 1) & F.col("source_uri").isNotNull(), 2).otherwise(3)
     jobs = jobs.join(own, "cleansed_id", "left").withColumn("_kind", kind).drop("_own")
-    known = elements.where("item_source_path is not null and item_original_field_name is not null").select("cleansed_id", "source_uri", "version", F.col("item_source_path").alias("_path"), F.col("item_original_field_name").alias("_field"), "content_hash", "cleansed_text")
-    first = known.join(jobs.where("_kind = 1").select("cleansed_id"), "cleansed_id").select("cleansed_id", "_path", "_field", "content_hash", "cleansed_text")
-    before = jobs.where("_kind = 2").select("cleansed_id", "source_uri", (F.col("version") - 1).alias("version"))
-    second = known.drop("cleansed_id").join(before, ["source_uri", "version"]).select("cleansed_id", "_path", "_field", "content_hash", "cleansed_text")
-    base = first_per(first.unionByName(second), ["cleansed_id", "_path", "_field"], F.col("content_hash").asc_nulls_last(), F.col("cleansed_text"))
-    base = base.withColumnRenamed("cleansed_id", "_job").withColumn("_seen", F.lit(True))
+    known = elements.where("item_source_path is not null and item_original_field_name is not null")
+    known = known.select("cleansed_id", "source_uri", "version", F.col("item_source_path").alias("_path"), F.col("item_original_field_name").alias("_field"), "content_hash", "cleansed_text")
     rows = once.join(jobs, "cleansed_id")
-    some = rows.where("_kind < 3")
-    on = (some["cleansed_id"] == base["_job"]) & some["source_path"].eqNullSafe(base["_path"]) & some["original_field_name"].eqNullSafe(base["_field"])
     by_hash = F.col("_hash") != F.col("content_hash")
     by_text = F.col("cleansed_text").isNull() | ~F.col("cleansed_text").eqNullSafe(F.col("cleansed"))
-    changed = some.join(base, on, "left").where(F.when(F.col("content_hash").isNotNull() & F.col("_hash").isNotNull(), by_hash).otherwise(by_text))
-    exists = known.select(F.col("source_uri").alias("_source"), "_path", "_field", F.coalesce("content_hash", X.content_hash(F.col("cleansed_text"))).alias("_known")).distinct()
-    rest = rows.where("_kind = 3")
-    on = (rest["source_uri"].isNull() | (rest["source_uri"] == exists["_source"])) & (rest["source_path"] == exists["_path"]) & (rest["original_field_name"] == exists["_field"]) & rest["_hash"].eqNullSafe(exists["_known"])
-    return changed.select(*items.columns).unionByName(rest.join(exists, on, "left_anti").select(*items.columns))
+    differs = F.when(F.col("content_hash").isNotNull() & F.col("_hash").isNotNull(), by_hash).otherwise(by_text)
+
+    def against(some: DataFrame, keys: dict[str, Column]) -> DataFrame:
+        """Rows of `some` that differ from the baseline under their place and `keys`: names of elements' columns, and what `some` has for them."""
+        base = first_per(known, [*keys, "_path", "_field"], F.col("content_hash").asc_nulls_last(), F.col("cleansed_text"))
+        base = base.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_path", "_field", "content_hash", "cleansed_text")
+        on = (some["source_path"] == base["_path"]) & (some["original_field_name"] == base["_field"])
+        for k, value in keys.items():
+            on = on & (value == base[f"_k_{k}"])
+        return some.join(base, on, "left").where(differs).select(*items.columns)
+
+    def absent(some: DataFrame, *keys: str) -> DataFrame:
+        """Rows of `some` whose text no element has at their place, under the same `keys`."""
+        have = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_path", "_field", F.coalesce("content_hash", X.content_hash(F.col("cleansed_text"))).alias("_known")).distinct()
+        on = (some["source_path"] == have["_path"]) & (some["original_field_name"] == have["_field"]) & some["_hash"].eqNullSafe(have["_known"])
+        for k in keys:
+            on = on & (some[k] == have[f"_k_{k}"])
+        return some.join(have, on, "left_anti").select(*items.columns)
+
+    own_rows, before, rest = rows.where("_kind = 1"), rows.where("_kind = 2"), rows.where("_kind = 3")
+    return (
+        against(own_rows, {"cleansed_id": own_rows["cleansed_id"]})
+        .unionByName(against(before, {"source_uri": before["source_uri"], "version": before["version"] - 1}))
+        .unionByName(absent(rest.where("source_uri is not null"), "source_uri"))
+        .unionByName(absent(rest.where("source_uri is null")))
+    )
 
 
 def save(elements: DataFrame, done: DataFrame, model: str, at: Column | None = None) -> DataFrame:
