@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ def node_rows(text: str | None, source: str) -> list[tuple]:
         for label, x in rest:
             here = f"{parent}.{label}" if parent else label
             kind = "object" if isinstance(x, dict) else "array" if isinstance(x, list) else "value"
-            rows.append((source, len(rows), here, parent or None, label, kind, None if kind != "value" and x else scalar(x)))
+            rows.append((source, len(rows), here, parent or None, label, kind, scalar(x) if kind == "value" else None if x else json.dumps(x)))
             open_nodes.append((here, iter(members(x))))
             break
         else:
