@@ -17,10 +17,12 @@ every executor keeps all of them.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import os
 import re
+import shutil
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -88,10 +90,13 @@ def ship(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> str:
     """Hand the array's files to all executors; returns the prefix of their names."""
     files = digest_files(rules)
     tag = "urls-" + hashlib.sha256(b"\0".join(files.values()) + json.dumps(sorted(map(len, files.values()))).encode()).hexdigest()[:16]
-    folder = tempfile.mkdtemp(prefix="skeinflow-rules-")  # of the driver, which serves the files
-    for name, content in files.items():
-        path = os.path.join(folder, f"{tag}.{name}")
-        if not any(os.path.basename(x) == f"{tag}.{name}" for x in spark.sparkContext.listFiles):
+    served = {os.path.basename(x) for x in spark.sparkContext.listFiles}
+    missing = {f"{tag}.{name}": content for name, content in files.items() if f"{tag}.{name}" not in served}
+    if missing:
+        folder = tempfile.mkdtemp(prefix="skeinflow-rules-")  # of the driver, which serves the files as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        for name, content in missing.items():
+            path = os.path.join(folder, name)
             with open(path, "wb") as f:
                 f.write(content)
             spark.sparkContext.addFile(path)
