@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -25,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_skeinflow_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="skeinflow-package-"), "skeinflow.zip")
+    folder = tempfile.mkdtemp(prefix="skeinflow-package-")  # of the driver, which serves the file as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "skeinflow.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(top):
             for name in sorted(names):
