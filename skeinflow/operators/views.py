@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import chat
 from . import lifecycle as L
 from . import search as S
+from .refine import SECTION_KEY
 from .versions import first_per
 
 #: The search endpoint's fixed number of results.
@@ -54,18 +55,38 @@ def discovered_sections(sections: DataFrame, page: str, limit: int) -> DataFrame
     return first.orderBy(F.col("saved_at").desc_nulls_last(), "id").select("section_key").limit(limit)
 
 
-def prompt_search(message: str, chunks: DataFrame, sections: DataFrame, embed, interpretation: Mapping | None = None, limit: int = 15) -> DataFrame:
-    """The prompt's search: the message's section, or the interpretation's, narrows the rows; of each section the role asked for stays.
+def prompt_search(message: str, chunks: DataFrame, sections: DataFrame, embed: Callable[[str], Sequence[float]], interpretation: Mapping | None = None, role: str | None = None, limit: int = 15) -> DataFrame:
+    """The prompt's search, rows (id, original_field_name, section_path, cleansed_text, rank).
 
-    Without a section all sections are searched, as chat does.
+    A section that the interpretation or the message names gives its own sections, latest first: all up to the limit, or the
+    first whose field holds the role, if the caller or the message (`role for ... section`) asks for one that is there.
+    Without a section the nearest chunks' sections come, of the hinted role if there is a hint; if none does, those that the
+    message matches as text.
     """
-    facets = ((interpretation or {}).get("context") or {}).get("facets") or {}
-    key = facets.get("sectionKey") or chat.section_of(message)
-    role = (interpretation or {}).get("original_field_name")
-    rows = sections.where(S.every(S.section_matches(key, [F.col("section_path"), F.col("section_uri")], [F.get_json_object("context", "$.facets.sectionKey")])))
-    near = search(chunks, rows, embed((interpretation or {}).get("query") or message), role)
-    best = first_per(near, ["section_path"], F.col("distance"), F.col("chunk_id"))
-    return best.orderBy("distance", "chunk_id").limit(limit)
+    made = interpretation or {}
+    key = ((made.get("context") or {}).get("facets") or {}).get("sectionKey") or next((m[0] for m in [SECTION_KEY.search(message)] if m), None)
+    shown = ["id", "original_field_name", "section_path", "cleansed_text"]
+    rank = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  (of `limit` rows)
+    if key:
+        key = key.strip().lower()
+        told = re.search(rf"(?i)\b(?:give\s+me\s+)?([a-z0-9_-]+)\s+(?:for|of)\s+.*{re.escape(key)}\b", message)
+        wanted = role or (told and told[1])
+        latest = [F.col("saved_at").desc_nulls_last(), F.col("id")]
+        rows = sections.where(F.lower(F.get_json_object("context", "$.facets.sectionKey")) == key).orderBy(*latest).limit(50 if wanted else limit)
+        if wanted:
+            hit = F.contains(F.lower(F.coalesce("original_field_name", F.lit(""))), F.lit(wanted.lower()))
+            one = Window.partitionBy(hit).orderBy(*latest)  # of 50 rows
+            rows = rows.withColumn("_hit", hit).withColumn("_some", F.max("_hit").over(Window.partitionBy())).withColumn("_nth", F.row_number().over(one))
+            rows = rows.where(~F.col("_some") | (F.col("_hit") & (F.col("_nth") == 1))).orderBy(*latest).limit(limit)
+        return rows.select(*shown, rank(*latest).alias("rank"))
+    hint = role or made.get("original_field_name")
+    holds = F.contains(F.lower(F.coalesce("original_field_name", F.lit(""))), F.lit(hint.lower())) if hint else F.lit(True)
+    near = S.nearest(chunks, "vector", embed(made.get("query") or message), limit, "chunk_id").select("chunk_id", F.col("section_id").alias("id"), "distance")
+    found = near.join(sections, "id").where(holds)
+    if not found.isEmpty():
+        return found.select(*shown, rank("distance", "chunk_id").alias("rank"))
+    texts = S.full_text(sections, ["cleansed_text", "original_field_name"], made.get("query") or message)
+    return texts.orderBy("id").limit(max(2 * limit, 50)).select(*shown, rank("id").alias("rank"))
 
 
 def locale_snapshot(cleansed: DataFrame, raw: DataFrame, of_items: DataFrame, of_metadata: DataFrame) -> DataFrame:

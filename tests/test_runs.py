@@ -295,3 +295,26 @@ def test_services_are_tried_again_at_a_rate():
 @pytest.mark.parametrize("text,want", [(None, None), (' {"a":1} ', '{"a":1}'), ('```json\n{"a":1}\n```', '{"a":1}'), ("```\nx\n```", "x"), ("```a b\nx```", "a b\nx"), ("``````", "")])
 def test_code_fences(text, want):
     assert providers.unfenced(text) == want
+
+
+def test_prompt_search(spark):
+    at = datetime.datetime(2020, 1, 1)
+    row = lambda i, key, field: (i, f"/x/{key}", field, f"words of text {i}", json.dumps({"facets": {"sectionKey": key}}), at + datetime.timedelta(days=i))
+    sections = spark.createDataFrame([row(1, "hero-section", "Headline"), row(2, "hero-section", "copy"), row(3, "tile-section", "copy"), row(4, "hero-section", "copy")], "id long, section_path string, original_field_name string, cleansed_text string, context string, saved_at timestamp")
+    chunks = spark.createDataFrame([(10 + i, i, [1.0, float(i)]) for i in (1, 2, 3)], "chunk_id long, section_id long, vector array<double>")
+
+    def ask(message, made=None, role=None, limit=15):
+        found = views.prompt_search(message, chunks, sections, lambda _: [1.0, 0.0], made, role, limit)
+        return [r.id for r in found.orderBy("rank").collect()]
+
+    assert ask("what is in Hero-Section") == [4, 2, 1] and ask("what is in hero-section", limit=2) == [4, 2]
+    assert ask("give me copy for the hero-section") == [4] and ask("headline of hero-section") == [1]
+    assert ask("picture for hero-section") == [4, 2, 1]  # no such role there
+    assert ask("x", {"context": {"facets": {"sectionKey": "tile-section"}}}) == [3] and ask("x-section") == []
+    assert ask("anything") == [1, 2, 3] and ask("anything", {"original_field_name": "COPY"}) == [2, 3] and ask("anything", limit=1) == [1]
+    assert ask("text 3", {"original_field_name": "none"}) == [3]
+
+
+def test_visible_items(spark):
+    rows = spark.createDataFrame([("copy", None), ("copy", True), ("AnalyticsTags", False), (None, False)], "item_type string, skip_enrichment boolean")
+    assert sorted((r.item_type for r in views.visible_items(rows).collect()), key=str) == [None, "copy"]
