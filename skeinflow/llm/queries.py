@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, packing, quality, simhash, suffixdedup, tokencount, toxicity, urls
+from . import chat, decontaminate, media, packing, quality, sharding, simhash, suffixdedup, tokencount, toxicity, txlog, urls, whitening
 from ._common import table
 
 #: Host, path and verdict of the URL rules that the query applies.
@@ -133,5 +133,28 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole embeddings along their first eight components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one log: the store after each epoch, and every change undone."""
+    done = txlog.replay(txlog.document_log(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    states = done.states.select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), "n", F.col("total").alias("value"))
+    return states.unionByName(done.undone.select("kind", F.col("position").alias("id"), F.col("by").alias("n"), F.col("key").alias("value")))
+
+
+#: Shards of the query.
+N_SHARDS = 24
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into shards whose counts differ by one at most."""
+    done = sharding.shards(table(spark, sf_dir, "documents"), N_SHARDS)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    return done.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_chat": op7_chat, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_urls": op10_urls, "op11_whitening": op11_whitening, "op12_transactions": op12_transactions, "op13_sharding": op13_sharding}
 ORACLES = {"op4_decontaminate": OP4_SQL, "op7_chat": OP7_SQL, "op10_urls": OP10_SQL}
