@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.locales import Aliases, aliases, code_of
 from . import search as S
+from .fulltext import full_text
 from .versions import first_per
 
 # What a message may say, and words that are neither roles nor pages.
@@ -277,7 +278,7 @@ def vector_arm(chunks: DataFrame, sections: DataFrame, query: Sequence[float], c
 def metadata_arm(sections: DataFrame, c: Criteria, k: int) -> DataFrame:
     """Sections of the key, latest first; without a key those whose texts match the message."""
     if not c.section:
-        return S.full_text(sections, ["summary", "classification", "original_field_name", "section_path"], c.message or "").withColumn("_pos", F.lit(0)).limit(k)
+        return full_text(sections, ["summary", "classification", "original_field_name", "section_path"], c.message or "").withColumn("_pos", F.lit(0)).orderBy("id").limit(k)
     newest = [F.col("saved_at").desc_nulls_last(), F.col("id")]
     by_text = sections.where(S.every(section_key_filter(c.section))).orderBy(*newest).limit(k)
     by_key = sections.where(F.lower(at(F.col("context"), "facets", "sectionKey")) == c.section).orderBy(*newest).limit(k)

@@ -1,9 +1,8 @@
-"""Filters, vector top-k, refinement chips, full text and pages."""
+"""Filters, vector top-k, refinement chips and pages."""
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -122,31 +121,3 @@ def claim(pending: DataFrame, done: DataFrame, key: str, text: str, saved_at: st
     """The longest waiting rows with text and no counterpart in `done`; rows without a time come last."""
     open_rows = pending.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").join(done.select(key).distinct(), key, "left_anti")
     return open_rows.orderBy(F.col(saved_at).asc_nulls_last(), key).limit(limit)
-
-
-def tokens(x: Column) -> Column:
-    """Lower-case words, plural and common verb endings cut; a light stand-in for a full English stemmer."""
-    words = F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.regexp_replace(w, r"(?<=[a-z]{3})(ing|ed|es|s)$", ""))
-
-
-def full_text(df: DataFrame, fields: Sequence[str], query: str) -> DataFrame:
-    """Rows that match a web-style query: words are joined by and, `or` separates alternatives, `-word` excludes, quotes make a phrase.
-
-    Marks without a letter or digit are no words, and a query of such alone finds nothing.
-    """
-    spaced = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
-    options: list[Column] = []
-    for option in re.split(r"\s+or\s+", query.strip(), flags=re.IGNORECASE):
-        parts: list[Column] = []
-        for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', option):
-            if re.search(r"[^\W_]", phrase or word):
-                hit = F.contains(F.col("_line"), spaced(tokens(F.lit(phrase or word))))
-                parts.append(~hit if minus else hit)
-        if parts:
-            options.append(every(parts))
-    if not options:
-        return df.limit(0)
-    # the line is a generator's output, so its words are cut once however many conditions read it
-    line = spaced(tokens(F.concat_ws(" ", *[F.col(f) for f in fields])))
-    return df.withColumn("_line", F.explode(F.array(line))).where(reduce(lambda a, b: a | b, options)).drop("_line")

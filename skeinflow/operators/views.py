@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import lifecycle as L
 from . import search as S
+from .fulltext import full_text
 from .refine import SECTION_KEY
 from .versions import first_per
 
@@ -85,7 +86,7 @@ def prompt_search(message: str, chunks: DataFrame, sections: DataFrame, embed: C
     found = near.join(sections, "id").where(holds)
     if not found.isEmpty():
         return found.select(*shown, rank("distance", "chunk_id").alias("rank"))
-    texts = S.full_text(sections, ["cleansed_text", "original_field_name"], made.get("query") or message)
+    texts = full_text(sections, ["cleansed_text", "original_field_name"], made.get("query") or message)
     return texts.orderBy("id").limit(max(2 * limit, 50)).select(*shown, rank("id").alias("rank"))
 
 

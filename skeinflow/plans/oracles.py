@@ -78,8 +78,13 @@ SELECT doc_id::VARCHAR AS source_uri, ordinal, path AS source_path, field, CASE
 SELECT 'page:' || page_id AS source_uri, ordinal, url AS source_path, item_type, CASE WHEN ordinal > 0 THEN 'page:' || page_id || ' ::ref:: ' ELSE '' END || url AS usage_path, CASE ordinal WHEN 0 THEN {_CLEAN.format(x='html')} WHEN 1 THEN 'first' ELSE 'second' END AS cleansed
 FROM pages, (VALUES (0, 'headline'), (1, 'text[0]'), (2, 'text[1]')) AS t(ordinal, item_type)""",
     "full_text_meta": r"""
-WITH t AS (SELECT doc_id, ' ' || array_to_string(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '([a-z]{3})(ing|ed|es|s)$', '\1')), ' ') || ' ' AS line FROM documents)
-SELECT doc_id FROM t WHERE (contains(line, ' of the ') AND NOT contains(line, ' idiot ')) OR contains(line, ' zzz ')""",
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents)
+SELECT doc_id FROM t WHERE (list_has_any(w, ['idiot', 'idiots']) AND NOT list_has_any(w, ['garbage', 'garbages'])) OR list_has_any(w, ['trash', 'trashes', 'trashed', 'trashing', 'trashly']) OR list_contains(w, 'zzz')""",
+    "full_text_index": r"""
+WITH t AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS line FROM documents),
+f AS (SELECT doc_id, regexp_matches(line, ' idiots? ') AS idiot, regexp_matches(line, ' trash(es|ed|ing|ly)? ') AS trash, regexp_matches(line, ' scums? ') AS scum, regexp_matches(line, ' thing(es|ed|ing|ly|lyed|ingly)? ') AS thing,
+  regexp_matches(line, ' onst(es|ed|ing|ly)? [^ ]+ thing(es|ed|ing|ly|lyed|ingly)? ') AS near, regexp_matches(line, ' thor(ly|lyed)? ') AS thor FROM t)
+SELECT doc_id FROM f WHERE (near AND NOT idiot) OR (thor AND NOT thing) OR (scum AND NOT idiot AND NOT trash)""",
     "annotate_stub": r"""
 WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CASE WHEN text <> '' THEN array_to_string(w[1:12], ' ') END AS summary, coalesce(text, '') <> '' AS valid FROM w""",
     "storefront_paths": """

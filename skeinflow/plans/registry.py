@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, locales
 from ..functions import text as X
-from ..operators import assets, chat, edits, refine
+from ..operators import assets, chat, edits, fulltext, refine
 from ..operators import lifecycle as L
 from ..operators import search as S
 from ..operators import versions as V
@@ -231,7 +231,14 @@ def user_progress(spark, d):
 
 
 def full_text_meta(spark, d):
-    return S.full_text(docs(spark, d), ["text"], '"of the" -idiot !!! or zzz ...').select("doc_id")
+    """Stop words and marks count for nothing, forms of a word for one."""
+    return fulltext.full_text(docs(spark, d), ["text"], '"the idiots" -garbage !!! or trashing or zzz ...').select("doc_id")
+
+
+def full_text_index(spark, d):
+    """The same language over a positional index: phrases with their distances, exclusions, alternatives."""
+    rows = docs(spark, d)
+    return fulltext.search(fulltext.index(rows, "doc_id", ["text"]), rows, "doc_id", '"onst the things" -idiot or "then thor" -thing or scum -idiot -trash')
 
 
 def _page_json(spark, d) -> DataFrame:
@@ -389,7 +396,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         cleanse_html, content_hash_dups, delta_changed, delta_two_key_fallback, dedup_keep_first, last_wins, latest_version, previous_version, mark_latest, assign_version, chunk_sentences, missing_embeddings, fifo_claim,
         status_counts, final_status, distinct_pairs, grouped_locales, geo_groups, optional_filter_page, site_filter, json_path_filter, array_contains_all, vector_topk, vector_filtered, chip_scores, merge_ranked_lists, usage_fanout,
-        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, page_tree_extract, page_assets, chat_search, display_fields, refine_chips, section_search, country_codes,
+        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, full_text_index, page_tree_extract, page_assets, chat_search, display_fields, refine_chips, section_search, country_codes,
         manual_edit, edit_revisions, asset_search, asset_options, region_observations, json_nodes, tree_filter, json_metadata, simple_extract, label_functions, element_groups, status_history, annotate_stub, embed_stub, flagship,
     )
 } | runs.QUERIES

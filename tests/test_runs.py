@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import providers
 from skeinflow.functions import text as X
-from skeinflow.operators import enrich, ingest, lifecycle, search, store, versions, views
+from skeinflow.operators import enrich, fulltext, ingest, lifecycle, search, store, versions, views
 from skeinflow.sources import json_items, json_tree
 from skeinflow.streaming import inbox
 
@@ -145,7 +145,7 @@ def test_vectors_that_are_no_neighbours(spark):
 
 def test_full_text_with_marks_and_json_keys_with_quotes(spark):
     rows = spark.createDataFrame([(1, "Hello wide world", '{"it\'s": {"a": "X"}}'), (2, None, None), (3, "!!!", "{}")], "id int, t string, j string")
-    find = lambda q: [r.id for r in search.full_text(rows, ["t"], q).collect()]
+    find = lambda q: [r.id for r in fulltext.full_text(rows, ["t"], q).collect()]
     assert find("hello !!!") == [1] and find('"wide world" -nothing') == [1] and find("!!!") == [] and find("") == [] and find("nope or HELLO") == [1]
     assert [r.id for r in rows.where(search.every(search.json_filters(F.col("j"), {"it's": {"a": "x"}}))).collect()] == [1]
 
