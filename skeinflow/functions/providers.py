@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import threading
@@ -71,6 +72,16 @@ def limited(call: Callable, *rates: Rate) -> Callable:
     return run
 
 
+def parsed(call: Callable[..., str | None]) -> Callable:
+    """`call`, whose answers are JSON, perhaps in a code fence, as values; an answer that isn't JSON is an error of its call."""
+
+    def run(*args, **kwargs):
+        text = unfenced(call(*args, **kwargs))
+        return None if text is None else json.loads(text)
+
+    return run
+
+
 def unfenced(text: str | None) -> str | None:
     """An answer without the code fence, and its language's name, around it."""
     if text is None:

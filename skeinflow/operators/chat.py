@@ -324,12 +324,20 @@ def attempts(c: Criteria, context: Mapping) -> Iterator[tuple[Criteria, Mapping]
             yield option
 
 
+def interpreted(request: Request, interpret: Callable[[Request], Interpretation | None]) -> Interpretation | None:
+    """What a provider makes of the message; one that fails makes nothing of it, and the search goes on without."""
+    try:
+        return interpret(request)
+    except Exception:
+        return None
+
+
 def answer(request: Request, chunks: DataFrame, sections: DataFrame, embed: Callable[[str], Sequence[float]], interpret: Callable[[Request], Interpretation | None] = lambda _: None) -> DataFrame:
     """The first search of the cascade that finds something, with column match_terms; empty without a section.
 
     A result has up to 200 rows; it is kept while the next step decides whether to relax.
     """
-    made = interpret(request)
+    made = interpreted(request, interpret)
     c = criteria(request, aliases(sections.sparkSession), made)
     lists = [list(dict.fromkeys(filter(None, map(plain, [*getattr(made, n, ()), *getattr(request, n)])))) for n in ("tags", "keywords")]
     context = merged(sanitized(request.context), sanitized(made.context if made else None))

@@ -8,7 +8,7 @@ user_override_active, new_ai_available), sections and chunks as in `consolidated
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import lifecycle as L
 from . import search as S
+from . import services, store
 from .versions import append_absent, first_per, lookup_with_fallback, matching
 
 ELEMENT = ["cleansed_id", "item_source_path", "item_original_field_name"]
@@ -204,15 +205,20 @@ def finalize(jobs: DataFrame, ids: DataFrame, elements: DataFrame, items: DataFr
     return Final(final_statuses(jobs, elements, marked, left, won), marked, left)
 
 
-def embed_pending(jobs: DataFrame, elements: DataFrame, sections: DataFrame, chunks: DataFrame, provider: Callable[[str], list[float]] = L.embed_offline, limit: int = 25) -> Final:
+OFFLINE = services.Service("embed_offline", L.embed_offline)
+
+
+def embed_pending(jobs: DataFrame, elements: DataFrame, sections: DataFrame, chunks: DataFrame, service: services.Service = OFFLINE, limit: int = 25, ledger: str | None = None) -> Final:
     """One batch of the embedding worker: the longest waiting sections get their chunks with vectors.
 
-    A section whose provider fails for a chunk gets none and stays pending, so it comes again. Jobs with nothing left to embed
-    get their final status.
+    The batch is claimed and its chunks are asked for before anything else is planned: each text is asked once, and not at all if the ledger has it. A
+    section of which a chunk fails gets no chunks and stays pending, so it comes again. Jobs with nothing left to embed get their final status.
     """
-    batch = S.claim(sections.where(F.col("status") == PENDING), chunks.select(F.col("section_id").alias("id")), "id", "cleansed_text", "saved_at", limit)
+    wanted = sections.where(F.col("status") == PENDING)
+    batch = store.kept(S.claim(wanted, chunks.select(F.col("section_id").alias("id")), "id", "cleansed_text", "saved_at", limit))
     cut = L.chunk_rows(batch, "id", "cleansed_text").withColumnRenamed("id", "section_id")
-    made = L.embed(cut, "chunk_text", provider).join(batch.select(F.col("id").alias("section_id"), F.col("source_uri").alias("source_field"), "section_path"), "section_id")
+    asked = services.ask(cut, "chunk_text", service, ledger or services.ledger_folder(sections.sparkSession)).withColumnRenamed("answer", "vector")
+    made = store.kept(asked.join(batch.select(F.col("id").alias("section_id"), F.col("source_uri").alias("source_field"), "section_path"), "section_id"))
     failed = made.where("vector is null").select("section_id").distinct()
     good = made.join(failed, "section_id", "left_anti")
     after_chunks = chunks.unionByName(good.select(*chunks.columns))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 from ..sources import json_items
+from . import store
 from .versions import assign_version, delta, first_per, lookup_with_fallback, matching, replace_keys
 
 KEYS = ["source_path", "item_type", "usage_path"]
@@ -96,6 +97,18 @@ def kept_hashes(hashes: DataFrame, items: DataFrame, keys: list[str] = KEYS) ->
     return replace_keys(hashes.withColumn("usage_path", F.coalesce("usage_path", F.lit(""))), last.select(*hashes.columns), keys)
 
 
+def hash_table(spark: SparkSession, path: str, buckets: int = 64) -> store.KeyedTable:
+    """The table of global hashes, kept by key: a run rewrites only the buckets of the keys that it touches."""
+    return store.KeyedTable(spark, path, ", ".join(f"{c} string" for c in (*KEYS, *HASHES)), tuple(KEYS), buckets)
+
+
+def save_hashes(table: store.KeyedTable, items: DataFrame) -> int:
+    """The items' hashes take the place of those under their keys; of repeated keys the last item holds."""
+    rows = _keyed(items)
+    last = first_per(rows, KEYS, F.col("ordinal").desc_nulls_last()) if "ordinal" in items.columns else rows
+    return table.upsert(last.select(*KEYS, *HASHES))
+
+
 def run(current: DataFrame, raw: DataFrame, hashes: DataFrame, version_hashes: DataFrame, full: bool = False, strict: bool = False, use_context: bool = False, at: Column | None = None) -> Run:
     """One ingest run over `current` (source_uri, version, json), one document a source.
 

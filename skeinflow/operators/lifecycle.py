@@ -156,12 +156,18 @@ def annotate_offline(text: str) -> dict:
 
 
 def embed(df: DataFrame, text: str, provider: Callable[[str], list[float]] = embed_offline) -> DataFrame:
-    """Column `vector` by any provider, in Arrow batches."""
+    """Column `vector` by a provider without cost, in Arrow batches; null where it fails. `services.ask` is for those that are paid, slow or throttled."""
     ship(df.sparkSession)
 
+    def one(x: str | None) -> list[float] | None:
+        try:
+            return provider(x) if x else None
+        except Exception:  # the row has no vector
+            return None
+
     @F.pandas_udf("array<float>")
     def run(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda x: provider(x) if x else None)
+        return xs.map(one)
 
     return df.withColumn("vector", run(F.col(text)))
 

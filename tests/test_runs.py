@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import providers
 from skeinflow.functions import text as X
-from skeinflow.operators import enrich, fulltext, ingest, lifecycle, search, store, versions, views
+from skeinflow.operators import enrich, fulltext, ingest, lifecycle, search, services, store, versions, views
 from skeinflow.sources import json_items, json_tree
 from skeinflow.streaming import inbox
 
@@ -169,7 +169,7 @@ def test_embedding_failures_stay_pending(spark):
             return None
         return [1.0, 2.0]
 
-    done = enrich.embed_pending(jobs, elements, sections, chunks, provider)
+    done = enrich.embed_pending(jobs, elements, sections, chunks, services.Service("some", provider))
     assert {r.id: r.status for r in done.sections.collect()} == {10: "EMBEDDED", 20: "PENDING_EMBEDDING"}
     assert {r.id: r.status for r in done.jobs.collect()} == {1: "ENRICHED_COMPLETE", 2: "PARTIALLY_ENRICHED"}
     assert [r.section_id for r in done.chunks.collect()] == [10]
