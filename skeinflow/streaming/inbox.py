@@ -32,6 +32,6 @@ def next_attempt(now: Column, attempts: Column) -> Column:
 
 
 def completed(expected: DataFrame, elements: DataFrame, key: str) -> DataFrame:
-    """Jobs whose elements have all arrived, recomputed from the tables in each batch."""
+    """Jobs whose elements have all arrived, by a count of whole tables; `queue.complete` keeps such counts as state."""
     have = elements.groupBy(key).agg(F.count("*").alias("n_done"))
     return expected.join(have, key, "left").withColumn("complete", F.coalesce("n_done", F.lit(0)) >= F.col("n_expected"))
