@@ -26,6 +26,8 @@ SECTION = ["section_uri", "section_path", "original_field_name", "cleansed_text"
 # States of sections and of jobs.
 PENDING, EMBEDDED = "PENDING_EMBEDDING", "EMBEDDED"
 FINALIZING = "FINALIZING"
+#: Baselines of a job's items: its own elements, those of the version before, and texts known of its source or anywhere.
+OWN, BEFORE, SOURCE, ANYWHERE = range(4)
 ELIGIBLE = ("ENRICHMENT_QUEUED", "ENRICHMENT_SKIPPED", "ENRICHMENT_IN_PROGRESS")
 
 
@@ -43,45 +45,35 @@ def to_annotate(items: DataFrame, cleansed: DataFrame, elements: DataFrame) -> D
 
     Their baseline is, for each cleansed id: its own elements if it has some; else those of its source's version before,
     from version 2 on; else any element of the source (of all sources where it is null) with the same text.
-    Hashes are compared where both sides have one, texts otherwise.
+    Hashes are compared where both sides have one, texts otherwise. All baselines are one union, of which partial minima find the row of
+    each name, and each item is looked up once.
     """
     pair = ["source_path", "original_field_name"]
-    once = first_per(items, ["cleansed_id", *pair], F.col("ordinal").asc_nulls_last()).withColumn("_hash", X.content_hash(F.col("cleansed")))
-    jobs = cleansed.select(F.col("id").alias("cleansed_id"), "source_uri", "version")
-    own = elements.select("cleansed_id").distinct().withColumn("_own", F.lit(True))
-    kind = F.when(F.col("_own"), 1).when((F.col("version") > 1) & F.col("source_uri").isNotNull(), 2).otherwise(3)
-    jobs = jobs.join(own, "cleansed_id", "left").withColumn("_kind", kind).drop("_own")
+    own = elements.select("cleansed_id", F.lit(None).cast("string").alias("source_uri"), F.lit(None).cast("int").alias("version"), F.lit(True).alias("own"), F.lit(False).alias("job"))
+    jobs = cleansed.select(F.col("id").alias("cleansed_id"), "source_uri", F.col("version").cast("int").alias("version"), F.lit(False).alias("own"), F.lit(True).alias("job")).unionByName(own)
+    jobs = jobs.groupBy("cleansed_id").agg(F.max("source_uri").alias("_source"), F.max("version").alias("_version"), F.max("own").alias("_own"), F.max("job").alias("_job")).where("_job")
+    kind = F.when(F.col("_own"), OWN).when(F.col("_source").isNull(), ANYWHERE).when(F.col("_version") > 1, BEFORE).otherwise(SOURCE)
+    once = first_per(items.join(jobs, "cleansed_id"), ["cleansed_id", *pair], F.col("ordinal").asc_nulls_last())
     known = elements.where("item_source_path is not null and item_original_field_name is not null")
-    known = known.select("cleansed_id", "source_uri", "version", F.col("item_source_path").alias("_path"), F.col("item_original_field_name").alias("_field"), "content_hash", "cleansed_text")
-    rows = once.join(jobs, "cleansed_id")
-    by_hash = F.col("_hash") != F.col("content_hash")
-    by_text = F.col("cleansed_text").isNull() | ~F.col("cleansed_text").eqNullSafe(F.col("cleansed"))
-    differs = F.when(F.col("content_hash").isNotNull() & F.col("_hash").isNotNull(), by_hash).otherwise(by_text)
-
-    def against(some: DataFrame, keys: dict[str, Column]) -> DataFrame:
-        """Rows of `some` that differ from the baseline under their place and `keys`: names of elements' columns, and what `some` has for them."""
-        base = first_per(known, [*keys, "_path", "_field"], F.col("content_hash").asc_nulls_last(), F.col("cleansed_text"))
-        base = base.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_path", "_field", "content_hash", "cleansed_text")
-        on = (some["source_path"] == base["_path"]) & (some["original_field_name"] == base["_field"])
-        for k, value in keys.items():
-            on = on & (value == base[f"_k_{k}"])
-        return some.join(base, on, "left").where(differs).select(*items.columns)
-
-    def absent(some: DataFrame, *keys: str) -> DataFrame:
-        """Rows of `some` whose text no element has at their place, under the same `keys`."""
-        have = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_path", "_field", F.coalesce("content_hash", X.content_hash(F.col("cleansed_text"))).alias("_known")).distinct()
-        on = (some["source_path"] == have["_path"]) & (some["original_field_name"] == have["_field"]) & some["_hash"].eqNullSafe(have["_known"])
-        for k in keys:
-            on = on & (some[k] == have[f"_k_{k}"])
-        return some.join(have, on, "left_anti").select(*items.columns)
-
-    own_rows, before, rest = rows.where("_kind = 1"), rows.where("_kind = 2"), rows.where("_kind = 3")
-    return (
-        against(own_rows, {"cleansed_id": own_rows["cleansed_id"]})
-        .unionByName(against(before, {"source_uri": before["source_uri"], "version": before["version"] - 1}))
-        .unionByName(absent(rest.where("source_uri is not null"), "source_uri"))
-        .unionByName(absent(rest.where("source_uri is null")))
-    )
+    known_hash = F.coalesce("content_hash", X.content_hash(F.col("cleansed_text")))
+
+    def named(kinds: Column, by_kind: dict[int, tuple[Column, ...]]) -> Column:
+        """A baseline's name: its kind and what it is looked up by, in one string."""
+        parts = {k: F.to_json(F.array(*[c.cast("string") for c in by]), {"ignoreNullFields": "false"}) for k, by in by_kind.items()}
+        return F.concat(kinds.cast("string"), F.coalesce(*[F.when(kinds == k, p) for k, p in parts.items()]))
+
+    e = lambda c: F.col(f"e.{c}")
+    spread = known.withColumn("_hash", known_hash).select(F.struct("cleansed_id", "source_uri", "version", "item_source_path", "item_original_field_name", "cleansed_text", "content_hash", "_hash").alias("e"), F.explode(F.array(*map(F.lit, (OWN, BEFORE, SOURCE, ANYWHERE)))).alias("k"))
+    spread = spread.where((F.col("k") != BEFORE) | e("source_uri").isNotNull() & e("version").isNotNull()).where((F.col("k") != SOURCE) | e("source_uri").isNotNull())
+    base_name = named(F.col("k"), {OWN: (e("cleansed_id"),), BEFORE: (e("source_uri"), e("version")), SOURCE: (e("source_uri"), e("_hash")), ANYWHERE: (e("_hash"),)})
+    first = F.struct(e("content_hash").isNull().alias("none"), e("content_hash").alias("content_hash"), e("cleansed_text").alias("cleansed_text"))
+    base = spread.groupBy(base_name.alias("_name"), e("item_source_path").alias("_path"), e("item_original_field_name").alias("_field")).agg(F.min(first).alias("_found"))
+    mine = once.withColumn("_kind", kind).withColumn("_hash", X.content_hash(F.col("cleansed")))
+    mine = mine.withColumn("_mine", named(F.col("_kind"), {OWN: (F.col("cleansed_id"),), BEFORE: (F.col("_source"), F.col("_version") - 1), SOURCE: (F.col("_source"), F.col("_hash")), ANYWHERE: (F.col("_hash"),)}))
+    joined = mine.join(base, (F.col("_mine") == F.col("_name")) & (F.col("source_path") == F.col("_path")) & (F.col("original_field_name") == F.col("_field")), "left")
+    old, text = F.col("_found.content_hash"), F.col("_found.cleansed_text")
+    differs = F.when(old.isNotNull() & F.col("_hash").isNotNull(), F.col("_hash") != old).otherwise(text.isNull() | ~text.eqNullSafe(F.col("cleansed")))
+    return joined.where(F.when(F.col("_kind").isin(OWN, BEFORE), differs).otherwise(F.col("_found").isNull())).select(*items.columns)
 
 
 def save(elements: DataFrame, done: DataFrame, model: str, at: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
@@ -56,8 +56,7 @@ def backfill(raw: DataFrame, again: DataFrame) -> DataFrame:
 
 def extract(raw: DataFrame) -> DataFrame:
     """Items of raw documents (source_uri, version, json), with the version."""
-    found = json_items.extract_items(raw)
-    return found.join(raw.select("source_uri", "version"), "source_uri")
+    return json_items.extract_items(raw.withColumn("version", F.col("version").cast("int")), "version int")
 
 
 def _keyed(items: DataFrame) -> DataFrame:
@@ -109,29 +108,65 @@ def save_hashes(table: store.KeyedTable, items: DataFrame) -> int:
     return table.upsert(last.select(*KEYS, *HASHES))
 
 
+#: What the items of a document are compared with: nothing, the hashes kept of the version before, its stored document, or the global hashes.
+ALL, KEPT, STORED, GLOBAL = range(4)
+
+
+def _tagged(current: DataFrame, raw: DataFrame, version_hashes: DataFrame, full: bool) -> DataFrame:
+    """Documents to walk (source_uri, json, version, mode, prev), in one exchange by source: the current ones, and for those that are compared with
+    it (STORED) the document of the version before, which has a null mode."""
+    none = F.lit(None).cast("string")
+    rows = current.select("source_uri", "version", "json", F.lit("now").alias("tag"))
+    rows = rows.unionByName(raw.select("source_uri", "version", "json", F.lit("raw").alias("tag")))
+    rows = rows.unionByName(version_hashes.select("source_uri", "version").distinct().select("*", none.alias("json"), F.lit("hash").alias("tag")))
+    source = Window.partitionBy("source_uri")
+    tagged = lambda tag, value: F.when(F.col("tag") == tag, value)
+    rows = rows.withColumn("now", F.max(tagged("now", F.col("version"))).over(source))
+    rows = rows.withColumn("prev", F.max(F.when(F.col("version") < F.col("now"), tagged("raw", F.col("version")))).over(source))
+    is_prev = F.col("version") == F.col("prev")
+    usable = is_prev & blank_to_null(F.col("json")).isNotNull()
+    rows = rows.withColumn("hashed", F.max(tagged("hash", is_prev)).over(source)).withColumn("stored", F.max(tagged("raw", usable)).over(source))
+    mode = F.when(F.lit(full) | (F.col("version") == 1), ALL).when(F.col("hashed"), KEPT).when(F.col("stored"), STORED).otherwise(GLOBAL)
+    walked = (F.col("tag") == "now") | (F.col("tag") == "raw") & usable & ~F.coalesce("hashed", F.lit(False)) & ~(F.lit(full) | (F.col("now") == 1))
+    return rows.where(walked).select("source_uri", "json", F.col("version").cast("int").alias("version"), F.when(F.col("tag") == "now", mode).cast("int").alias("mode"), F.col("prev").cast("int").alias("prev"))
+
+
 def run(current: DataFrame, raw: DataFrame, hashes: DataFrame, version_hashes: DataFrame, full: bool = False, strict: bool = False, use_context: bool = False, at: Column | None = None) -> Run:
     """One ingest run over `current` (source_uri, version, json), one document a source.
 
     Version 1, or any with `full`, gives all items. Others are compared with the hashes kept of the version before,
     where there are some; else with the items of the stored document of that version; else (nothing stored, or
     blank) with the global hashes. Documents without a change, and those that aren't JSON, are named in `cleansed`.
+
+    All documents are walked once, in one pass, and their items written to the shared folder. All baselines are one union, of which
+    partial sums find the row of each key (of repeated ones the last) before the shuffle; items meet it once, and once more under the global hashes' path and type.
     """
-    items = extract(current)
-    before = raw.select("source_uri", F.col("version").alias("_v"), "json").join(current.select("source_uri", F.col("version").alias("_now")), "source_uri").where("_v < _now")
-    last = first_per(before, ["source_uri"], F.col("_v").desc())
-    kept = version_hashes.join(last.select("source_uri", F.col("_v").alias("version")), ["source_uri", "version"], "left_semi")
-    by_hash = kept.select("source_uri").distinct()
-    usable = last.where(blank_to_null(F.col("json")).isNotNull()).join(by_hash, "source_uri", "left_anti")
-    stored = json_items.extract_items(usable.select("source_uri", "json")).select("source_uri", *KEYS, *HASHES, "ordinal")
-    everything = F.lit(full) | (F.col("version") == 1)
-    some = items.where(~everything)
-    compared = by_hash.unionByName(usable.select("source_uri"))
-    changed = (
-        items.where(everything)
-        .unionByName(changed_since(some.join(by_hash, "source_uri", "left_semi").select(*items.columns), kept, use_context))
-        .unionByName(changed_since(some.join(usable.select("source_uri"), "source_uri", "left_semi").select(*items.columns), stored, use_context))
-        .unionByName(changed_globally(some.join(compared, "source_uri", "left_anti").select(*items.columns), hashes, strict, use_context))
-    )
+    documents = _tagged(current, raw, version_hashes, full)
+    walked = store.kept(json_items.extract_items(documents, "version int, mode int, prev int"))
+    now = walked.where("mode is not null")
+    columns = [c for c in walked.columns if c not in ("mode", "prev")]
+    items = now.select(*columns)
+    touched = documents.where(F.col("mode") == KEPT).select("source_uri", F.col("prev").alias("version"))
+    found = F.struct(F.col("at"), *HASHES)
+    scoped = lambda df, scope, at: _keyed(df).select(scope.alias("scope"), *KEYS, *HASHES, at.cast("long").alias("at"))
+    base = scoped(version_hashes.join(touched, ["source_uri", "version"], "left_semi"), F.col("source_uri"), F.lit(0))
+    base = base.unionByName(scoped(walked.where("mode is null"), F.col("source_uri"), F.col("ordinal"))).unionByName(scoped(hashes, F.lit(None).cast("string"), F.lit(0)))
+    exact = base.groupBy(*[F.col(k).alias(f"_e_{k}") for k in ("scope", *KEYS)]).agg(F.max(found).alias("_exact"))
+    probed = now.withColumn("usage_path_", F.coalesce("usage_path", F.lit(""))).withColumn("scope", F.when(F.col("mode").isin(KEPT, STORED), F.col("source_uri")))
+    on = (F.col("source_path") == F.col("_e_source_path")) & (F.col("item_type") == F.col("_e_item_type")) & (F.col("usage_path_") == F.col("_e_usage_path")) & F.col("scope").eqNullSafe(F.col("_e_scope"))
+    joined = probed.join(exact, on, "left")
+    if strict:
+        joined = joined.withColumn("found", F.col("_exact"))
+    else:
+        order = F.struct(F.col("usage_path").alias("at"), *HASHES)
+        loose = _keyed(hashes).groupBy(*[F.col(k).alias(f"_l_{k}") for k in KEYS[:2]]).agg(F.max(order).alias("_loose"))
+        near = (F.col("mode") == GLOBAL) & F.col("_exact").isNull() & (F.col("source_path") == F.col("_l_source_path")) & (F.col("item_type") == F.col("_l_item_type"))
+        pick = lambda s: F.struct(*[F.col(s)[h].alias(h) for h in HASHES])
+        joined = joined.join(loose, near, "left").withColumn("found", F.when(F.col("_exact").isNotNull(), pick("_exact")).when(F.col("_loose").isNotNull(), pick("_loose")))
+    keyed = F.col("source_path").isNotNull() & F.col("item_type").isNotNull()
+    differ = joined.where((F.col("mode") == ALL) | keyed & _differs(use_context))
+    usage = F.when(F.col("mode") == ALL, F.col("usage_path")).otherwise(F.col("usage_path_"))
+    changed = differ.select(*[usage.alias(c) if c == "usage_path" else F.col(c) for c in columns])
     return Run(items, changed, kept_hashes(hashes, items), kept_hashes(version_hashes, items, ["source_uri", "version", *KEYS]), statuses(current, changed, at))
 
 

@@ -78,18 +78,23 @@ def lookup_with_fallback(df: DataFrame, known: DataFrame, exact: Sequence[str],
 def assign_version(incoming: DataFrame, stored: DataFrame, key: str, hash_col: str) -> DataFrame:
     """Incoming rows whose (key, hash) no version has, with the next versions of their key, in the order of the hash.
 
-    A source with very many new rows is ranked by parts: rows are counted for each hash prefix, the counts before
-    a prefix are summed over at most `PARTS` rows a key, and only rows of one prefix are ranked together.
+    Keys and hashes match null-safely, a null hash comes first; repeated rows of one hash get one version. A source with very many new hashes is
+    ranked by parts: hashes are counted for each prefix, the counts before a prefix are summed over at most `PARTS` rows a
+    key, and only rows of one prefix are ranked together.
     """
-    top = stored.groupBy(key).agg(F.max("version").alias("_top"))
-    new = incoming.join(stored.select(key, hash_col).distinct(), [key, hash_col], "left_anti")
-    part = F.substring(hash_col, 1, PREFIX)
-    counts = new.groupBy(key, part.alias("_part")).agg(F.count("*").alias("_n"))
+    keys = [key, hash_col]
+    top = stored.groupBy(F.col(key).alias(f"_t_{key}")).agg(F.max("version").alias("_top"))
+    have = stored.select(*[F.col(k).alias(f"_h_{k}") for k in keys]).distinct()
+    new = incoming.join(have, matching(incoming, have, keys, "_h_"), "left_anti")
+    part = F.coalesce(F.substring(hash_col, 1, PREFIX), F.lit(""))
+    counts = new.select(*keys, part.alias("_part")).distinct().groupBy(key, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(key, "_part", before.alias("_before")).join(top, key, "left")
-    rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy(hash_col))
-    ranked = new.withColumn("_part", part).withColumn("_rank", rank).join(offsets, [key, "_part"])
-    return ranked.select(*[F.col(c) for c in new.columns], (F.coalesce("_top", F.lit(0)) + F.col("_before") + F.col("_rank")).cast("int").alias("version"))
+    numbered = counts.withColumn("_before", before)
+    offsets = numbered.join(top, matching(numbered, top, [key], "_t_"), "left").select(F.col(key).alias(f"_o_{key}"), F.col("_part").alias("_o__part"), "_before", "_top")
+    rank = F.dense_rank().over(Window.partitionBy(key, "_part").orderBy(F.col(hash_col).asc_nulls_first()))
+    ranked = new.withColumn("_part", part).withColumn("_rank", rank)
+    done = ranked.join(offsets, matching(ranked, offsets, [key, "_part"], "_o_"))
+    return done.select(*[ranked[c] for c in incoming.columns], (F.coalesce("_top", F.lit(0)) + F.col("_before") + F.col("_rank")).cast("int").alias("version"))
 
 
 def merge_ranked(arms: Sequence[DataFrame], keys: Sequence[str], position: str, limit: int) -> DataFrame:

@@ -109,10 +109,11 @@ SELECT r.doc_id, r.source, r.lang, coalesce(k.n_chars, l.n) AS found FROM r LEFT
     "previous_version": "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_turn FROM conversations",
     "mark_latest": "SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS latest FROM conversations",
     "assign_version": """
-WITH stored AS (SELECT DISTINCT source, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 0),
+WITH h AS (SELECT doc_id, nullif(source, 'src3') AS source, CASE WHEN doc_id % 10 < 8 THEN sha256(text) END AS content_hash FROM documents),
+stored AS (SELECT DISTINCT source, content_hash FROM h WHERE doc_id % 2 = 0 AND (doc_id % 10 < 8 OR source < 'src4')),
 top AS (SELECT source, count(*) AS n FROM stored GROUP BY 1),
-new AS (SELECT DISTINCT source, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 1 EXCEPT SELECT * FROM stored)
-SELECT source, content_hash, (coalesce(n, 0) + row_number() OVER (PARTITION BY source ORDER BY content_hash))::INT AS version FROM new LEFT JOIN top USING (source)""",
+new AS (SELECT source, content_hash FROM h WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.source IS NOT DISTINCT FROM h.source AND s.content_hash IS NOT DISTINCT FROM h.content_hash))
+SELECT new.source, content_hash, (coalesce(n, 0) + dense_rank() OVER (PARTITION BY new.source ORDER BY content_hash NULLS FIRST))::INT AS version FROM new LEFT JOIN top ON top.source IS NOT DISTINCT FROM new.source""",
     "chunk_sentences": _chunks("text", "SELECT doc_id, text FROM documents") + "SELECT doc_id, count(*) AS n_chunks, sum(length(chunk_text))::BIGINT AS n_chars FROM chunked GROUP BY doc_id",
     "missing_embeddings": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "fifo_claim": "SELECT o_orderkey, o_orderdate FROM orders WHERE trim(o_orderstatus) <> '' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderdate NULLS LAST, o_orderkey LIMIT 100",

@@ -79,9 +79,12 @@ def mark_latest(spark, d):
 
 
 def assign_version(spark, d):
-    stored = docs(spark, d).where("doc_id % 2 = 0").select("source", X.content_hash(F.col("text")).alias("content_hash")).distinct()
+    """Some sources and some hashes are null, and rows repeat."""
+    i, source = F.col("doc_id"), F.when(F.col("source") != "src3", F.col("source")).alias("source")
+    hashed = docs(spark, d).select(i, source, F.when(i % 10 < 8, X.content_hash(F.col("text"))).alias("content_hash"))
+    stored = hashed.where("doc_id % 2 = 0 and (doc_id % 10 < 8 or source < 'src4')").select("source", "content_hash").distinct()
     stored = stored.withColumn("version", F.row_number().over(Window.partitionBy("source").orderBy("content_hash")))
-    incoming = docs(spark, d).where("doc_id % 2 = 1").select("source", X.content_hash(F.col("text")).alias("content_hash")).distinct()
+    incoming = hashed.where("doc_id % 2 = 1").select("source", "content_hash")
     return V.assign_version(incoming, stored, "source", "content_hash").select("source", "content_hash", "version")
 
 
