@@ -16,12 +16,16 @@ read. All turns of one conversation are formatted in one row, so a conversation
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN_END = "</turn>\n"
 PART = "<part/>"
 HEAD_END = ":\n"
+#: Turns that are gone through together.
+GROUP = 256
 
 
 def _replace(x: Column, old: str, new: str) -> Column:
@@ -61,11 +65,26 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
         span = F.array(F.struct(begin.alias("start"), size.alias("length")))
         return F.struct((begin + size).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return pieces.select(
-        "conv_id",
-        F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(TURN_END)).alias("formatted"),
-        F.aggregate("pieces", start, step)["spans"].alias("loss_spans"),
-    )
+    # an array that grows one by one is copied each time, so groups of pieces get their spans first, and then the groups their places
+    def moved(groups: Column) -> Column:
+        before = F.aggregate(groups, F.array(F.lit(0).cast("long")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g["at"])))
+        shifted = lambda at: F.transform(groups, lambda g, k: F.transform(g["spans"], lambda s: F.struct((s["start"] + F.get(at, k)).alias("start"), s["length"].alias("length"))))
+        return F.flatten(_once(before, shifted))
+
+    spans = _once(F.col("pieces"), lambda all_of: _once(_groups(all_of, lambda some: F.aggregate(some, start, step)), moved))
+    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(TURN_END))
+    return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+
+
+def _once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` a value that is made once, however often `of` reads it: what stands in a lambda is else made again for each entry."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def _groups(array: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` each run of GROUP entries of an array, which is the entry of a lambda."""
+    n = F.ceil(F.size(array) / F.lit(GROUP)).cast("int")
+    return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), n), lambda k: _once(F.slice(array, k * GROUP + 1, F.lit(GROUP)), of))
 
 
 def parse_turns(formatted: Column) -> Column:
@@ -82,5 +101,17 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """The unescaped text under the mask, nothing between its spans."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The unescaped text under the mask, nothing between its spans.
+
+    Where a character stands in a string is found by counting, so the text of each group of spans is cut out first.
+    """
+
+    def within(whole: Column) -> Callable[[Column], Column]:
+        def run(some: Column) -> Column:
+            first, last = F.get(some, F.lit(0)), F.element_at(some, -1)
+            text = F.substring(whole, (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
+            return _once(text, lambda t: F.transform(some, lambda s: unescape(F.substring(t, (s["start"] - first["start"] + 1).cast("int"), s["length"].cast("int")))))
+
+        return run
+
+    return F.array_join(F.flatten(_once(formatted, lambda whole: _once(spans, lambda all_of: _groups(all_of, within(whole))))), "")
