@@ -42,9 +42,9 @@ class DigestArray:
     """Sorted digests, end offsets of the strings, verdicts, and the strings themselves, memory-mapped."""
 
     def __init__(self, folder_of) -> None:
-        names = ("digest", "ends", "allow", "text", "lengths")
-        self.digest, self.ends, self.allow, self.text, lengths = (self._open(folder_of(n), k) for n, k in zip(names, ("<u8", "<i8", "u1", "u1", "<i8"), strict=True))
-        self.lengths = lengths.tolist()
+        names = ("digest", "ends", "allow", "text", "lengths", "labels")
+        self.digest, self.ends, self.allow, self.text, lengths, labels = (self._open(folder_of(n), k) for n, k in zip(names, ("<u8", "<i8", "u1", "u1", "<i8", "<i8"), strict=True))
+        self.lengths, self.labels = lengths.tolist(), int(labels[0])
 
     @staticmethod
     def _open(path: str, kind: str) -> np.ndarray:
@@ -83,6 +83,7 @@ def digest_files(rules: Sequence[tuple[str, str, str]]) -> dict[str, bytes]:
         "allow": bytes(kept[k] for k in order),
         "text": b"".join(order),
         "lengths": np.array(sorted({len(p) for _, p, _ in rules}), "<i8").tobytes(),
+        "labels": np.array([max((h.count(".") + 1 for h, _, _ in rules), default=0)], "<i8").tobytes(),
     }
 
 
@@ -103,8 +104,9 @@ def ship(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> str:
     return tag
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[bytes]:
-    """Keys that could be a rule for this url, longest host first and longest path first."""
+def candidates(host: str, path: str, lengths: list[int], labels: int) -> Iterator[bytes]:
+    """Keys that could be a rule for this url, longest host first and longest path first. No rule's host has more than `labels` labels."""
+    host = ".".join(host.rsplit(".", labels)[-labels:]) if labels else ""
     while host:
         for n in reversed(lengths):
             # a rule's length counts code points, as the url does
@@ -131,7 +133,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default:
                 path = m[2] if m else ""
                 hosts.append(host)
                 paths.append(path)
-                own = list(candidates(host, path, array.lengths))
+                own = list(candidates(host, path, array.lengths, array.labels))
                 keys += own
                 owner += [i] * len(own)
             rule: list[str | None] = [None] * len(hosts)
