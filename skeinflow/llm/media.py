@@ -25,7 +25,7 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -48,15 +48,19 @@ UNIT = 192
 RATE = 8000
 #: Bytes that are decompressed at a time.
 STEP = 1 << 16
+#: Bytes between kept running checksums.
+CRC_STEP = 256
 
 
 class Content:
-    """Bytes and, once asked for, the places of the markers that end a format: however many hits ask, the bytes are searched once."""
+    """Bytes and, once asked for, the places of the markers that end a format, the ends of walks and running checksums: however many hits ask, the bytes are gone through once."""
 
     def __init__(self, raw: bytes) -> None:
         self.raw = raw
         self._places: dict[bytes, list[int]] = {}
         self._archives: dict[int, int] | None = None
+        self._ends: dict[str, dict[int, int]] = {}
+        self._crcs: list[int] | None = None
 
     def after(self, marker: bytes, at: int) -> int:
         """The first place of `marker` from `at` on, or -1."""
@@ -70,6 +74,37 @@ class Content:
         k = bisect.bisect_left(places, at)
         return places[k] if k < len(places) else -1
 
+    def chain(self, name: str, place: int, step: Callable[[int], int]) -> int:
+        """Where a walk from `place` ends, zero if it breaks off. `step` gives the next place, minus the end, or zero.
+
+        A walk stops where an earlier one of its name has been, so all walks of a content take as many steps as it has places.
+        """
+        ends = self._ends.setdefault(name, {})
+        been = []
+        while place not in ends:
+            been.append(place)
+            after = step(place)
+            if after <= 0:
+                ends[place] = -after
+                break
+            place = after
+        end = ends[place]
+        for p in been:
+            ends[p] = end
+        return end
+
+    def checksum(self, start: int, stop: int) -> int:
+        """CRC-32 of a range. A long one is taken from two running ones, so that many overlapping ranges cost no second pass."""
+        if stop - start < 4 * CRC_STEP:
+            return zlib.crc32(memoryview(self.raw)[start:stop])
+        if self._crcs is None:
+            crc, self._crcs = 0, [0]
+            for k in range(0, len(self.raw), CRC_STEP):
+                crc = zlib.crc32(memoryview(self.raw)[k : k + CRC_STEP], crc)
+                self._crcs.append(crc)
+        before, both = (zlib.crc32(memoryview(self.raw)[p - p % CRC_STEP : p], self._crcs[p // CRC_STEP]) for p in (start, stop))
+        return both ^ shifted(before, stop - start)
+
     def archives(self) -> dict[int, int]:
         """Where ZIP archives begin, by their end records, and where the first of each begin ends."""
         if self._archives is None:
@@ -83,6 +118,32 @@ class Content:
         return self._archives
 
 
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over two elements modulo that of CRC-32, lowest powers in the highest bits."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+_SHIFTS = [0x00800000]  # x^8, and the squares of it
+for _ in range(47):
+    _SHIFTS.append(_times(_SHIFTS[-1], _SHIFTS[-1]))
+
+
+def shifted(crc: int, n: int) -> int:
+    """The part of the CRC of n more bytes that what stood before them makes."""
+    k = 0
+    while n:
+        if n & 1:
+            crc = _times(crc, _SHIFTS[k])
+        n, k = n >> 1, k + 1
+    return crc
+
+
 # Each validator gives the length of the media that begins at `at`, zero if it isn't one, whole.
 
 
@@ -103,51 +164,61 @@ def _wav(c: Content, at: int) -> int:
 
 def _png(c: Content, at: int) -> int:
     b, n = c.raw, len(c.raw)
-    place = at + 8
-    while place + 12 <= n:
+    if b[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return 0
+
+    def step(place: int) -> int:
+        """The place of the next chunk; minus the end after the last, zero for none."""
+        if place + 12 > n:
+            return 0
         size, name = struct.unpack_from(">I4s", b, place)
         stop = place + 12 + size
-        if stop > n or (place == at + 8 and name != b"IHDR") or zlib.crc32(memoryview(b)[place + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
+        if stop > n or not name.isalpha() or c.checksum(place + 4, stop - 4) != struct.unpack_from(">I", b, stop - 4)[0]:
             return 0
-        if name == b"IEND":
-            return stop - at
-        place = stop
-    return 0
+        return -stop if name == b"IEND" else stop
+
+    end = c.chain("png", at + 8, step)
+    return end - at if end else 0
 
 
 def _gif(c: Content, at: int) -> int:
     b, n = c.raw, len(c.raw)
 
-    def blocks(place: int) -> int:
-        while place < n and b[place]:
-            place += b[place] + 1
-        return place + 1
+    def block(place: int) -> int:
+        if place >= n or not b[place]:
+            return -(place + 1)
+        return place + b[place] + 1
 
-    if at + 14 > n:
-        return 0
-    place = at + 13 + (3 << (b[at + 10] % 8 + 1)) * (b[at + 10] >> 7)
-    while place < n:
+    def step(place: int) -> int:
+        if place >= n:
+            return 0
         if b[place] == 0x3B:
-            return place + 1 - at
+            return -(place + 1)
         if b[place] == 0x21:
-            place = blocks(place + 2)
-        elif b[place] == 0x2C and place + 10 < n:
-            place = blocks(place + 11 + (3 << (b[place + 9] % 8 + 1)) * (b[place + 9] >> 7))
-        else:
-            return 0
-    return 0
+            return c.chain("gif blocks", place + 2, block)
+        if b[place] == 0x2C and place + 10 < n:
+            return c.chain("gif blocks", place + 11 + (3 << (b[place + 9] % 8 + 1)) * (b[place + 9] >> 7), block)
+        return 0
+
+    if at + 14 > n:
+        return 0
+    end = c.chain("gif", at + 13 + (3 << (b[at + 10] % 8 + 1)) * (b[at + 10] >> 7), step)
+    return end - at if end else 0
 
 
 def _jpeg(c: Content, at: int) -> int:
-    b, place = c.raw, at + 2
-    while place + 4 <= len(b):
-        if b[place] != 0xFF:
+    b = c.raw
+
+    def step(place: int) -> int:
+        if place + 4 > len(b) or b[place] != 0xFF:
             return 0
         if b[place + 1] == 0xDA:  # the scan: look for the end marker
             end = c.after(b"\xff\xd9", place)
-            return end + 2 - at if end > 0 else 0
-        place += 2 + struct.unpack_from(">H", b, place + 2)[0]
-    return 0
+            return -(end + 2) if end > 0 else 0
+        return place + 2 + struct.unpack_from(">H", b, place + 2)[0]
+
+    end = c.chain("jpeg", at + 2, step)
+    return end - at if end else 0
 
 
 def _pdf(c: Content, at: int) -> int:
