@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -266,15 +267,24 @@ def section_key_filter(key: str | None) -> list[Column]:
     return S.section_matches(key, [F.col("original_field_name"), F.col("section_path"), F.col("section_uri"), at(context, "envelope", "usagePath"), at(context, "usagePath")], [at(context, "facets", "sectionKey"), at(context, "envelope", "sectionKey"), at(context, "sectionKey")])
 
 
-def vector_arm(chunks: DataFrame, sections: DataFrame, query: Sequence[float], c: Criteria, context: Mapping, tags: Sequence[str], keywords: Sequence[str], k: int) -> DataFrame:
-    """The nearest chunks' sections. Sections are filtered before the join, and the join comes before the ranking."""
-    wanted = [*section_key_filter(c.section), *S.json_filters(F.col("context"), context)]
-    wanted += [S.has_all(F.col("tags"), tags)] * bool(tags) + [S.has_all(F.col("keywords"), keywords)] * bool(keywords)
-    rows = chunks.select(F.col("section_id").alias("id"), "vector", "source_field").join(sections.where(S.every(wanted)), "id")
-    top = S.nearest(rows, "vector", query, k, "id")
+def vector_arm(chunks: DataFrame, sections: DataFrame, query: Sequence[float], levels: Sequence[tuple[Criteria, Mapping]], tags: Sequence[str], keywords: Sequence[str], k: int) -> DataFrame:
+    """The nearest chunks' sections of each level, its number in `_level` and their place in `_at`.
+
+    Sections are filtered once before the join; a row stands for each level whose filter it passes. Of a level a task keeps k rows at most before the ranking.
+    """
+    fixed = section_key_filter(levels[0][0].section) + [S.has_all(F.col("tags"), tags)] * bool(tags) + [S.has_all(F.col("keywords"), keywords)] * bool(keywords)
+    passed = F.filter(F.array(*[F.when(S.every(S.json_filters(F.col("context"), effective(c, about))), n) for n, (c, about) in enumerate(levels)]), lambda n: n.isNotNull())
+    wanted = sections.where(S.every(fixed)).withColumn("_levels", passed).where(F.size("_levels") > 0)
+    rows = chunks.select(F.col("section_id").alias("id"), "vector", "source_field").join(wanted, "id")
+    scored = S.distances(rows, "vector", query).withColumn("_level", F.explode("_levels"))
+    top = scored.withColumn("_at", F.row_number().over(Window.partitionBy("_level").orderBy("distance", "id"))).where(F.col("_at") <= k)
     return top.withColumn("original_field_name", F.coalesce(X.blank_to_null(F.col("original_field_name")), "source_field"))
 
 
+def effective(c: Criteria, context: Mapping) -> Mapping:
+    return sanitized(merged(context, derived_context(c))) or {}
+
+
 def metadata_arm(sections: DataFrame, c: Criteria, k: int) -> DataFrame:
     """Sections of the key, latest first; without a key those whose texts match the message."""
     if not c.section:
@@ -286,32 +296,30 @@ def metadata_arm(sections: DataFrame, c: Criteria, k: int) -> DataFrame:
     return first_per(both, ["id"], F.col("_pos"))
 
 
-def one_list(arms: Sequence[tuple[DataFrame, Sequence[Column]]], columns: Sequence[str]) -> DataFrame:
-    """Rows of all lists with the list's number _arm and their place _at; each list has a few hundred rows at most."""
-    ranked = [df.select(*columns, F.lit(k).alias("_arm"), F.row_number().over(Window.orderBy(*order)).alias("_at")) for k, (df, order) in enumerate(arms)]
-    both = ranked[0]
-    for other in ranked[1:]:
-        both = both.unionByName(other)
-    return both
-
-
-def merge(both: DataFrame, limit: int) -> DataFrame:
+def merge(both: DataFrame, limit: int, *more: str) -> DataFrame:
     """Of equal path, role and text the first row stays; ids cf1, cf2, ... by rank."""
     squeezed = F.trim(F.regexp_replace(F.coalesce("cleansed_text", F.lit("")), r"\s+", " "))
     keyed = both.select("*", *[F.trim(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("section_path", "content_role")], F.sha2(squeezed, 256).alias("_text"))
     once = first_per(keyed, ["_section_path", "_content_role", "_text"], F.col("_arm"), F.col("_at")).orderBy("_arm", "_at").limit(limit)
     rank = F.row_number().over(Window.orderBy("_arm", "_at"))
-    return once.withColumn("cf_id", F.concat(F.lit("cf"), rank)).select("cf_id", *RESULT)
+    return once.withColumn("cf_id", F.concat(F.lit("cf"), rank)).select("cf_id", *RESULT, *more)
 
 
-def run(chunks: DataFrame, sections: DataFrame, query: Sequence[float], c: Criteria, context: Mapping, tags: Sequence[str], keywords: Sequence[str], limit: int) -> DataFrame:
-    """One search: the vector list, then the metadata list."""
-    effective = sanitized(merged(context, derived_context(c))) or {}
-    near = vector_arm(chunks, sections, query, c, effective, tags, keywords, limit)
-    listed = metadata_arm(sections, c, 2 * limit)
-    both = one_list([(near, [F.col("distance"), F.col("id")]), (listed, [F.col("_pos"), F.col("saved_at").desc_nulls_last(), F.col("id")])], sections.columns)
+def relaxed(chunks: DataFrame, sections: DataFrame, query: Sequence[float], levels: Sequence[tuple[Criteria, Mapping]], tags: Sequence[str], keywords: Sequence[str], limit: int) -> DataFrame:
+    """The results of the first level that finds something, with its number in `_level`: all levels in one plan.
+
+    Each level has its vector list and then the metadata list, which is the same for all; the least level that has rows left is found among them, a
+    few hundred rows each.
+    """
+    near = vector_arm(chunks, sections, query, levels, tags, keywords, limit).select(*sections.columns, "_level", F.lit(0).alias("_arm"), "_at")
+    order = [F.col("_pos"), F.col("saved_at").desc_nulls_last(), F.col("id")]
+    listed = metadata_arm(sections, levels[0][0], 2 * limit).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+    listed = listed.select(*sections.columns, F.explode(F.array(*map(F.lit, range(len(levels))))).alias("_level"), F.lit(1).alias("_arm"), "_at")
     source = F.when(F.col("_arm") == 0, "content_chunks").otherwise("consolidated_enriched_sections")
-    return merge(display_fields(both, source, aliases(sections.sparkSession)).where(matches(c)), limit)
+    shown = display_fields(near.unionByName(listed), source, aliases(sections.sparkSession))
+    fit = shown.where(reduce(lambda a, b: a | b, [(F.col("_level") == n) & matches(c) for n, (c, _) in enumerate(levels)]))
+    least = fit.withColumn("_least", F.min("_level").over(Window.partitionBy())).where(F.col("_level") == F.col("_least"))
+    return merge(least, limit, "_level")
 
 
 def attempts(c: Criteria, context: Mapping) -> Iterator[tuple[Criteria, Mapping]]:
@@ -333,24 +341,17 @@ def interpreted(request: Request, interpret: Callable[[Request], Interpretation
 
 
 def answer(request: Request, chunks: DataFrame, sections: DataFrame, embed: Callable[[str], Sequence[float]], interpret: Callable[[Request], Interpretation | None] = lambda _: None) -> DataFrame:
-    """The first search of the cascade that finds something, with column match_terms; empty without a section.
-
-    A result has up to 200 rows; it is kept while the next step decides whether to relax.
-    """
+    """The first search of the cascade that finds something, with column match_terms; empty without a section. One plan, up to 200 rows."""
     made = interpreted(request, interpret)
     c = criteria(request, aliases(sections.sparkSession), made)
     lists = [list(dict.fromkeys(filter(None, map(plain, [*getattr(made, n, ()), *getattr(request, n)])))) for n in ("tags", "keywords")]
     context = merged(sanitized(request.context), sanitized(made.context if made else None))
-    vector = embed(c.message or "")
-    found = None
-    for option, about in attempts(c, context) if c.section else ():
-        found = run(chunks, sections, vector, option, about, *lists, limit_of(request.limit)).persist()
-        if not found.isEmpty():
-            c = option
-            break
-        found.unpersist()
-    if found is None:
-        found = run(chunks, sections, vector, c, context, *lists, limit_of(request.limit)).limit(0)
-    said = [F.lit(x).cast("string") for x in (c.section, c.role, c.page, c.country, c.language, *lists[0], *lists[1])]
-    terms = X.match_terms(said[0], F.col("content_role"), said[1], F.col("page_id"), *said[2:])
-    return found.withColumn("match_terms", terms)
+    levels = list(attempts(c, context) if c.section else attempts(replace(c, section="-"), context))  # without a section the result is empty
+    found = relaxed(chunks, sections, embed(c.message or ""), levels, *lists, limit_of(request.limit))
+
+    def terms(c: Criteria) -> Column:
+        said = [F.lit(x).cast("string") for x in (c.section, c.role, c.page, c.country, c.language, *lists[0], *lists[1])]
+        return X.match_terms(said[0], F.col("content_role"), said[1], F.col("page_id"), *said[2:])
+
+    by_level = F.coalesce(*[F.when(F.col("_level") == n, terms(c)) for n, (c, _) in enumerate(levels)])
+    return found.where(F.lit(c.section is not None)).withColumn("match_terms", by_level).drop("_level")

@@ -70,15 +70,19 @@ def unless_absent(col: Column, value: str | None) -> list[Column]:
     return [] if value is None else [col.isNull() | (F.lower(col) == value.lower())]
 
 
+def distances(df: DataFrame, vector: str, query: Sequence[float]) -> DataFrame:
+    """`df` with the cosine distance of its vectors. A null vector, or one of another length, has no row. The query's norm is a constant of the plan."""
+    q = [float(x) for x in query]
+    norm = math.sqrt(sum(x * x for x in q))
+    return df.where(F.col(vector).isNotNull() & (F.size(vector) == len(q))).withColumn("distance", cosine_distance(F.col(vector), F.array(*map(F.lit, q)), norm))
+
+
 def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, tie: str, filters: Sequence[Column] = (), below: float | None = None) -> DataFrame:
     """The k rows of least cosine distance. Filters come before the ranking; ties go by `tie`; zero vectors come last.
 
-    A null vector, or one of another length, is no neighbour and has no row. The query's norm is a constant of the plan.
+    A null vector, or one of another length, is no neighbour and has no row.
     """
-    q = [float(x) for x in query]
-    norm = math.sqrt(sum(x * x for x in q))
-    usable = F.col(vector).isNotNull() & (F.size(vector) == len(q))
-    scored = df.where(every([usable, *filters])).withColumn("distance", cosine_distance(F.col(vector), F.array(*map(F.lit, q)), norm))
+    scored = distances(df.where(every(filters)), vector, query)
     if below is not None:
         scored = scored.where(F.col("distance") < below)
     return scored.orderBy(F.col("distance").asc(), tie).limit(k)

@@ -40,6 +40,13 @@ m AS (SELECT * FROM (SELECT *, -id AS dist FROM s WHERE key = 'src3-section' ORD
 b AS (SELECT *, 0 AS arm FROM v UNION ALL SELECT *, 1 FROM m),
 o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY path, role, trim(regexp_replace(text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) ORDER BY arm, dist, id) = 1)
 SELECT 'cf' || row_number() OVER (ORDER BY arm, dist, id) AS cf_id, id, role AS content_role, ['content_chunks', 'consolidated_enriched_sections'][arm + 1] AS source, page_id, 'src3-section,headline,page3' AS terms FROM o ORDER BY arm, dist, id LIMIT 15""",
+    "chat_relaxed": f"""
+WITH {_SECTIONS},
+v AS (SELECT * FROM (SELECT s.*, {_DISTANCE} AS dist FROM s JOIN embeddings ON vec_id = id WHERE key = 'src3-section' AND page_id = 'page3' ORDER BY dist, id LIMIT 15)),
+m AS (SELECT * FROM (SELECT *, -id AS dist FROM s WHERE key = 'src3-section' ORDER BY id DESC LIMIT 30) WHERE page_id = 'page3'),
+b AS (SELECT *, 0 AS arm FROM v UNION ALL SELECT *, 1 FROM m),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY path, role, trim(regexp_replace(text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) ORDER BY arm, dist, id) = 1)
+SELECT 'cf' || row_number() OVER (ORDER BY arm, dist, id) AS cf_id, id, role AS content_role, ['content_chunks', 'consolidated_enriched_sections'][arm + 1] AS source, page_id, 'src3-section,' || role || ',page3' AS terms FROM o ORDER BY arm, dist, id LIMIT 15""",
     "display_fields": f"WITH {_SECTIONS} SELECT id, 'acme' AS tenant, page_id, locale, lang AS language, upper(lang) AS country, role AS content_role FROM s",
     "refine_chips": f"""
 WITH {_SECTIONS},

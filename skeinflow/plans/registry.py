@@ -286,6 +286,12 @@ def chat_search(spark, d):
     return chat.answer(asked, _chunks(spark, d), _sections(spark, d), lambda _: QUERY_VECTOR).select("cf_id", "id", "content_role", "source", "page_id", F.array_join("match_terms", ",").alias("terms"))
 
 
+def chat_relaxed(spark, d):
+    """No section has the locale that is asked for, so the third level answers: without role, locale and context."""
+    asked = chat.Request("src3-section headline in page3 ja-JP")
+    return chat.answer(asked, _chunks(spark, d), _sections(spark, d), lambda _: QUERY_VECTOR).select("cf_id", "id", "content_role", "source", "page_id", F.array_join("match_terms", ",").alias("terms"))
+
+
 def display_fields(spark, d):
     shown = chat.display_fields(_sections(spark, d), F.lit("sections"), locales.aliases(spark))
     return shown.select("id", "tenant", "page_id", "locale", "language", "country", "content_role")
@@ -399,7 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         cleanse_html, content_hash_dups, delta_changed, delta_two_key_fallback, dedup_keep_first, last_wins, latest_version, previous_version, mark_latest, assign_version, chunk_sentences, missing_embeddings, fifo_claim,
         status_counts, final_status, distinct_pairs, grouped_locales, geo_groups, optional_filter_page, site_filter, json_path_filter, array_contains_all, vector_topk, vector_filtered, chip_scores, merge_ranked_lists, usage_fanout,
-        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, full_text_index, page_tree_extract, page_assets, chat_search, display_fields, refine_chips, section_search, country_codes,
+        revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, full_text_index, page_tree_extract, page_assets, chat_search, chat_relaxed, display_fields, refine_chips, section_search, country_codes,
         manual_edit, edit_revisions, asset_search, asset_options, region_observations, json_nodes, tree_filter, json_metadata, simple_extract, label_functions, element_groups, status_history, annotate_stub, embed_stub, flagship,
     )
 } | runs.QUERIES | upkeep.QUERIES

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assets, edits, enrich, ingest, versions, views
+from ..operators import assets, edits, enrich, ingest, leases, store, versions, views
 from ..operators import lifecycle as L
 from . import runs
 from .runs import table
@@ -127,6 +128,19 @@ def text_helpers(spark, d):
     )
 
 
+def leased_claims(spark, d):
+    """Two workers claim in turn, the first finishes a part of its rows, its lease ends, and a third comes: who holds what at last."""
+    now = [0.0]
+    book = leases.Leases(spark, f"{store.shared_folder(spark)}/leases-{uuid.uuid4().hex}", 60.0, clock=lambda: now[0])
+    pending = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("text"), F.col("o_orderdate").alias("saved_at"))
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    first, _ = (book.claim(who, pending, done, "id", "text", "saved_at", 60) for who in "ab")
+    book.finish(first.number, [r.id for r in first.rows.where("id % 2 = 0").collect()])
+    now[0] = 61.0
+    book.claim("c", pending, done, "id", "text", "saved_at", 60)
+    return book.holders().select(F.col("id").cast("long").alias("id"), F.col("n").cast("int").alias("number"), "owner", "done")
+
+
 _STORED = """
 r AS (SELECT doc_id, text, 'doc:' || doc_id % 300 AS source_uri, (1 + doc_id // 300)::INT AS version, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 5 <> 1 THEN text END AS raw_text, sha256(text) AS content_hash, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'kept' END AS request_metadata FROM documents)"""
 _WON = "w AS (SELECT o_orderkey AS job FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'F')"
@@ -158,6 +172,11 @@ SELECT l_suppkey % 20 AS source_uri, l_linenumber % 2 AS source_version, CASE WH
     "locale_picked": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'de-de' WHEN 1 THEN 'DE_de' ELSE 'de_DE' END AS locale FROM customer WHERE c_custkey % 4 < 3",
     "last_revisions": "SELECT l_orderkey AS element_id, max(l_linenumber) AS revision FROM lineitem GROUP BY 1",
     "recent_cleansed": "SELECT o_custkey AS source_uri, o_orderdate AS cleansed_at, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) = 1",
+    "leased_claims": """
+WITH p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey) AS at FROM orders WHERE trim(coalesce(o_orderstatus, '')) <> '' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
+h AS (SELECT id, at, CASE WHEN at <= 60 THEN 'a' ELSE 'b' END AS owner, at <= 60 AND id % 2 = 0 AS done FROM p WHERE at <= 120),
+c AS (SELECT id FROM p LEFT JOIN h USING (id, at) WHERE NOT coalesce(done, false) ORDER BY at LIMIT 60)
+SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 4 WHEN owner = 'a' THEN 1 ELSE 2 END AS number, CASE WHEN id IN (SELECT id FROM c) THEN 'c' ELSE owner END AS owner, coalesce(done, false) AS done FROM p LEFT JOIN h USING (id, at) WHERE at <= 120 OR id IN (SELECT id FROM c)""",
     "text_helpers": """
 SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source || 'x' || chr(10) || 'y' END AS legacy, CASE WHEN doc_id % 2 = 0 THEN lang || '_US' END AS locale, '{"a":"' || lang || '","b":"' || source || '"}' AS metadata,
   CASE doc_id % 3 WHEN 0 THEN 'ENRICHMENT COMPLETE' WHEN 1 THEN 'OTHER' END AS status, lang || ', ' || source AS listed, NULL::VARCHAR AS none FROM documents""",
@@ -165,5 +184,5 @@ SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source || 'x' || chr(10) || 'y' EN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (finalize_sections, finalize_claims, replay_documents, backfill_rows, refresh_rows, saved_skips, queue_split, prompt_search, prompt_search_nearest, snapshot_replaced, worker_batches, locale_picked, last_revisions, recent_cleansed, text_helpers)
+    for f in (finalize_sections, finalize_claims, replay_documents, backfill_rows, refresh_rows, saved_skips, queue_split, prompt_search, prompt_search_nearest, snapshot_replaced, worker_batches, locale_picked, last_revisions, recent_cleansed, text_helpers, leased_claims)
 }

@@ -39,6 +39,22 @@ def test_cascade_relaxes_in_order():
     assert [x.page for x, _ in steps] == ["p"] * 3
 
 
+def test_cascade_is_one_plan_and_equals_its_levels(spark):
+    rows = [(i, f"/content/dam/t/en_US/p/{i}", "", role, f"text {i}", '{"facets": {"sectionKey": "a-section"%s}, "pageId": "page3"}' % extra, None, [], []) for i, (role, extra) in enumerate([("copy", ""), ("title", ', "x": "1"'), ("copy", ', "x": "2"')])]
+    sections = spark.createDataFrame(rows, "id long, section_path string, section_uri string, original_field_name string, cleansed_text string, context string, saved_at timestamp, tags array<string>, keywords array<string>")
+    chunks = spark.createDataFrame([(i, [1.0, float(i)], "f") for i in range(3)], "section_id long, vector array<double>, source_field string")
+
+    def ask(message, **more):
+        found = chat.answer(chat.Request(message, **more), chunks, sections, lambda _: [1.0, 0.0])
+        return sorted((r.id, r.source) for r in found.collect())
+
+    near, listed = "content_chunks", "consolidated_enriched_sections"
+    assert ask("a-section title in page3") == [(1, near)] and ask("a-section headline in page3") == [(0, near), (1, near), (2, near)]
+    assert ask("a-section title in page3", context={"facets": {"x": "2"}}) == [(1, listed)] and ask("b-section title in page3") == [] and ask("nothing") == []
+    assert ask("a-section headline in page3", context={"facets": {"x": "2"}}) == [(0, listed), (1, listed), (2, near)]
+    assert ask("a-section title in page3", context={"facets": {"x": "9"}}, limit=1) == [(1, listed)]
+
+
 def test_hints_and_chips():
     assert refine.hints("copy for hero-section") == (["hero-section"], ["copy"])
     chips = [{"type": "Tag", "value": str(i)} for i in range(3)] + [{"type": "sectionName", "value": "n"}]
