@@ -173,10 +173,10 @@ SELECT l_suppkey % 20 AS source_uri, l_linenumber % 2 AS source_version, CASE WH
     "last_revisions": "SELECT l_orderkey AS element_id, max(l_linenumber) AS revision FROM lineitem GROUP BY 1",
     "recent_cleansed": "SELECT o_custkey AS source_uri, o_orderdate AS cleansed_at, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) = 1",
     "leased_claims": """
-WITH p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey) AS at FROM orders WHERE trim(coalesce(o_orderstatus, '')) <> '' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
-h AS (SELECT id, at, CASE WHEN at <= 60 THEN 'a' ELSE 'b' END AS owner, at <= 60 AND id % 2 = 0 AS done FROM p WHERE at <= 120),
-c AS (SELECT id FROM p LEFT JOIN h USING (id, at) WHERE NOT coalesce(done, false) ORDER BY at LIMIT 60)
-SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 4 WHEN owner = 'a' THEN 1 ELSE 2 END AS number, CASE WHEN id IN (SELECT id FROM c) THEN 'c' ELSE owner END AS owner, coalesce(done, false) AS done FROM p LEFT JOIN h USING (id, at) WHERE at <= 120 OR id IN (SELECT id FROM c)""",
+WITH p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey) AS place FROM orders WHERE trim(coalesce(o_orderstatus, '')) <> '' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
+h AS (SELECT id, place, CASE WHEN place <= 60 THEN 'a' ELSE 'b' END AS owner, place <= 60 AND id % 2 = 0 AS done FROM p WHERE place <= 120),
+c AS (SELECT id FROM p LEFT JOIN h USING (id, place) WHERE NOT coalesce(done, false) ORDER BY place LIMIT 60)
+SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 4 WHEN owner = 'a' THEN 1 ELSE 2 END AS number, CASE WHEN id IN (SELECT id FROM c) THEN 'c' ELSE owner END AS owner, coalesce(done, false) AS done FROM p LEFT JOIN h USING (id, place) WHERE place <= 120 OR id IN (SELECT id FROM c)""",
     "text_helpers": """
 SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source || 'x' || chr(10) || 'y' END AS legacy, CASE WHEN doc_id % 2 = 0 THEN lang || '_US' END AS locale, '{"a":"' || lang || '","b":"' || source || '"}' AS metadata,
   CASE doc_id % 3 WHEN 0 THEN 'ENRICHMENT COMPLETE' WHEN 1 THEN 'OTHER' END AS status, lang || ', ' || source AS listed, NULL::VARCHAR AS none FROM documents""",
