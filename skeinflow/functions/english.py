@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,9 +114,12 @@ def words(text: Column) -> Column:
 def lexemes(text: Column) -> Column:
     """Stems of a text's words at their places, null at those of stop words. The words are split in the JVM, stems are kept by each worker."""
 
-    @F.pandas_udf("array<string>")
-    def run(found: pd.Series) -> pd.Series:
-        return found.map(lambda ws: [lexeme(w) for w in ws], na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def run(found: pa.Array) -> pa.Array:
+        coded = found.flatten().dictionary_encode()
+        stems = pa.array([lexeme(w) for w in coded.dictionary.to_pylist()], pa.string())  # each word of the batch once
+        ends = np.append(0, np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), stems.take(coded.indices))
 
     return run(words(text))
 

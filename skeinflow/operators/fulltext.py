@@ -8,16 +8,19 @@ alone finds nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.english import lexeme, lexemes, query_lexemes, words
 from ..session import ship
 
+#: Texts whose words are gone through together.
+ROWS = 500
 #: A phrase: whether it is excluded, and its stems with their places from the first on.
 Part = tuple[bool, tuple[tuple[int, str], ...]]
 
@@ -69,19 +72,29 @@ def index(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Postings (term, key, positions): each text's stems with their places. A row's postings are made in its own task, without a shuffle."""
     ship(df.sparkSession)
 
-    @F.pandas_udf("array<struct<term:string,positions:array<int>>>")
-    def postings(texts: pd.Series) -> pd.Series:
-        def one(ws):
-            places: dict[str, list[int]] = {}
-            for at, w in enumerate(ws):
-                if (t := lexeme(w)) is not None:
-                    places.setdefault(t, []).append(at)
-            return [{"term": t, "positions": p} for t, p in places.items()]
-
-        return texts.map(one)
-
-    made = postings(words(F.concat_ws(" ", *[F.col(f) for f in fields])))
-    return df.select(F.col(key), F.explode(made).alias("p")).select("p.term", key, "p.positions")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                lists = part.column(1)
+                found = lists.flatten().dictionary_encode()
+                stems = [lexeme(w) for w in found.dictionary.to_pylist()]  # each word of the texts once
+                terms = sorted({t for t in stems if t is not None})
+                number = {t: k for k, t in enumerate(terms)}
+                of_word = np.array([number.get(t, -1) for t in stems], np.int64)
+                term = of_word[found.indices.to_numpy()] if len(stems) else np.zeros(0, np.int64)
+                size = lists.value_lengths().to_numpy()
+                row = np.repeat(np.arange(len(lists)), size)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                kept = np.flatnonzero(term >= 0)
+                kept = kept[np.lexsort((place[kept], term[kept], row[kept]))]
+                row, term, place = row[kept], term[kept], place[kept]
+                first = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(term, prepend=-1).astype(bool))
+                positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(term[first])), part.column(0).take(pa.array(row[first])), positions], names=["term", key, "positions"])
+
+    texts = df.select(F.col(key), words(F.concat_ws(" ", *[F.col(f) for f in fields])).alias("_words"))
+    return texts.mapInArrow(run, f"term string, `{key}` {dict(df.dtypes)[key]}, positions array<int>")
 
 
 def write_index(df: DataFrame, key: str, fields: Sequence[str], path: str) -> None:
