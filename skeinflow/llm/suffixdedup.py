@@ -17,6 +17,10 @@ places). Texts are dealt once to blocks of about `BLOCK_BYTES`, and three passes
    found, and each run gets one mask for each suffix: which windows start in a smaller document;
 3. each block applies the masks and removes the covered bytes.
 
+Blocks reach shards and are answered over `Route`, a butterfly of as many levels as the input needs:
+at each level groups of blocks meet, their runs are merged into one, and that one is dealt on. A block
+sends at most `FAN` rows a level, so rows grow with the input and a shard stays as large as a block.
+
 Whole copies of a text lose all bytes and are told by their SHA-256 beforehand. Others cost a suffix once a block, however many there are, and shards are dealt by hash, not by
 range, as groups are needed and no global order. Nothing is sampled or capped; hashes only choose
 candidates, and all windows are compared as bytes.
@@ -44,8 +48,11 @@ from ._common import cut, shuffle_partitions, slices, tidy, utf8_buffers
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
 BLOCK_BYTES = 8 << 20
-#: A suffix: 50 bytes from the anchor, 30 before it, and the true lengths of both.
-SUFFIX = WIDTH + SPAN - 1 + 2
+#: A suffix: its shard in 4 bytes, 50 bytes from the anchor, 30 before it, and the true lengths of both.
+HEAD = 4
+SUFFIX = HEAD + WIDTH + SPAN - 1 + 2
+#: Parts to which a block, or a group of blocks, deals its keys at one level.
+FAN = 256
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 NO_ID = int(np.iinfo(np.int64).max)
 #: Ids and digests of whole copies (48 bytes each) that may be broadcast; more are joined by shuffle.
@@ -89,6 +96,87 @@ def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, h[at]
 
 
+def least_root(n: int, k: int) -> int:
+    """The least whole number whose k-th power is n or more."""
+    r = max(1, round(n ** (1 / k)))
+    while r**k < n:
+        r += 1
+    while r > 1 and (r - 1) ** k >= n:
+        r -= 1
+    return r
+
+
+class Route:
+    """The way from blocks to shards: level by level `span` groups meet in one, which deals to `fan` parts.
+
+    A node is (group, part). Nodes of level 0 are the blocks; at the last level one group is left for
+    each shard. Shards are in the order of the names, so a part of any level is a range of them.
+    """
+
+    def __init__(self, blocks: int, shards: int) -> None:
+        self.levels = 1
+        while FAN**self.levels < shards:
+            self.levels += 1
+        self.fan, self.span = least_root(shards, self.levels), least_root(blocks, self.levels)
+        self.blocks, self.shards = blocks, self.fan**self.levels
+
+    def nodes(self, level: int) -> int:
+        return -(-self.blocks // self.span**level) * self.fan**level
+
+    def shard(self, names: np.ndarray) -> np.ndarray:
+        return (((names >> np.uint64(16)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
+
+    def part(self, shard: np.ndarray, level: int) -> np.ndarray:
+        return shard // self.fan ** (self.levels - level)
+
+    def bounds(self, part: np.ndarray, first: int = 0) -> np.ndarray:
+        """Where each of `fan` parts from `first` on begins, and the end of the last."""
+        return np.searchsorted(part, first + np.arange(self.fan + 1))
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """48-bit names of hashes, evenly spread though anchors have the least hashes of their windows."""
+    return (h * _C[0]) >> np.uint64(16)
+
+
+def ranges(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of an ordered array and where it stands."""
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(part[a]), slice(a, b)
+
+
+def pack_names(names: np.ndarray) -> bytes:
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_names(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def unpack_bits(route: Route, part: np.ndarray, first: int, replies: dict[int, bytes]) -> np.ndarray:
+    """The bits that the parts replied, one for each element of the ordered array `part`."""
+    known, bounds = np.zeros(len(part), bool), route.bounds(part, first)
+    for p, bits in replies.items():
+        a, b = bounds[p - first], bounds[p - first + 1]
+        known[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+    return known
+
+
+def unpack_masks(route: Route, part: np.ndarray, first: int, replies: dict[int, bytes]) -> np.ndarray:
+    got, bounds = np.zeros(len(part), np.uint32), route.bounds(part, first)
+    for p, m in replies.items():
+        got[bounds[p - first] : bounds[p - first + 1]] = np.frombuffer(zlib.decompress(m), "<u4")
+    return got
+
+
+def all_windows(right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Masks of all windows through an anchor with so many bytes from it and before it."""
+    return ((np.int64(1) << (left + 1)) - 1) & ~((np.int64(1) << np.maximum(WIDTH - right, 0)) - 1)
+
+
 class Block:
     """The rows of one block with their anchors."""
 
@@ -105,49 +193,43 @@ class Block:
         self.hash = np.concatenate(names) if names else np.zeros(0, np.uint64)
         self.row = np.searchsorted(self.offsets, self.at, side="right") - 1
 
-    def keys(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (shard, 48 bits of the hash) in order, and each anchor's index among them."""
-        shard = (self.hash >> np.uint64(32)) % np.uint64(shards)
-        key = (shard << np.uint64(48)) | ((self.hash >> np.uint64(1)) & np.uint64((1 << 48) - 1))
-        names, inverse = np.unique(key, return_inverse=True)
-        return names, inverse, (names >> np.uint64(48)).astype(np.int64)
+    def keys(self, route: Route) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names of anchors in order, each anchor's index among them, and their parts of the first level."""
+        names, inverse = np.unique(spread(self.hash), return_inverse=True)
+        return names, inverse, route.part(route.shard(names), 1)
 
-    def shared(self, shards: int, replies: dict[int, bytes]) -> np.ndarray:
+    def shared(self, route: Route, replies: dict[int, bytes]) -> np.ndarray:
         """Which anchors are in another document too, by the replies and by this block itself."""
-        names, inverse, shard = self.keys(shards)
-        known = np.zeros(len(names), bool)
-        bounds = np.searchsorted(shard, np.arange(shards + 1))
-        for s, bits in replies.items():
-            a, b = bounds[s], bounds[s + 1]
-            known[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        names, inverse, part = self.keys(route)
+        known = unpack_bits(route, part, 0, replies)
         ids = self.ids[self.row]
         low, high = np.full(len(names), NO_ID), np.full(len(names), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, ids)
         np.maximum.at(high, inverse, ids)
         return (known | (low != high))[inverse]
 
-    def suffixes(self, shards: int, replies: dict[int, bytes]) -> tuple[np.ndarray, ...]:
-        """Distinct suffixes in order of shard and bytes, their shards and least ids; the shared anchors and their suffixes."""
-        some = np.flatnonzero(self.shared(shards, replies))
+    def suffixes(self, route: Route, replies: dict[int, bytes]) -> tuple[np.ndarray, ...]:
+        """Distinct suffixes in order, their parts of the first level and least ids; the shared anchors and their suffixes."""
+        some = np.flatnonzero(self.shared(route, replies))
         at, row = self.at[some], self.row[some]
         right = np.minimum(self.offsets[row + 1] - at, WIDTH)
         left = np.minimum(at - self.offsets[row], SPAN - 1)
         raw = np.zeros(len(self.data) + WIDTH + SPAN, np.uint8)
         raw[SPAN : SPAN + len(self.data)] = self.data
-        kept = np.zeros((len(at), 2 + SUFFIX), np.uint8)
+        kept = np.zeros((len(at), SUFFIX), np.uint8)
         for lo in range(0, len(at), 1 << 15):
             part = slice(lo, lo + (1 << 15))
             a = at[part, None] + SPAN
-            kept[part, 2 : 2 + WIDTH] = np.where(np.arange(WIDTH) < right[part, None], raw[a + np.arange(WIDTH)], 0)
-            kept[part, 2 + WIDTH : SUFFIX] = np.where(np.arange(SPAN - 1) < left[part, None], raw[a - 1 - np.arange(SPAN - 1)], 0)
-        kept[:, SUFFIX], kept[:, SUFFIX + 1] = right, left
-        shard = ((self.hash[some] >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        kept[:, 0], kept[:, 1] = shard >> 8, shard & 255  # shards under 65536, see deal()
-        names, inverse = np.unique(kept.view(f"V{2 + SUFFIX}").ravel() if len(kept) else np.zeros(0, f"V{2 + SUFFIX}"), return_inverse=True)
-        rows = names.view(np.uint8).reshape(-1, 2 + SUFFIX)
+            kept[part, HEAD : HEAD + WIDTH] = np.where(np.arange(WIDTH) < right[part, None], raw[a + np.arange(WIDTH)], 0)
+            kept[part, HEAD + WIDTH : SUFFIX - 2] = np.where(np.arange(SPAN - 1) < left[part, None], raw[a - 1 - np.arange(SPAN - 1)], 0)
+        kept[:, SUFFIX - 2], kept[:, SUFFIX - 1] = right, left
+        kept[:, :HEAD] = route.shard(spread(self.hash[some])).astype(">u4").view(np.uint8).reshape(-1, HEAD)
+        names, inverse = np.unique(kept.view(f"V{SUFFIX}").ravel() if len(kept) else np.zeros(0, f"V{SUFFIX}"), return_inverse=True)
+        rows = names.view(np.uint8).reshape(-1, SUFFIX)
         least = np.full(len(names), NO_ID)
         np.minimum.at(least, inverse, self.ids[row])
-        return rows[:, 2:], rows[:, 0].astype(np.int64) * 256 + rows[:, 1], least, some, inverse
+        shard = np.ascontiguousarray(rows[:, :HEAD]).view(">u4").ravel().astype(np.int64)
+        return rows, route.part(shard, 1), least, some, inverse
 
 
 def front_code(rows: np.ndarray) -> tuple[bytes, bytes]:
@@ -259,13 +341,52 @@ def window_masks(every: list[tuple[bytes, list[tuple[int, int, int]], int]]) ->
             yield run, index, sum(1 << o for o, low in lows if low < d)
 
 
-def merge_shard(table: pa.Table) -> list[tuple[int, bytes]]:
-    """(block, masks) for each run of a shard."""
-    blocks = table.column("block").to_pylist()
+def runs_of(table: pa.Table) -> tuple[list[int], list[tuple[list[bytes], bytes]], list[list[int]]]:
+    """Senders, decoded runs and least ids of the runs that reached a node."""
     lcps, rests = table.column("lcps").to_pylist(), table.column("rest").to_pylist()
     least = [np.frombuffer(x, "<i8").tolist() for x in table.column("least").to_pylist()]
-    runs = [(decode(a, b), a) for a, b in zip(lcps, rests, strict=True)]
-    masks = [np.zeros(len(x), "<u4") for x in lcps]
+    return table.column("sender").to_pylist(), [(decode(a, b), a) for a, b in zip(lcps, rests, strict=True)], least
+
+
+class Merged:
+    """The runs that reached a node of a level between as one run: distinct suffixes, their least ids, and where each went."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.senders, runs, self.own = runs_of(table)
+        self.strings: list[bytes] = []
+        self.lcps, self.least = bytearray(), []
+        self.number = [np.zeros(len(x), np.int64) for x in self.own]
+        for suffix, h, run, index in merge(runs):
+            d = self.own[run][index]
+            if h < SUFFIX:
+                self.strings.append(suffix)
+                self.lcps.append(h)
+                self.least.append(d)
+            elif d < self.least[-1]:
+                self.least[-1] = d
+            self.number[run][index] = len(self.strings) - 1
+        self.shard = np.array([int.from_bytes(x[:HEAD], "big") for x in self.strings], np.int64)
+
+    def run(self, part: slice) -> tuple[bytes, bytes, bytes]:
+        lcps = b"\0" + bytes(self.lcps[part.start + 1 : part.stop])
+        rest = b"".join(x[h:] for x, h in zip(self.strings[part], lcps, strict=True))
+        return lcps, zlib.compress(rest, 1), np.array(self.least[part], "<i8").tobytes()
+
+    def masks(self, above: np.ndarray) -> list[tuple[int, bytes]]:
+        """(sender, masks) of each run, given the masks of the merged one: an id above the least has all windows."""
+        ends = np.array([(x[-2], x[-1]) for x in self.strings], np.int64).reshape(-1, 2)
+        full, low = all_windows(ends[:, 0], ends[:, 1]), np.array(self.least, np.int64)
+        out = []
+        for sender, own, number in zip(self.senders, self.own, self.number, strict=True):
+            mask = np.where(np.array(own, np.int64) > low[number], full[number], above[number].astype(np.int64))
+            out.append((sender, zlib.compress(mask.astype("<u4").tobytes(), 1)))
+        return out
+
+
+def merge_shard(table: pa.Table) -> list[tuple[int, bytes]]:
+    """(sender, masks) for each run of a shard."""
+    senders, runs, least = runs_of(table)
+    masks = [np.zeros(len(x), "<u4") for x in least]
     group: list[tuple[bytes, list[tuple[int, int, int]], int]] = []
 
     def close() -> None:
@@ -275,26 +396,22 @@ def merge_shard(table: pa.Table) -> list[tuple[int, bytes]]:
         group.clear()
 
     for suffix, h, run, index in merge(runs):
-        if h < GRAM:
+        if h < HEAD + GRAM:
             close()
         if h == SUFFIX and group:
             group[-1][1].append((run, index, least[run][index]))
         else:
-            group.append((suffix, [(run, index, least[run][index])], h))
+            group.append((suffix[HEAD:], [(run, index, least[run][index])], h - HEAD))
     close()
-    return [(b, zlib.compress(m.tobytes(), 1)) for b, m in zip(blocks, masks, strict=True)]
+    return [(s, zlib.compress(m.tobytes(), 1)) for s, m in zip(senders, masks, strict=True)]
 
 
-def remove(block: Block, shards: int, bits: dict[int, bytes], masks: dict[int, bytes]) -> tuple[np.ndarray, ...]:
+def remove(block: Block, route: Route, bits: dict[int, bytes], masks: dict[int, bytes]) -> tuple[np.ndarray, ...]:
     """Per row: bytes, removed bytes, spans; and the mask of removed bytes of all rows."""
-    rows, shard, least, some, inverse = block.suffixes(shards, bits)
-    got = np.zeros(len(rows), np.uint32)
-    bounds = np.searchsorted(shard, np.arange(shards + 1))
-    for s, m in masks.items():
-        got[bounds[s] : bounds[s + 1]] = np.frombuffer(zlib.decompress(m), "<u4")
+    rows, part, least, some, inverse = block.suffixes(route, bits)
+    got = unpack_masks(route, part, 0, masks)
     # an id above the least of its suffix in this block has all windows of the suffix in that smaller id
-    right, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    full = ((np.int64(1) << (left + 1)) - 1) & ~((np.int64(1) << np.maximum(WIDTH - right, 0)) - 1)
+    full = all_windows(rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64))
     mask = np.where(block.ids[block.row[some]] > least[inverse], full[inverse], got[inverse].astype(np.int64))
     step = np.zeros(len(block.data) + WIDTH + 1, np.int8)  # starts are distinct, so at most 50 windows cover a byte
     start = np.zeros(len(block.data) + 1, bool)
@@ -335,7 +452,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     parts = shuffle_partitions(spark)
-    shards = min(65_535, max(parts, blocks // 4))
+    route = Route(blocks, max(min(parts, FAN), blocks // 4))
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     plain = plain.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("order", F.coalesce("id", F.lit(NO_ID)))
@@ -345,68 +462,105 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     plain = plain.join(F.broadcast(gone_ids) if few else gone_ids, ["order", "digest"], "left_anti")
     dealt = plain.select(F.pmod(F.xxhash64("order", "digest"), F.lit(blocks)).alias("block"), "id", "text", "rest").repartition(parts, "block")
 
-    def per_shard(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
-        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, int)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield int(shard[a]), slice(a, b)
+    def pieces(rows: list[tuple], contents: tuple[str, ...]) -> pa.Table:
+        kinds = [(n, pa.int64()) for n in ("node", "part", "sender")] + [(n, pa.binary()) for n in contents]
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
+
+    def answers(table: pa.Table, rows: list[tuple[int, bytes]], masks: bool) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        return pa.table({"receiver": pa.array([r for r, _ in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "masks": pa.array([masks] * len(rows), pa.bool_()), "reply": pa.array([r for _, r in rows], pa.binary())})
+
+    def replies_of(table: pa.Table, masks: bool, part: str = "part") -> dict[int, bytes]:
+        return {p: r for p, m, r in zip(table.column(part).to_pylist(), table.column("masks").to_pylist(), table.column("reply").to_pylist(), strict=True) if m == masks}
+
+    def place(table: pa.Table) -> tuple[int, int]:
+        """A node's group, and the first of the parts to which it deals."""
+        return table.column("node")[0].as_py(), table.column("part")[0].as_py() * route.fan
+
+    def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Distinct names at a node, which of them several senders have, and those of each sender as indices."""
+        each = [unpack_names(raw) for raw in table.column("names").to_pylist()]
+        names, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        return names, np.bincount(inverse, minlength=len(names)) > 1, np.split(inverse, np.cumsum([len(x) for x in each])[:-1]), route.shard(names)
 
     @tidy
     def send_keys(table: pa.Table) -> pa.Table:
-        names, _, shard = Block(table).keys(shards)
+        names, _, part = Block(table).keys(route)
         number = table.column("block")[0].as_py()
-        six = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        rows = [(s, number, six[part].tobytes()) for s, part in per_shard(shard)]
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary())})
+        return pieces([(number // route.span, p, number, pack_names(names[at])) for p, at in ranges(part)], ("names",))
 
     @tidy
     def share(table: pa.Table) -> pa.Table:
-        each = []
-        for raw in table.column("keys").to_pylist():
-            wide = np.zeros((len(raw) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            each.append(wide.view("<u8").ravel())
-        every = np.sort(np.concatenate(each))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        if len(twice):
-            found = [twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k for k in each]
-        else:
-            found = [np.zeros(len(k), bool) for k in each]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "masks": pa.array([False] * len(each)), "reply": pa.array([np.packbits(f).tobytes() for f in found], pa.binary())})
-
-    def replies_of(table: pa.Table, masks: bool) -> dict[int, bytes]:
-        return {s: r for s, m, r in zip(table.column("shard").to_pylist(), table.column("masks").to_pylist(), table.column("reply").to_pylist(), strict=True) if m == masks}
+        _, twice, each, _ = gathered(table)
+        return answers(table, [(s, np.packbits(twice[at]).tobytes()) for s, at in zip(table.column("sender").to_pylist(), each, strict=True)], False)
 
     @tidy
     def send_runs(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        rows, shard, least, _, _ = Block(texts).suffixes(shards, replies_of(replies, False))
+        rows, part, least, _, _ = Block(texts).suffixes(route, replies_of(replies, False))
         number = texts.column("block")[0].as_py()
-        out = [(s, number, *front_code(rows[part]), least[part].astype("<i8").tobytes()) for s, part in per_shard(shard)]
-        kinds = (("shard", pa.int64()), ("block", pa.int64()), ("lcps", pa.binary()), ("rest", pa.binary()), ("least", pa.binary()))
-        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
+        return pieces([(number // route.span, p, number, *front_code(rows[at]), least[at].astype("<i8").tobytes()) for p, at in ranges(part)], ("lcps", "rest", "least"))
 
     @tidy
     def mask_runs(table: pa.Table) -> pa.Table:
-        done = merge_shard(table)
-        return pa.table({"block": pa.array([b for b, _ in done], pa.int64()), "shard": table.column("shard"), "masks": pa.array([True] * len(done)), "reply": pa.array([m for _, m in done], pa.binary())})
+        return answers(table, merge_shard(table), True)
+
+    def passing_keys(level: int) -> tuple:
+        @tidy
+        def onward(table: pa.Table) -> pa.Table:
+            (group, _), (names, _, _, shard) = place(table), gathered(table)
+            return pieces([(group // route.span, p, group, pack_names(names[at])) for p, at in ranges(route.part(shard, level + 1))], ("names",))
+
+        @tidy
+        def back(table: pa.Table, replies: pa.Table) -> pa.Table:
+            (_, first), (_, twice, each, shard) = place(table), gathered(table)
+            twice |= unpack_bits(route, route.part(shard, level + 1), first, replies_of(replies, False, "above"))
+            return answers(table, [(s, np.packbits(twice[at]).tobytes()) for s, at in zip(table.column("sender").to_pylist(), each, strict=True)], False)
+
+        return onward, back
+
+    def passing_runs(level: int) -> tuple:
+        @tidy
+        def onward(table: pa.Table) -> pa.Table:
+            (group, _), merged = place(table), Merged(table)
+            return pieces([(group // route.span, p, group, *merged.run(at)) for p, at in ranges(route.part(merged.shard, level + 1))], ("lcps", "rest", "least"))
+
+        @tidy
+        def back(table: pa.Table, replies: pa.Table) -> pa.Table:
+            (_, first), merged = place(table), Merged(table)
+            return answers(table, merged.masks(unpack_masks(route, route.part(merged.shard, level + 1), first, replies_of(replies, True, "above"))), True)
+
+        return onward, back
+
+    def asked(sent: DataFrame, passing, answer) -> DataFrame:
+        """The replies (block, part, masks, reply) to what the blocks sent, over all levels and back."""
+        contents = ", ".join(f"{c} binary" for c in sent.columns[3:])
+        steps = []
+        for level in range(1, route.levels):
+            sent = cut(sent)  # read once on the way there and once on the way back
+            steps.append((sent.repartition(min(route.nodes(level), max(parts, FAN)), "node", "part").groupBy("node", "part"), *passing(level)))
+            sent = steps[-1][0].applyInArrow(steps[-1][1], f"node long, part long, sender long, {contents}")
+        replies = sent.repartition(min(route.nodes(route.levels), max(parts, FAN)), "node", "part").groupBy("node", "part").applyInArrow(answer, reply)
+        for own, _, back in reversed(steps):
+            above = replies.select(F.col("receiver").alias("node"), F.floor(F.col("part") / route.fan).alias("part"), F.col("part").alias("above"), "masks", "reply")
+            replies = own.cogroup(above.groupBy("node", "part")).applyInArrow(back, reply)
+        return replies.withColumnRenamed("receiver", "block").repartition(parts, "block")
 
     @tidy
     def finish(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({"id": pa.array([], pa.int64()), "rest": texts.column("rest"), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary())})
         block = Block(texts)
-        n, removed, spans, gone = remove(block, shards, replies_of(replies, False), replies_of(replies, True))
+        n, removed, spans, gone = remove(block, route, replies_of(replies, False), replies_of(replies, True))
         kept = [block.data[a:b][~gone[a:b]].tobytes() for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
         digests = [hashlib.sha256(k).hexdigest() for k in kept]
         if whole_characters:
             kept = [k.decode("utf-8", "ignore").encode() if r else k for k, r in zip(kept, removed.tolist(), strict=True)]
         return pa.table({"id": texts.column("id"), "rest": texts.column("rest"), "n_bytes": pa.array(n), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary())})
 
-    reply = "block long, shard long, masks boolean, reply binary"
-    keys = dealt.groupBy("block").applyInArrow(send_keys, "shard long, block long, keys binary")
-    bits = keys.repartition(shards, "shard").groupBy("shard").applyInArrow(share, reply).repartition(parts, "block")
-    runs = dealt.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(send_runs, "shard long, block long, lcps binary, rest binary, least binary")
-    masks = runs.repartition(shards, "shard").groupBy("shard").applyInArrow(mask_runs, reply)
-    both = bits.unionByName(masks).repartition(parts, "block")
+    reply = "receiver long, part long, masks boolean, reply binary"
+    bits = asked(dealt.groupBy("block").applyInArrow(send_keys, "node long, part long, sender long, names binary"), passing_keys, share)
+    runs = dealt.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(send_runs, "node long, part long, sender long, lcps binary, rest binary, least binary")
+    both = bits.unionByName(asked(runs, passing_runs, mask_runs)).repartition(parts, "block")
     fields = [T.StructField("id", T.LongType()), T.StructField("rest", dealt.schema["rest"].dataType)]
     fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
     done = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, T.StructType(fields))
