@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import runs, upkeep
+from . import clicks, runs, upkeep
 
 _VECTOR = "list_transform(range(64), lambda i: ((i * 7) % 13 - 6) / 6.0)"
 _DISTANCE = f"list_cosine_distance(embedding::DOUBLE[], ({_VECTOR})::DOUBLE[])"
@@ -181,5 +181,6 @@ SELECT doc_id, CASE WHEN contains(lower(text), 'valentine') THEN 'Valentine day'
     "embed_stub": "SELECT doc_id, CASE WHEN text <> '' THEN array_to_string(list_transform(range(26), lambda k: length(text) - length(replace(lower(text), chr((97 + k)::INT), ''))), ',') END AS vector FROM documents",
     **runs.SQL,
     **upkeep.SQL,
+    **clicks.SQL,
     "flagship": _chunks("text", f"SELECT d.doc_id, {_CLEAN.format(x='d.text')} AS text FROM documents d LEFT JOIN {_OLD} o USING (doc_id, source) WHERE o.text IS NULL OR {_CLEAN.format(x='o.text')} <> {_CLEAN.format(x='d.text')}") + "SELECT doc_id, position, chunk_text FROM chunked",
 }

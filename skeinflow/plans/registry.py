@@ -15,7 +15,7 @@ from ..operators import search as S
 from ..operators import versions as V
 from ..session import ship
 from ..sources import json_items, json_tree
-from . import runs, upkeep
+from . import clicks, runs, upkeep
 
 #: The query vector of the nearest-neighbour queries: 64 numbers by a rule that SQL can state too.
 QUERY_VECTOR = [((i * 7) % 13 - 6) / 6 for i in range(64)]
@@ -408,4 +408,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         revision_append, save_annotated, consolidate, observe_locales, key_replace, locale_from_url, scalar_functions, storefront_paths, user_progress, full_text_meta, full_text_index, page_tree_extract, page_assets, chat_search, chat_relaxed, display_fields, refine_chips, section_search, country_codes,
         manual_edit, edit_revisions, asset_search, asset_options, region_observations, json_nodes, tree_filter, json_metadata, simple_extract, label_functions, element_groups, status_history, annotate_stub, embed_stub, flagship,
     )
-} | runs.QUERIES | upkeep.QUERIES
+} | runs.QUERIES | upkeep.QUERIES | clicks.QUERIES

@@ -148,5 +148,5 @@ def filtered(tree: DataFrame, query: str) -> DataFrame:
 
 
 def value_at(text: Column, path: str) -> Column:
-    """What a path such as a.[0].b leads to."""
-    return F.get_json_object(text, "$" + "".join(p if p.startswith("[") else f"['{p}']" for p in path.split(".")))
+    """What a path such as a.[0].b leads to, as text; null for a JSON null, in arrays too, and for text that isn't JSON."""
+    return F.variant_get(F.try_parse_json(text), "$" + "".join(p if p.startswith("[") else f"['{p}']" for p in path.split(".")), "string")
