@@ -27,6 +27,11 @@ def test_published_pairs():
     assert len(STOP_WORDS) == 127 and lexeme("the") is None and [stem(w) for w in ("", "a", "is")] == ["", "a", "is"]
 
 
+def test_endings_that_follow_one_another():
+    """Worked out by hand: -ing goes, y becomes i, -li goes after g and r in the first region; -edly goes at once."""
+    assert [stem(w) for w in ("thinglying", "thingedly", "thorlying", "thorly", "thoring", "thingeding")] == ["thing", "thing", "thor", "thor", "thore", "thinged"]
+
+
 def test_pairs_of_another_implementation():
     """SQLite's stemmer has the older rules; they agree but for the endings and beginnings below."""
     bases = "relat run stud appl hop hopp nation operat connect adjust formal electr elect decis activ effect control roll fall hiss fizz size plaster motor conflat troubl sensib digit radic differ vile decid hope good triplic form critic rev allow infer airlin gyroscop adopt hom bow rat ceas boil mov near walk talk fail print mark park plant grant found round".split()
