@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship
 
 #: Bytes of text that one numpy step works on; a single longer document is taken whole.
 SLICE_BYTES = 1 << 20
@@ -20,14 +19,6 @@ SLICE_BYTES = 1 << 20
 BROADCAST_EDGES = 500_000
 
 
-def release() -> None:
-    """Give freed memory back to the system, where the C library can: Python workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def tidy(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     """f of one group or of two, and then what it has freed is given back. Spark tells the kinds apart by their arguments."""
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -21,6 +23,14 @@ def session(app: str = "skeinflow", **conf: str) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Hand this package to the executors' Python workers, once per context."""
     sc = spark.sparkContext
