@@ -64,7 +64,8 @@ def full_text(df: DataFrame, fields: Sequence[str], query: str) -> DataFrame:
             hit = F.exists(starts, lambda i: _all([F.get(terms, i + k).eqNullSafe(F.lit(t)) for k, t in phrase[1:]]))
         return ~hit if minus else hit
 
-    found = df.withColumn("_terms", lexemes(F.concat_ws(" ", *[F.col(f) for f in fields])))
+    initials = {t[0] for parts in options for _, phrase in parts for _, t in phrase}
+    found = df.withColumn("_terms", lexemes(F.concat_ws(" ", *[F.col(f) for f in fields]), initials))
     return found.where(_any([_all([holds(p) for p in parts]) for parts in options])).drop("_terms")
 
 

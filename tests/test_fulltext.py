@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from skeinflow.functions.english import STOP_WORDS, lexeme, stem
+from skeinflow.functions.english import STOP_WORDS, lexeme, lexemes, stem
 from skeinflow.operators import fulltext
 
 # The sample of the published description of the rules, its examples, and a few more words worked out by hand.
@@ -87,6 +87,16 @@ def test_index_equals_scan_and_plain_code(spark, tmp_path):
     assert "PushedFilters: [In(term, [art,run])]" in plan
 
 
+def test_only_words_that_begin_like_the_query_reach_python(spark):
+    """So a batch of texts holds few of their words; stems begin as their words do, so that none is lost."""
+    df = spark.createDataFrame([(1, "Running the dogs, ran; the rest"), (2, None), (3, "éclairs éclat dying")], "id int, t string")
+    assert [r[0] for r in df.orderBy("id").select(lexemes(F.col("t"), {"r"})).collect()] == [["run", None, None, "ran", None, "rest"], [], [None, None, None]]
+    assert all(w[0] == stem(w)[0] for w in PAIRS[::2]) and all(w[0] == stem(w)[0] for w in ("yes", "ying", "ieds", "ing", "ied", "eed", "skis"))
+    find = lambda q: sorted(r.id for r in fulltext.full_text(df, ["t"], q).collect())
+    assert find('"run the dog"') == [1] and find("éclair or dogs") == [1, 3] and find("-die") == [1, 2] and find("ran -rest") == []
+    assert 'substring' in fulltext.full_text(df, ["t"], "runs")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, "x", "apple")], "id int, _at string, t string").withColumn("term", F.lit("q"))
     assert [r.id for r in fulltext.full_text(df, ["t", "_at"], "apples x").collect()] == [1]
