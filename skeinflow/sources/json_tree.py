@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MACROS
@@ -141,10 +141,14 @@ def filtered(tree: DataFrame, query: str) -> DataFrame:
     if not query:
         return tree
     parts = lambda c: F.split(F.regexp_replace(c, r"\.(?=\[\d+\])", "\x01"), r"[.\x01]")
-    hits = tree.where(F.contains(F.lower("label"), F.lit(query.lower())))
+    hit = F.coalesce(F.contains(F.lower("label"), F.lit(query.lower())), F.lit(False))
     up = F.transform(F.sequence(F.lit(1), F.size(parts(F.col("id")))), lambda k: F.array_join(F.slice(parts(F.col("id")), 1, k), "."))
-    wanted = hits.select("source_uri", F.explode(up).alias("id")).distinct()
-    return tree.join(wanted, ["source_uri", "id"], "left_semi")
+    # a node that hits stands once more for each id above it; its own row is the last. Documents are walked once and rows exchanged once
+    places = F.when(hit, F.transform(up, lambda x: F.struct(x.alias("id"), (x == F.col("id")).alias("own")))).otherwise(F.array(F.struct(F.col("id").alias("id"), F.lit(True).alias("own"))))
+    rows = tree.where("source_uri is not null").withColumn("_hit", hit).withColumn("_at", F.explode(places))
+    rows = rows.select(*[F.col("_at.id").alias("id") if c == "id" else F.col(c) for c in tree.columns], "_hit", F.col("_at.own").alias("_own"))
+    wanted = F.max("_hit").over(Window.partitionBy("source_uri", "id"))
+    return rows.withColumn("_wanted", wanted).where("_wanted and _own").select(*tree.columns)
 
 
 def value_at(text: Column, path: str) -> Column:

@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from skeinflow.sources import json_items
+from skeinflow.sources import json_items, json_tree
 
 
-def test_rows_are_handed_over_by_the_size_of_their_documents():
+def test_rows_are_handed_over_by_the_size_of_their_documents(spark):
     texts = [json.dumps({"_path": "/p", "headline": {"copy": "word " * 20_000}, "text": ["a", "b"]})] * 60 + [None, "{broken", "{}"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([f"s{i}" for i in range(len(texts))]), pa.array([7] * len(texts), pa.int32())], names=["json", "source_uri", "version"])
     kinds = to_arrow_schema(T.StructType.fromDDL(f"{json_items.ITEM_SCHEMA}, version int"))
@@ -18,3 +18,12 @@ def test_rows_are_handed_over_by_the_size_of_their_documents():
     rows = pa.Table.from_batches(made).to_pylist()
     assert [(r["source_uri"], r["ordinal"], r["version"]) for r in rows] == [(f"s{i}", k, 7) for i in range(60) for k in range(3)] * 2
     assert list(json_items._handed_over(iter([]), json_items.item_rows, kinds)) == []
+
+
+def test_filtered_trees_walk_their_documents_once(spark):
+    """Nodes of documents with one source count together, whatever document a hit is in; names with dots stand for paths, as ids do."""
+    docs = spark.createDataFrame([("a", '{"x": {"SKU": 1, "y": 2}, "z": [{"sku": {}}, 3]}'), ("a", '{"x": {"y": 5}, "z": [1, {"w": 1}], "q": {"r": 1}}'), ("a", '{"q.r.sku": 1}'), ("b", '{"x": {"y": 1}}'), (None, '{"sku": 1}')], "source_uri string, json string")
+    got = json_tree.filtered(json_tree.nodes(docs), "Sku")
+    assert sorted(got.select("source_uri", "id").collect()) == sorted(("a", i) for i in ("x", "x.SKU", "z", "z.[0]", "z.[0].sku", "x", "z", "z.[0]", "q", "q.r", "q.r.sku"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
