@@ -45,7 +45,7 @@ def to_annotate(items: DataFrame, cleansed: DataFrame, elements: DataFrame) -> D
 
     Their baseline is, for each cleansed id: its own elements if it has some; else those of its source's version before,
     from version 2 on; else any element of the source (of all sources where it is null) with the same text.
-    Hashes are compared where both sides have one, texts otherwise. All baselines are one union, of which partial minima find the row of
+    Hashes are compared where both sides have one, texts otherwise. All baselines are one union, of which minima find the row of
     each name, and each item is looked up once.
     """
     pair = ["source_path", "original_field_name"]
@@ -63,11 +63,21 @@ def to_annotate(items: DataFrame, cleansed: DataFrame, elements: DataFrame) -> D
         return F.concat(kinds.cast("string"), F.coalesce(*[F.when(kinds == k, p) for k, p in parts.items()]))
 
     e = lambda c: F.col(f"e.{c}")
-    spread = known.withColumn("_hash", known_hash).select(F.struct("cleansed_id", "source_uri", "version", "item_source_path", "item_original_field_name", "cleansed_text", "content_hash", "_hash").alias("e"), F.explode(F.array(*map(F.lit, (OWN, BEFORE, SOURCE, ANYWHERE)))).alias("k"))
+    hashed = known.withColumn("_hash", known_hash).select(F.struct("cleansed_id", "source_uri", "version", "item_source_path", "item_original_field_name", "cleansed_text", "content_hash", "_hash").alias("e"))
+    keys = ["_name", "_path", "_field"]
+
+    def baseline(rows: DataFrame, name: Column, valued: Column) -> DataFrame:
+        """Names with what they stand for; where only the name counts, nothing, so that equal ones are one row."""
+        value = lambda c: F.when(valued, e(c))
+        return rows.select(name.alias("_name"), e("item_source_path").alias("_path"), e("item_original_field_name").alias("_field"), value("content_hash").isNull().alias("none"), value("content_hash").alias("content_hash"), value("cleansed_text").alias("cleansed_text"))
+
+    # elements of jobs of their own are about one a name and go to it unsorted; of the others equal rows are one before any sort
+    own_rows = baseline(hashed, named(F.lit(OWN), {OWN: (e("cleansed_id"),)}), F.lit(True)).repartition(*keys)
+    spread = hashed.withColumn("k", F.explode(F.array(*map(F.lit, (BEFORE, SOURCE, ANYWHERE)))))
     spread = spread.where((F.col("k") != BEFORE) | e("source_uri").isNotNull() & e("version").isNotNull()).where((F.col("k") != SOURCE) | e("source_uri").isNotNull())
-    base_name = named(F.col("k"), {OWN: (e("cleansed_id"),), BEFORE: (e("source_uri"), e("version")), SOURCE: (e("source_uri"), e("_hash")), ANYWHERE: (e("_hash"),)})
-    first = F.struct(e("content_hash").isNull().alias("none"), e("content_hash").alias("content_hash"), e("cleansed_text").alias("cleansed_text"))
-    base = spread.groupBy(base_name.alias("_name"), e("item_source_path").alias("_path"), e("item_original_field_name").alias("_field")).agg(F.min(first).alias("_found"))
+    names = named(F.col("k"), {BEFORE: (e("source_uri"), e("version")), SOURCE: (e("source_uri"), e("_hash")), ANYWHERE: (e("_hash"),)})
+    base = own_rows.unionByName(baseline(spread, names, F.col("k") == BEFORE).distinct())
+    base = base.groupBy(*keys).agg(F.min(F.struct("none", "content_hash", "cleansed_text")).alias("_found"))
     mine = once.withColumn("_kind", kind).withColumn("_hash", X.content_hash(F.col("cleansed")))
     mine = mine.withColumn("_mine", named(F.col("_kind"), {OWN: (F.col("cleansed_id"),), BEFORE: (F.col("_source"), F.col("_version") - 1), SOURCE: (F.col("_source"), F.col("_hash")), ANYWHERE: (F.col("_hash"),)}))
     joined = mine.join(base, (F.col("_mine") == F.col("_name")) & (F.col("source_path") == F.col("_path")) & (F.col("original_field_name") == F.col("_field")), "left")
