@@ -8,7 +8,7 @@ user_override_active, new_ai_available), sections and chunks as in `consolidated
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -128,29 +128,61 @@ def revisions(stored: DataFrame, before: DataFrame, done: DataFrame, model: str)
     return L.append_revisions(stored, made, "element_id", F.col("element_id"))
 
 
-def usage_index(items: DataFrame, elements: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Rows (cleansed_id, item_source_path, item_original_field_name, usage_path): usages in a job's own items, and those that the hashes know of its elements."""
-    pair = [F.col("source_path").alias("item_source_path"), F.col("original_field_name").alias("item_original_field_name")]
-    own = items.where("source_path is not null and original_field_name is not null and usage_path is not null").select("cleansed_id", *pair, "usage_path")
-    named = hashes.where(X.blank_to_null(F.col("usage_path")).isNotNull()).select(F.col("source_path").alias("item_source_path"), F.col("item_type").alias("item_original_field_name"), "usage_path").distinct()
-    wide = elements.select(*ELEMENT).distinct().join(named, ELEMENT[1:])
-    return own.unionByName(wide.select("cleansed_id", *ELEMENT[1:], "usage_path")).distinct()
+def spread_usages(elements: DataFrame, items: DataFrame, hashes: DataFrame, once: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """`elements` for each `usage_path`: usages in a job's own items, and those that the hashes know of its path and field; where there are none, column `own_usage`.
 
-
-def consolidated(elements: DataFrame, items: DataFrame, hashes: DataFrame, sections: DataFrame) -> DataFrame:
-    """`sections` and the new ones of `elements`: each element once for each usage path, with its hash, unless the section is there in that version."""
-    usable = elements.where("item_source_path is not null and cleansed_text is not null")
-    index = usage_index(items, usable, hashes).select(*[F.col(k).alias(f"_u_{k}") for k in ELEMENT], "usage_path")
+    A usage that both have comes twice. Each element goes once to its job's usages and once to those of its place, so they are read once and
+    the two don't multiply; `once` may make equal rows one before they go to the latter.
+    """
+    names = {"cleansed_id": "cleansed_id", "source_path": ELEMENT[1], "original_field_name": ELEMENT[2]}
+    own = items.where("source_path is not null and original_field_name is not null and usage_path is not null").select(*[F.col(k).alias(f"_u_{n}") for k, n in names.items()], "usage_path").distinct()
+    twice = elements.withColumn("_place", F.explode(F.array(F.lit(False), F.lit(True))))
+    mine = twice.join(own, matching(twice, own, ELEMENT, "_u_") & ~twice["_place"], "left").drop(*[f"_u_{k}" for k in ELEMENT])
+    rows = once(mine.withColumn("own_usage", F.when(~F.col("_place") & F.col("usage_path").isNull(), F.col("own_usage"))))
+    # of each place all usages, and one row that says that it has some
+    some = F.explode(F.array(F.struct(F.lit(True).alias("place"), F.col("usage_path").alias("usage")), F.struct(F.lit(False).alias("place"), F.lit(None).cast("string").alias("usage"))))
+    known = hashes.where(X.blank_to_null(F.col("usage_path")).isNotNull()).select(F.col("source_path").alias("_path"), F.col("item_type").alias("_field"), some.alias("_at")).select("_path", "_field", "_at.*").distinct()
+    at = (F.col(ELEMENT[1]) == F.col("_path")) & (F.col(ELEMENT[2]) == F.col("_field")) & (F.col("_place") == F.col("place"))
+    used = F.when(F.col("_place"), F.col("usage")).otherwise(F.coalesce("usage_path", F.when(F.col("place").isNull(), F.col("own_usage"))))
+    return rows.join(known, at, "left").withColumn("usage_path", used).where("usage_path is not null").drop("own_usage", "_place", "_path", "_field", "place", "usage")
+
+
+def _usable(elements: DataFrame) -> DataFrame:
     own = F.coalesce(X.blank_to_null(F.get_json_object("context", "$.envelope.usagePath")), F.col("item_source_path"))
-    spread = usable.join(index, matching(usable, index, ELEMENT, "_u_"), "left").withColumn("usage_path", F.coalesce("usage_path", own))
-    spread = spread.drop(*[f"_u_{k}" for k in ELEMENT], "content_hash").withColumn("item_type", F.col("item_original_field_name")).withColumn("source_path", F.col("item_source_path"))
+    return elements.where("item_source_path is not null and cleansed_text is not null").withColumn("own_usage", own)
+
+
+def _placed(usable: DataFrame, items: DataFrame, hashes: DataFrame, once: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """`usable` for each usage path, under the names of sections, with place and hash."""
+    spread = spread_usages(usable, items, hashes, once).drop("content_hash").withColumn("item_type", F.col("item_original_field_name")).withColumn("source_path", F.col("item_source_path"))
     found = lookup_with_fallback(spread, hashes, ["source_path", "item_type", "usage_path"], ["source_path", "item_type"], ["content_hash"], F.col("usage_path"))
     place = {"section_path": X.usage_container(F.col("usage_path")), "section_uri": X.usage_fragment(F.col("usage_path"))}
-    made = found.select("*", F.col("found.content_hash").alias("content_hash"), F.col("item_original_field_name").alias("original_field_name"), *[F.coalesce(c, F.col("item_source_path")).alias(n) for n, c in place.items()])
+    return found.select("*", F.col("found.content_hash").alias("content_hash"), F.col("item_original_field_name").alias("original_field_name"), *[F.coalesce(c, F.col("item_source_path")).alias(n) for n, c in place.items()])
+
+
+def _first_owner(columns: Sequence[str]) -> list[Column]:
+    """Of elements that make one section the first by hash, then by job: the same whatever else is asked of it."""
+    return [F.col(c).asc_nulls_last() for c in ("content_hash", "cleansed_id") if c in columns]
+
+
+def consolidated(elements: DataFrame, items: DataFrame, hashes: DataFrame, sections: DataFrame) -> DataFrame:
+    """`sections` and the new ones of `elements`: each element once for each usage path, with its hash, unless the section is there in that version."""
+    made = _placed(_usable(elements), items, hashes)
     missing = [f for f in sections.schema.fields if f.name not in made.columns]
     made = made.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else made
-    order = [F.col(c).asc_nulls_last() for c in ("content_hash",) if c in sections.columns]
-    return append_absent(sections, made.select(*sections.columns), SECTION, *order)
+    return append_absent(sections, made.select(*sections.columns), SECTION, *_first_owner(sections.columns))
+
+
+def section_owners(elements: DataFrame, items: DataFrame, hashes: DataFrame, sections: DataFrame) -> DataFrame:
+    """Keys, job and hash of all sections of `consolidated`, without what else they hold.
+
+    Of elements with equal keys only the least job counts, so they are one row in each task before they meet usages and hashes, and again before their sections are ranked.
+    """
+    least = lambda rows: rows.groupBy(*[c for c in rows.columns if c != "cleansed_id"]).agg(F.min("cleansed_id").alias("cleansed_id"))
+    columns = [*SECTION, *[c for c in ("content_hash", "cleansed_id") if c in sections.columns]]
+    usable = _usable(elements).select(*ELEMENT, "cleansed_text", "version", "own_usage")
+    made = least(_placed(usable, items, hashes, least).select(*SECTION, "content_hash", "cleansed_id").select(*columns))
+    return append_absent(sections.select(*columns), made, SECTION, *_first_owner(columns))
 
 
 def claim_status(jobs: DataFrame, ids: DataFrame, expected: Sequence[str], to: str) -> tuple[DataFrame, DataFrame]:
@@ -180,9 +212,18 @@ def missing_embeddings(sections: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def final_statuses(jobs: DataFrame, elements: DataFrame, sections: DataFrame, chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """`jobs` with the final status of those in `ids` (id), by the states of their elements and what is still to embed."""
-    open_ones = missing_embeddings(sections, chunks)
-    states = ids.select(F.col("id").alias("cleansed_id")).join(elements.select("cleansed_id", "status"), "cleansed_id", "left").join(open_ones, "cleansed_id", "left")
-    decided = L.final_status(states, "status", F.coalesce("n", F.lit(0)) == 0, "cleansed_id").select(F.col("cleansed_id").alias("id"), "final_status")
+    return _decided(jobs, elements, missing_embeddings(sections, chunks), ids)
+
+
+def _decided(jobs: DataFrame, elements: DataFrame, open_ones: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the jobs asked for, of their elements and of what they have open are counted together: nothing is sorted to be joined before."""
+    asked = ids.select(F.col("id").alias("cleansed_id"))
+    of = lambda rows, status, n: rows.select("cleansed_id", status.alias("status"), n.alias("n"))
+    theirs = lambda rows: rows.join(asked, "cleansed_id", "left_semi")
+    none = F.lit(0).cast("long")
+    states = of(asked, F.lit(None).cast("string"), none).unionByName(of(theirs(elements.select("cleansed_id", "status")), F.col("status"), none)).unionByName(of(theirs(open_ones), F.lit(None).cast("string"), F.col("n")))
+    waits = F.when(F.col("n") > 0, False)  # null where nothing is open, so that one row that waits decides
+    decided = L.final_status(states, "status", waits, "cleansed_id").select(F.col("cleansed_id").alias("id"), "final_status")
     return jobs.join(decided, "id", "left").withColumn("status", F.coalesce("final_status", "status")).select(*jobs.columns)
 
 
@@ -204,7 +245,9 @@ def finalize(jobs: DataFrame, ids: DataFrame, elements: DataFrame, items: DataFr
     marked = after.join(versions.withColumn("_hit", F.lit(True)), "cleansed_id", "left")
     hit = F.coalesce("_hit", F.lit(False)) & (F.col("_v").isNull() | (F.col("version") == F.col("_v")))
     marked = marked.withColumn("status", F.when(hit, F.when(blank, EMBEDDED).otherwise(PENDING)).otherwise(F.col("status"))).select(*after.columns)
-    return Final(final_statuses(jobs, elements, marked, left, won), marked, left)
+    # no section of these jobs has chunks now, so all that have text are still to embed
+    filled = section_owners(own(elements), own(items), hashes, sections).where(X.blank_to_null(F.col("cleansed_text")).isNotNull())
+    return Final(_decided(jobs, elements, filled.groupBy("cleansed_id").agg(F.count("*").alias("n")), won), marked, left)
 
 
 OFFLINE = services.Service("embed_offline", L.embed_offline)

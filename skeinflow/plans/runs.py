@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import enrich, ingest, views
+from ..operators import enrich, ingest, store, views
 from ..session import ship
 from ..sources import json_items
 
@@ -149,12 +149,14 @@ def _items(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cleansed_id"), path.alias("source_path"), field.alias("original_field_name"), F.when(F.col("l_suppkey") % 3 != 0, usage).alias("usage_path"), text.alias("cleansed"), F.col("l_linenumber").alias("ordinal"))
 
 
-def _elements(spark, d) -> DataFrame:
+def _elements(spark, d, *by: str) -> DataFrame:
     """Elements of every second job (a job's number is twice an order's), the first of each place by its smallest quantity."""
     path, field = _place()
     text = F.concat(F.lit("text "), F.col("l_partkey") % 20 + F.col("l_linenumber") % 3 + (F.col("l_orderkey") % 3 == 0).cast("int"))
     status = F.when(F.min("l_quantity") < 10, "ERROR_X").when(F.min("l_quantity") < 20, "ENRICHMENT_SKIPPED").otherwise("ENRICHED")
-    keyed = table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("cleansed_id"), path.alias("item_source_path"), field.alias("item_original_field_name"), text.alias("cleansed_text"), (F.col("l_suppkey") % 50).alias("s"), F.col("l_quantity"))
+    lines = table(spark, d, "lineitem").withColumn("cleansed_id", F.col("l_orderkey") * 2)
+    lines = lines.repartition(*by) if by else lines
+    keyed = lines.select("cleansed_id", path.alias("item_source_path"), field.alias("item_original_field_name"), text.alias("cleansed_text"), (F.col("l_suppkey") % 50).alias("s"), F.col("l_quantity"))
     once = keyed.groupBy("cleansed_id", "item_source_path", "item_original_field_name", "cleansed_text").agg(F.min("s").alias("s"), status.alias("status"))
     none = F.lit(None).cast("string")
     return once.select(
@@ -193,9 +195,11 @@ def model_revisions(spark, d):
 
 
 def _usage_hashes(spark, d) -> DataFrame:
+    """Distinct usages of all lines. They stand for a stored table that is asked several times, so they are made once."""
     path, field = _place()
     usage = F.concat(F.lit("/h/"), F.col("l_suppkey") % 2, F.lit(X.REF), F.lit("/u/"), F.col("l_suppkey") % 2)
-    return table(spark, d, "lineitem").select(path.alias("source_path"), field.alias("item_type"), usage.alias("usage_path")).distinct().withColumn("content_hash", F.concat_ws("|", "source_path", "item_type", "usage_path"))
+    rows = table(spark, d, "lineitem").select(path.alias("source_path"), field.alias("item_type"), usage.alias("usage_path")).distinct().withColumn("content_hash", F.concat_ws("|", "source_path", "item_type", "usage_path"))
+    return store.kept(rows)
 
 
 def _no_sections(spark) -> DataFrame:

@@ -20,7 +20,7 @@ def finalize_sections(spark, d):
     jobs = runs._jobs(spark, d)
     sections = runs._no_sections(spark)
     chunks = spark.createDataFrame([], "section_id string, position int")
-    done = enrich.finalize(jobs, jobs.where("id % 2 = 0"), runs._elements(spark, d), runs._items(spark, d), runs._usage_hashes(spark, d), sections, chunks)
+    done = enrich.finalize(jobs, jobs.where("id % 2 = 0"), runs._elements(spark, d, "cleansed_id"), runs._items(spark, d), runs._usage_hashes(spark, d), sections, chunks)
     return done.sections.select("version", "section_path", "section_uri", "original_field_name", "cleansed_text")
 
 
@@ -28,7 +28,7 @@ def finalize_claims(spark, d):
     """How many of the asked jobs were finished, by their last status before."""
     jobs = runs._jobs(spark, d).withColumn("before", F.col("status"))
     sections, chunks = runs._no_sections(spark), spark.createDataFrame([], "section_id string, position int")
-    done = enrich.finalize(jobs, jobs.where("id % 2 = 0"), runs._elements(spark, d), runs._items(spark, d), runs._usage_hashes(spark, d), sections, chunks)
+    done = enrich.finalize(jobs, jobs.where("id % 2 = 0"), runs._elements(spark, d, "cleansed_id"), runs._items(spark, d), runs._usage_hashes(spark, d), sections, chunks)
     ended = F.col("status").isin("ENRICHED_COMPLETE", "PARTIALLY_ENRICHED", "ENRICHMENT_FAILED") & (F.col("before") != "ENRICHED_COMPLETE")
     return done.jobs.groupBy("before").agg(F.count_if(ended).alias("n_ended"), F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,68 @@ def test_finalize_consolidates_and_marks(spark):
     assert [r.section_id for r in done.chunks.collect()] == ["elsewhere"]
 
 
+SECTIONS = "id string, cleansed_id long, version int, source_uri string, section_path string, section_uri string, original_field_name string, cleansed_text string, content_hash string, summary string, status string"
+
+
+def _to_finish(spark):
+    """Elements, items, hashes and stored sections: equal elements of several jobs, usages that items and hashes both know, nulls and blanks."""
+    rng = random.Random(5)
+    places = [("/p", "f"), ("/p", "g"), ("/q", "f"), ("/r", None), ("/s", "f"), (None, "f")]
+    elements = [(rng.choice([1, 2, 3, 4, None]), "s", rng.choice([1, 2]), *rng.choice(places), rng.choice(["one", "two", " ", None]), rng.choice(["{}", '{"envelope":{"usagePath":"/own ::ref:: /o"}}', None]), "sum", rng.choice(["ENRICHED", "ERROR_X"])) for _ in range(150)]
+    items_ = [(rng.choice([1, 2, 3, None]), *rng.choice(places), rng.choice(["/c ::ref:: /p", "/d ::ref:: /p", "/h ::ref:: /u", None])) for _ in range(60)]
+    hashes = [("/p", "f", "/h ::ref:: /u", "h1"), ("/p", "f", "/c ::ref:: /p", "h0"), ("/p", "f", None, "h9"), ("/p", "g", " ", "h2"), ("/q", "f", "/z ::ref:: /u", None), ("/r", None, "/h ::ref:: /u", "h4")]
+    sections = [("old", 4, 1, "s", "/h", "/u", "f", "one", "x", "sum", "EMBEDDED")]
+    return (
+        spark.createDataFrame(elements, "cleansed_id long, source_uri string, version int, item_source_path string, item_original_field_name string, cleansed_text string, context string, summary string, status string"),
+        spark.createDataFrame(items_, "cleansed_id long, source_path string, original_field_name string, usage_path string"),
+        spark.createDataFrame(hashes, "source_path string, item_type string, usage_path string, content_hash string"),
+        spark.createDataFrame(sections, SECTIONS),
+    )
+
+
+def _sections_by_hand(elements, items_, hashes, sections):
+    stored = {(s.section_uri, s.section_path, s.original_field_name, s.cleansed_text, s.version): (s.content_hash, s.cleansed_id) for s in sections}
+    last = lambda h: (h.usage_path is not None, h.usage_path or "")
+    nulls_last = lambda x: (x is None, x or 0)
+    made = {}
+    for e in elements:
+        if e.item_source_path is None or e.cleansed_text is None:
+            continue
+        place = (e.item_source_path, e.item_original_field_name)
+        here = [h for h in hashes if (h.source_path, h.item_type) == place]
+        used = {i.usage_path for i in items_ if (i.cleansed_id, i.source_path, i.original_field_name) == (e.cleansed_id, *place) and i.usage_path and place[1]} | {h.usage_path for h in here if (h.usage_path or "").strip() and place[1]}
+        for u in used or {json.loads(e.context or "{}").get("envelope", {}).get("usagePath") or e.item_source_path}:
+            exact = [h for h in here if h.usage_path == u]
+            found = (exact or sorted(here, key=last)[-1:] or [None])[0]
+            found = found.content_hash if found else None
+            key = (u.split(" ::ref:: ")[-1], u.split(" ::ref:: ")[0], place[1], e.cleansed_text, e.version)
+            made[key] = min([(found, e.cleansed_id), *([made[key]] if key in made else [])], key=lambda x: (("" if x[0] is None else x[0]) + "~" * (x[0] is None), nulls_last(x[1])))
+    return made | stored
+
+
+def test_sections_belong_to_the_least_job_by_hash(spark):
+    """Whether sections are made whole or only their owners, equal elements of several jobs make one that is the same job's."""
+    tables = _to_finish(spark)
+    want = _sections_by_hand(*(t.collect() for t in tables))
+    for made in (enrich.consolidated(*tables), enrich.section_owners(*tables)):
+        rows = made.select(*enrich.SECTION, "content_hash", "cleansed_id").collect()
+        assert len(rows) == len(want) and {tuple(r)[:5]: tuple(r)[5:] for r in rows} == want
+
+
+def test_finished_jobs_wait_for_the_sections_that_are_theirs(spark, tmp_path):
+    """Statuses agree with the sections given back, and elements are read once for their sections and once for their states."""
+    frames = dict(zip(("elements", "items", "hashes", "sections"), _to_finish(spark)))
+    for name, rows in frames.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    elements, items_, hashes, sections = (spark.read.parquet(f"{tmp_path}/{name}") for name in frames)
+    jobs = spark.createDataFrame([(1, "s", 1, "ENRICHMENT_QUEUED"), (2, "s", 1, "FINALIZING"), (3, "s", 2, "ENRICHMENT_QUEUED"), (4, "s", 1, "ENRICHED_COMPLETE"), (5, "s", 1, "ENRICHMENT_QUEUED")], "id long, source_uri string, version int, status string")
+    done = enrich.finalize(jobs, jobs.select("id"), elements.withColumn("status", F.lit("ENRICHED")), items_, hashes, sections, spark.createDataFrame([("old", "chunk")], "section_id string, chunk_text string"))
+    waiting = {s.cleansed_id for s in done.sections.collect() if s.cleansed_text.strip()}
+    assert {1} <= waiting and {r.id: r.status for r in done.jobs.collect()} == {j: "PARTIALLY_ENRICHED" if j in waiting else "ENRICHED_COMPLETE" for j in (1, 2, 3)} | {4: "ENRICHED_COMPLETE", 5: "ENRICHMENT_FAILED"}
+    plan = done.jobs._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x and "item_original_field_name" in x for x in plan.splitlines()) == 2 and "chunk_text" not in plan
+
+
 def test_skipped_items_are_saved_beside_annotations(spark):
     elements = spark.createDataFrame([(1, "/p", "f", "t", None, "sum", None, None, None, "ENRICHED", None, True, True)], "cleansed_id long, item_source_path string, item_original_field_name string, cleansed_text string, content_hash string, summary string, classification string, keywords array<string>, tags array<string>, status string, enrichment_metadata string, user_override_active boolean, new_ai_available boolean")
     items_ = spark.createDataFrame([(1, "/p", "f", "new"), (1, None, "g", "x")], "cleansed_id long, source_path string, original_field_name string, cleansed string")
